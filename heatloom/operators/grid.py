@@ -16,11 +16,12 @@ RING_TYPE = "array<struct<x:double,y:double>>"
 
 # --- area of interest ----------------------------------------------------------
 def ring_area(ring: Column, x: str = "x", y: str = "y") -> Column:
-    """Signed area of a closed ring (shoelace)."""
+    """Signed area of a closed ring (shoelace), taken from its first vertex to keep the products small."""
     n = F.size(ring)
+    x0, y0 = ring[0][x], ring[0][y]
     cross = F.zip_with(
         F.slice(ring, F.lit(1), n - 1), F.slice(ring, F.lit(2), n - 1),
-        lambda p, q: p[x] * q[y] - q[x] * p[y],
+        lambda p, q: (p[x] - x0) * (q[y] - y0) - (q[x] - x0) * (p[y] - y0),
     )
     return F.aggregate(cross, F.lit(0.0), lambda a, v: a + v) / 2.0
 

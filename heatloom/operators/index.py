@@ -7,18 +7,22 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from heatloom import constants as C
-from heatloom.functions.basic import total
 from heatloom.operators.groups import DEFAULT_BY, GroupProfile, ensure_profile, join_stats
 from heatloom.operators.normalize import minmax_norm, present, robust_normalize
+from heatloom.operators.ordering import percentiles
+from heatloom.operators.rundir import cut_lineage
 from heatloom.operators.weights import Weights, check_manual, compute_weights, equal_weights_map
 
 
-def subindex(weights: Mapping[str, Column | float]) -> Column:
-    """Weighted mean over the indicators that are present in a cell; NULL if none is."""
-    w = {c: v if isinstance(v, Column) else F.lit(float(v)) for c, v in weights.items()}
-    summed = total([F.when(F.col(c).isNotNull(), F.col(c) * v).otherwise(0.0) for c, v in w.items()])
-    used = total([F.when(F.col(c).isNotNull(), v).otherwise(0.0) for c, v in w.items()])
-    return F.when(used > 1e-12, summed / used)
+def subindex(weights: Mapping[str, str | float]) -> Column:
+    """Weighted mean over the indicators that are present in a cell; NULL if none is.
+
+    A weight is a number or the name of a column.
+    """
+    w = {c: f"`{v}`" if isinstance(v, str) else f"{float(v)!r}D" for c, v in weights.items()}
+    summed = " + ".join(f"coalesce(`{c}` * {v}, 0.0D)" for c, v in w.items())
+    used = " + ".join(f"if(`{c}` is null, 0.0D, {v})" for c, v in w.items())
+    return F.expr(f"case when {used} > 1e-12D then ({summed}) / ({used}) end")
 
 
 def hvi_formula(e: Column, s: Column, ac: Column, floor: float = C.AC_FLOOR) -> Column:
@@ -55,7 +59,7 @@ def with_subindices(
     )
     joined = join_stats(normed, wide, by, profile)
     return joined.withColumns({
-        C.SUB_INDEX_COLUMN[s]: subindex({c: F.col(f"_w_{c}") for c in group if c in columns})
+        C.SUB_INDEX_COLUMN[s]: subindex({c: f"_w_{c}" for c in group if c in columns})
         for s, group in C.SUB_INDEX_WEIGHTS.items()
     }).drop(*[f"_w_{c}" for c in columns])
 
@@ -80,7 +84,10 @@ def hvi(
     profile = ensure_profile(cells, by, profile)
     keys = list(dict.fromkeys([*by, *keep, *(["cell_id"] if method == "critic" else [])]))
     base = cells.select(*keys, *[c for c in columns if c not in keys])
-    normed = robust_normalize(base, columns, by, directions=directions, profile=profile)
+    # The percentiles feed both the range of the index and the result.  Written
+    # once, they are not computed again for either.
+    stats = cut_lineage(percentiles(base, columns, C.CLIP_PERCENTILES, by, profile))
+    normed = robust_normalize(base, columns, by, directions=directions, profile=profile, stats=stats)
     out = with_subindices(normed, method, by, user_weights, profile)
     out = out.withColumn("hvi_raw", hvi_formula(F.col("e"), F.col("s"), F.col("ac")))
     out = out.withColumn("hvi", F.col("hvi_raw"))

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from heatloom import constants as C
-from heatloom.functions.basic import clamp, rescale
+from heatloom.functions.basic import rescale
 from heatloom.operators.groups import DEFAULT_BY, GroupProfile, ensure_profile, join_stats
 from heatloom.operators.ordering import percentiles, unpivot
 
@@ -29,21 +29,27 @@ def robust_normalize(
     profile: GroupProfile | None = None,
     allow_missing: bool = False,
     suffix: str = "",
+    stats: DataFrame | None = None,
 ) -> DataFrame:
     """Clip every column to its group percentiles and scale it to [0, 1].
 
     A flat column becomes 0.5 and a ``negative`` direction is inverted.  All
-    columns share one aggregate and one join.
+    columns share one aggregate and one join.  ``stats`` are percentiles computed
+    before, for callers that normalise the same groups more than once.
     """
     columns = present(df, columns, allow_missing)
     directions = directions or C.INDICATOR_DIRECTIONS
     profile = ensure_profile(df, by, profile)
-    joined = join_stats(df, percentiles(df, columns, probs, by, profile), by, profile)
+    if stats is None:
+        stats = percentiles(df, columns, probs, by, profile)
+    joined = join_stats(df, stats, by, profile)
 
     def scaled(c: str) -> Column:
-        lo, hi = F.col(f"{c}_p")[0], F.col(f"{c}_p")[1]
-        out = rescale(clamp(F.col(c).cast("double"), lo, hi), lo, hi, C.FLAT_SPAN)
-        return 1.0 - out if directions.get(c, "positive") == "negative" else out
+        # One SQL text per column: far fewer driver calls than nested functions.
+        lo, hi, v = f"`{c}_p`[0]", f"`{c}_p`[1]", f"cast(`{c}` as double)"
+        out = (f"case when `{c}` is null then null when {hi} - {lo} < {C.FLAT_SPAN!r}D then 0.5D "
+               f"else (least(greatest({v}, {lo}), {hi}) - {lo}) / ({hi} - {lo}) end")
+        return F.expr(f"1.0D - ({out})" if directions.get(c, "positive") == "negative" else out)
 
     return joined.withColumns({f"{c}{suffix}": scaled(c) for c in columns}).drop(
         *[f"{c}_p" for c in columns]

@@ -90,7 +90,7 @@ def _(spark, sf):
     return scenes.canopy_height(tiles)
 
 
-@query("nightlight_raw", oracle("cells", """select cell_id, least(greatest(coalesce(viirs_dnb * 5, population), 0), 200)::double
+@query("nightlight_raw", oracle("cells", """select cell_id, round(least(greatest(coalesce(viirs_dnb * 5, population), 0), 200), 6)::double
     as viirs_dnb_raw from cells"""))
 def _(spark, sf):
     base = view(spark, sf, "cells").select(
@@ -197,9 +197,9 @@ def _(spark, sf):
     return scenes.composite_percentile(scenes.landsat_scale(clear), "lst_c", name="lst")
 
 
-@query("composite_mean", oracle("scene_pixels", "select cell_id, round(avg(b8), 6) as b8 from scene_pixels group by 1"))
+@query("composite_mean", oracle("scene_pixels", "select cell_id, round(avg(sqrt(b8)), 6) as b8 from scene_pixels group by 1"))
 def _(spark, sf):
-    return scenes.composite_mean(pixels(spark, sf), F.col("b8"), "b8")
+    return scenes.composite_mean(pixels(spark, sf), F.sqrt("b8"), "b8")
 
 
 @query("composite_median", oracle("scene_pixels", """select cell_id, round(median(b4), 6) as impervious,

@@ -119,7 +119,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     # Tiles and epochs: several observations of one cell.
     "epochs": ((), """
         select l_partkey as cell_id, cast(1975 + 5 * (l_orderkey % 11) as int) as epoch,
-          max(l_extendedprice) / 10e0 as built_surface, max(l_quantity) as built_height
+          floor(max(l_extendedprice)) + 0e0 as built_surface, max(l_quantity) as built_height
         from {lineitem} group by 1, 2"""),
     "yearly": ((), """
         select l_partkey as cell_id, case when l_suppkey % 2 = 0 then 'native' else 'extended' end as source,
