@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from heatloom import constants as C
-from heatloom.functions.basic import clamp, total
+from heatloom.functions.basic import total
 from heatloom.functions.random import triangular, uniform
 
 SPATIAL = "A_spatial_effects"
@@ -87,13 +87,21 @@ def decisions_wide(
 
 
 def _apply(column: str, effect: str, lo: float | None, hi: float | None, n: int) -> Column:
-    """Effects of all interventions in order; limits hold after each one that has an effect."""
-    out = F.col(column).cast("double")
+    """Effects of all interventions in order; limits hold after each one that has an effect.
+
+    Every step refers to the step before only once, so the expression grows with
+    the number of interventions and not with its power.
+    """
+    out = f"cast({column} as double)"
     for i in range(n):
-        d = F.col(f"{effect}_{i}")
-        moved = out + F.col(f"q_{i}") * d
-        out = moved if lo is None else F.when(d != 0, clamp(moved, lo, hi)).otherwise(out)
-    return out
+        moved = f"({out} + q_{i} * {effect}_{i})"
+        if lo is None:
+            out = moved
+        else:
+            low = f"if({effect}_{i} = 0, double('-infinity'), {lo}D)"
+            high = f"if({effect}_{i} = 0, double('infinity'), {hi}D)"
+            out = f"least(greatest({moved}, {low}), {high})"
+    return F.expr(f"if({column} is null, null, {out})")
 
 
 def _draw_effects(rows: DataFrame, effects: DataFrame, n_draws: int) -> DataFrame:

@@ -23,7 +23,7 @@ from heatloom.plans.views import oracle, view
 from heatloom.sources import readers, writers
 
 SEED, DRAWS = 42, 3
-BUDGET = 5e6
+BUDGET = 4_999_999.0
 BETA, CDR, MMT = C.BETA_BY_ZONE["A"], C.CDR_DEFAULT, 30.0
 FIVE = list(P.FIVE)
 
@@ -173,10 +173,10 @@ def _(spark, sf):
     return O.c1_budget(view(spark, sf, "order_plans"), params(spark), BUDGET)
 
 
-@query("c2_area", oracle("order_plans bounds", """, x as (select solution_id, intervention_key, sum(greatest(0, qty - max_qty * 4)) as x from order_plans join bounds using (zone_id, intervention_key) group by 1, 2)
+@query("c2_area", oracle("order_plans bounds", """, x as (select solution_id, intervention_key, sum(greatest(0, qty - max_qty / 0.3::double)) as x from order_plans join bounds using (zone_id, intervention_key) group by 1, 2)
     select solution_id, round(max(x), 6) as c2 from x group by 1"""))
 def _(spark, sf):
-    b = view(spark, sf, "bounds").withColumn("max_qty", F.col("max_qty") * 4)
+    b = view(spark, sf, "bounds").withColumn("max_qty", F.col("max_qty") / 0.3)
     return O.c2_area(view(spark, sf, "order_plans"), b)
 
 
@@ -207,10 +207,10 @@ def _(spark, sf):
     st as (select z.*, hri, elderly_frac, population, least(1, 0.3::double * (cool + shade)) as cover, case when hri >= p75 then elderly_frac else 0 end as prio
       from z join zone_state using (zone_id), p),
     rk as (select *, hri * (1 - cover) / greatest(population, 1) as risk, row_number() over (partition by solution_id order by hri * (1 - cover) / greatest(population, 1), zone_id) as i from st)
-    select solution_id, round(1 - sum(prio * cover) / greatest(sum(prio), 1), 6)::double as f1, round(sum(cost) / 200000, 6) as f2,
-    round(""" + GINI + """, 6)::double as f3, round(sum(cost) - 200000, 6) as c1, round(sum(greatest(0, med - 3)), 6)::double as c2 from rk group by 1"""))
+    select solution_id, round(1 - sum(prio * cover) / greatest(sum(prio), 1), 6)::double as f1, round(sum(cost) / 199999, 6) as f2,
+    round(""" + GINI + """, 6)::double as f3, round(sum(cost) - 199999, 6) as c1, round(sum(greatest(0, med - 3)), 6)::double as c2 from rk group by 1"""))
 def _(spark, sf):
-    return O.short_run_objectives(view(spark, sf, "emergency_plans"), view(spark, sf, "zone_state"), params(spark), 200_000.0)
+    return O.short_run_objectives(view(spark, sf, "emergency_plans"), view(spark, sf, "zone_state"), params(spark), 199_999.0)
 
 
 def long_run(spark, sf, n=DRAWS):

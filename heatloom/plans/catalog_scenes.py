@@ -109,7 +109,7 @@ def _(spark, sf):
     return scenes.building_height(view(spark, sf, "epochs"), 2015)
 
 
-@query("population_clamp", oracle("cells", "select cell_id, least(greatest(population - 700, 0), 1e9)::double as population from cells"))
+@query("population_clamp", oracle("cells", "select cell_id, round(least(greatest(population - 700, 0), 1e9)::double, 6) as population from cells"))
 def _(spark, sf):
     cells = view(spark, sf, "cells").withColumn("population", F.col("population") - 700)
     return scenes.population_clamp(cells).select("cell_id", "population")
@@ -141,7 +141,7 @@ def _(spark, sf):
 
 
 @query("clip_values", oracle("cells", "select cell_id, least(greatest(viirs_dnb, 20), 40)::double as viirs_dnb from cells where viirs_dnb is not null "
-       "union all select cell_id, null from cells where viirs_dnb is null"))
+       "union all select cell_id, null from cells where viirs_dnb is null"), digits=10)
 def _(spark, sf):
     return view(spark, sf, "cells").select("cell_id", clamp(F.col("viirs_dnb"), 20.0, 40.0).alias("viirs_dnb"))
 
@@ -425,8 +425,8 @@ def _(spark, sf):
 
 
 # --- cell tables ----------------------------------------------------------------
-@query("read_indicator_cells", oracle("cells", f"""select aoi_id, cell_id, row, col, round(lon, 6) as lon, round(lat, 6) as lat,
-    {', '.join(C.INDICATORS)} from cells"""))
+@query("read_indicator_cells", oracle("cells", f"""select aoi_id, cell_id, row, col, round(lon, 10) as lon, round(lat, 10) as lat,
+    {', '.join(C.INDICATORS)} from cells"""), digits=10)
 def _(spark, sf):
     folder = run_dir(spark, "cells")
     cells = view(spark, sf, "cells")
@@ -436,7 +436,7 @@ def _(spark, sf):
     return readers.read_indicator_cells(spark, folder, validate=True)
 
 
-@query("write_result_cells", oracle("cells", """select aoi_id, cell_id, lst, coalesce(viirs_dnb, -9999::double) as viirs_dnb from cells"""))
+@query("write_result_cells", oracle("cells", """select aoi_id, cell_id, lst, coalesce(viirs_dnb, -9999::double) as viirs_dnb from cells"""), digits=10)
 def _(spark, sf):
     folder = run_dir(spark, "results")
     writers.write_result_cells(view(spark, sf, "cells").select("aoi_id", "cell_id", "lst", "viirs_dnb"), folder, ["lst", "viirs_dnb"])

@@ -11,13 +11,13 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query; its result is rounded to 6 digits like its SQL."""
+def query(name: str, sql: str | None = None, digits: int = 6) -> Callable[[Query], Query]:
+    """Register a query; its doubles are rounded like those of its SQL."""
 
     def add(fn: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"duplicate query {name}")
-        QUERIES[name] = lambda spark, sf_dir: rounded(fn(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: rounded(fn(spark, sf_dir), digits)
         if sql is not None:
             ORACLES[name] = sql
         return fn

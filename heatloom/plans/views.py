@@ -17,18 +17,18 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         select cast(l_partkey as bigint) as cell_id, cast(floor(l_partkey / 50e0) as int) as row,
           cast(l_partkey % 50 as int) as col, cast(floor(l_partkey / 500e0) as int) as aoi_id,
           72.5e0 + 0.001e0 * (l_partkey % 50) as lon, 23e0 + 0.001e0 * floor(l_partkey / 50e0) as lat,
-          round(25e0 + avg(l_quantity) / 2e0, 6) as lst, round(0.05e0 + 2e0 * avg(l_discount), 6) as albedo,
-          round(100e0 * avg(l_tax), 6) as uhi, round(sum(l_quantity), 6) as population,
-          round(avg(case when l_returnflag <> 'N' then 1e0 else 0e0 end), 6) as built_frac,
-          round(0.25e0 * avg(case when l_linestatus = 'O' then 1e0 else 0e0 end), 6) as elderly_frac,
-          round(0.02e0 * avg(l_linenumber), 6) as child_frac,
-          round(avg(case when l_discount > 0.05e0 then 1e0 else 0e0 end), 6) as impervious,
-          round(0.5e0 * avg(case when l_tax > 0.04e0 then 1e0 else 0e0 end), 6) as cropland,
-          round(140e0 * avg(l_discount * l_tax), 6) as ndvi, round(5e0 * avg(l_tax) - 0.2e0, 6) as ndwi,
-          round(max(l_quantity), 6) as tree_cover, round(0.4e0 * min(l_quantity), 6) as canopy_height,
-          case when count(*) % 7 = 0 then null else round(avg(l_extendedprice) / 1000e0, 6) end as viirs_dnb,
+          round(25e0 + avg(l_quantity) / 2e0, 10) as lst, round(0.05e0 + 2e0 * avg(l_discount), 10) as albedo,
+          round(100e0 * avg(l_tax), 10) as uhi, round(sum(l_quantity), 10) as population,
+          round(avg(case when l_returnflag <> 'N' then 1e0 else 0e0 end), 10) as built_frac,
+          round(0.25e0 * avg(case when l_linestatus = 'O' then 1e0 else 0e0 end), 10) as elderly_frac,
+          round(0.02e0 * avg(l_linenumber), 10) as child_frac,
+          round(avg(case when l_discount > 0.05e0 then 1e0 else 0e0 end), 10) as impervious,
+          round(0.5e0 * avg(case when l_tax > 0.04e0 then 1e0 else 0e0 end), 10) as cropland,
+          round(140e0 * avg(l_discount * l_tax), 10) as ndvi, round(5e0 * avg(l_tax) - 0.2e0, 10) as ndwi,
+          round(max(l_quantity), 10) as tree_cover, round(0.4e0 * min(l_quantity), 10) as canopy_height,
+          case when count(*) % 7 = 0 then null else round(avg(l_extendedprice) / 1000e0, 10) end as viirs_dnb,
           cast(sum(l_linenumber) % 9 as int) as dw_label,
-          round(avg(l_extendedprice) / 4000e0, 6) as building_height
+          round(avg(l_extendedprice) / 4000e0, 12) as building_height
         from {lineitem} group by l_partkey"""),
     "scene_pixels": ((), """
         select case when l_suppkey % 2 = 0 then 'L8' else 'L9' end as sensor, l_orderkey as scene_id,
@@ -92,19 +92,19 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
           round(sum(l_quantity) - 150e0, 6) as c1, round(count(*) - 6e0, 6) as c2, round(max(l_tax) - 0.075e0, 6) as c3
         from {lineitem} group by 1"""),
     "zone_state": (("cells",), """
-        select cast(floor(cell_id / 100e0) as int) as zone_id, round(avg(lst), 6) as lst, round(avg(ndvi), 6) as ndvi,
-          round(avg(tree_cover), 6) as tree_cover, round(avg(canopy_height), 6) as canopy_height,
-          round(avg(ndwi), 6) as ndwi, round(avg(viirs_dnb), 6) as viirs_dnb, round(avg(built_frac), 6) as e,
-          round(avg(impervious), 6) as s, round(sum(population), 6) as population,
-          round(avg(elderly_frac), 6) as elderly_frac, round(avg(uhi) / 10e0, 6) as hri,
-          round(0.0004e0 * sum(population), 6) as ad_baseline
+        select cast(floor(cell_id / 100e0) as int) as zone_id, round(avg(lst), 10) as lst, round(avg(ndvi), 10) as ndvi,
+          round(avg(tree_cover), 10) as tree_cover, round(avg(canopy_height), 10) as canopy_height,
+          round(avg(ndwi), 10) as ndwi, round(avg(viirs_dnb), 10) as viirs_dnb, round(avg(built_frac), 10) as e,
+          round(avg(impervious), 10) as s, round(sum(population), 6) as population,
+          round(avg(elderly_frac), 10) as elderly_frac, round(avg(uhi) / 10e0, 10) as hri,
+          round(0.0004e0 * sum(population), 10) as ad_baseline
         from cells group by 1"""),
     "bounds": ((), """
         select cast(floor(l_partkey / 100e0) as int) as zone_id,
           case l_linenumber when 1 then 'LR1_tree_planting' when 2 then 'LR2_cool_roof' when 3 then 'LR3_bgi'
             when 4 then 'LR4_cool_pavement' when 5 then 'LR5_green_corridor' when 6 then 'LR6_green_roof'
             else 'LR7_cool_morphology' end as intervention_key,
-          round(avg(l_quantity) / 125e0, 6) as max_qty
+          round(avg(l_quantity) / 125e0, 10) as max_qty
         from {lineitem} group by 1, 2"""),
     # One place per customer.
     "sites": ((), """
