@@ -220,15 +220,17 @@ def reference_direction_select(
     dirs = das_dennis(len(objectives), partitions)
     scaled = _with_ranges(front, objectives, ()).withColumn("_v", F.array(*[_scaled(o) for o in objectives]))
     # Unit vectors: the squared distance to the line is |v|^2 - (v . u)^2.
-    units = F.array(*[
-        F.struct(F.lit(i).alias("i"), F.array(*[F.lit(c / math.sqrt(sum(x * x for x in d))) for c in d]).alias("u"))
-        for i, d in enumerate(dirs)
-    ])
+    def unit(d: tuple[float, ...]) -> str:
+        length = math.sqrt(sum(x * x for x in d))
+        return "array(" + ", ".join(f"{c / length!r}D" for c in d) + ")"
+
+    units = F.expr("array(" + ", ".join(f"struct({i} as i, {unit(d)} as u)" for i, d in enumerate(dirs)) + ")")
     norm2 = total([F.get("_v", F.lit(i)) * F.get("_v", F.lit(i)) for i in range(len(objectives))])
 
     def gap(d: Column) -> Column:
         dot = total([F.get("_v", F.lit(i)) * F.get(d["u"], F.lit(i)) for i in range(len(objectives))])
-        return F.struct((F.col("_n2") - dot * dot).alias("d"), d["i"].alias("i"))
+        # Rounded, so that directions at the same distance tie and the first one wins.
+        return F.struct(F.round(F.col("_n2") - dot * dot, 9).alias("d"), d["i"].alias("i"))
 
     near = scaled.withColumn("_n2", norm2).withColumn("_best", F.array_min(F.transform(units, gap)))
     row = F.struct(*[F.col(c) for c in (key, *objectives)])

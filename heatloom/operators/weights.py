@@ -53,14 +53,14 @@ def constant_weights(df: DataFrame, weights: Weights, by: Sequence[str] = DEFAUL
 
 
 def _weights_from_scores(df: DataFrame, by: Sequence[str], groups: dict[str, list[str]],
-                         score: dict[str, Column], valid: Column | None = None) -> DataFrame:
+                         score: dict[str, Column], valid: dict[str, Column] | None = None) -> DataFrame:
     """Share of each indicator in the scores of its sub-index; equal shares if they vanish."""
     rows = []
     for s, cs in groups.items():
         whole = total([score[c] for c in cs])
         good = whole >= TINY
         if valid is not None:
-            good = good & valid
+            good = good & valid[s]
         for c in cs:
             w = F.when(good, score[c] / whole).otherwise(F.lit(1.0 / len(cs)))
             rows.append(F.struct(F.lit(s).alias("sub_index"), F.lit(c).alias("indicator"), w.alias("w")))
@@ -99,34 +99,27 @@ def weights_critic(
 ) -> DataFrame:
     """Contrast times conflict: sigma_j * sum_k (1 - rho_jk) with Spearman rho over complete rows.
 
-    Needs ``cell_id``.  Falls back to equal weights where a correlation is undefined.
+    Needs ``cell_id``.  Falls back to equal weights where a correlation is
+    undefined.  All sub-indices share one ranking and one aggregate: a cell
+    contributes the indicators of those sub-indices it has completely.
     """
     profile = ensure_profile(df, by, profile)
-    groups = sub_indices(df.columns)
-    out = None
-    for s, cs in groups.items():
-        if len(cs) < 2:
-            part = constant_weights(df, {s: {c: 1.0 for c in cs}}, by)
-        else:
-            part = _critic_one(df, by, s, cs, profile)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def _critic_one(df: DataFrame, by: Sequence[str], s: str, cs: list[str], profile: GroupProfile) -> DataFrame:
-    ok = total([F.col(c).isNull().cast("int") for c in cs]) == 0
-    complete = df.select(*by, "cell_id", *cs).where(ok)
-    long = unpivot(complete, [*by, "cell_id"], cs)
-    ranked = average_ranks(long, "value", [*by, "indicator"], profile.scaled(groups=len(cs)))
-    wide = ranked.groupBy(*by, "cell_id").agg(
-        *[F.max(F.when(F.col("indicator") == c, F.col("rank"))).alias(f"r_{c}") for c in cs],
-        *[F.max(F.when(F.col("indicator") == c, F.col("value"))).alias(c) for c in cs],
+    groups = {s: cs for s, cs in sub_indices(df.columns).items() if cs}
+    columns = [c for cs in groups.values() for c in cs]
+    complete = {}
+    for cs in groups.values():
+        ok = total([F.col(c).isNull().cast("int") for c in cs]) == 0
+        complete.update({c: F.when(ok, F.col(c)).alias(c) for c in cs})
+    long = unpivot(df.select(*by, "cell_id", *[complete[c] for c in columns]), [*by, "cell_id"], columns)
+    ranked = average_ranks(long, "value", [*by, "indicator"], profile.scaled(groups=len(columns)))
+    wide = ranked.groupBy(*by, "cell_id").pivot("indicator", columns).agg(
+        F.first("rank").alias("r"), F.first("value").alias("v")
     )
-    pairs = [(a, b) for i, a in enumerate(cs) for b in cs[i + 1:]]
+    pairs = [(a, b) for cs in groups.values() for i, a in enumerate(cs) for b in cs[i + 1:]]
     stats = wide.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.stddev_pop(c).alias(f"sd_{c}") for c in cs],
-        *[F.corr(f"r_{a}", f"r_{b}").alias(f"rho_{a}_{b}") for a, b in pairs],
+        *[F.count(f"{cs[0]}_v").alias(f"n_{s}") for s, cs in groups.items()],
+        *[F.stddev_pop(f"{c}_v").alias(f"sd_{c}") for c in columns],
+        *[F.corr(f"{a}_r", f"{b}_r").alias(f"rho_{a}_{b}") for a, b in pairs],
     )
     # Groups without complete rows keep a row, with undefined statistics.
     stats = df.select(*by).distinct().join(stats, list(by), "left")
@@ -134,10 +127,15 @@ def _critic_one(df: DataFrame, by: Sequence[str], s: str, cs: list[str], profile
     def rho(a: str, b: str) -> Column:
         return F.col(f"rho_{a}_{b}") if (a, b) in pairs else F.col(f"rho_{b}_{a}")
 
-    score = {c: F.col(f"sd_{c}") * total([1.0 - rho(c, k) for k in cs if k != c]) for c in cs}
-    whole = total(list(score.values()))
-    valid = F.coalesce((F.col("n") >= 3) & whole.isNotNull() & ~F.isnan(whole), F.lit(False))
-    return _weights_from_scores(stats, by, {s: cs}, score, valid)
+    score, valid = {}, {}
+    for s, cs in groups.items():
+        if len(cs) < 2:
+            score[cs[0]], valid[s] = F.lit(1.0), F.lit(True)
+            continue
+        score.update({c: F.col(f"sd_{c}") * total([1.0 - rho(c, k) for k in cs if k != c]) for c in cs})
+        whole = total([score[c] for c in cs])
+        valid[s] = F.coalesce((F.col(f"n_{s}") >= 3) & whole.isNotNull() & ~F.isnan(whole), F.lit(False))
+    return _weights_from_scores(stats, by, groups, score, valid)
 
 
 def weights_pca(df: DataFrame, by: Sequence[str] = DEFAULT_BY) -> DataFrame:

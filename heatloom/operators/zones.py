@@ -43,14 +43,15 @@ def keyed_kmeans(
     iterations: int = 10,
     seed: int = 42,
     profile: GroupProfile | None = None,
-    checkpoint_every: int = 5,
 ) -> DataFrame:
     """k-means on (x, y) for every group at once; adds ``cluster``.
 
     Every group starts from k of its points, drawn by a hash of the cell id.  An
     iteration joins the k centroids of a group to its points as one array, and
     averages the points per cluster with a map-side combine, so a large group is
-    spread over tasks.  A cluster that loses all points keeps its centroid.
+    spread over tasks.  A cluster that loses all points keeps its centroid.  The
+    centroids are few rows and are written after every iteration, so plans do not
+    grow.
     """
     profile = ensure_profile(points, by, profile)
     # The generator starts from distinct places, so that no two clusters coincide.
@@ -60,7 +61,8 @@ def keyed_kmeans(
     cents = starts.groupBy(*by).agg(
         F.array_sort(F.collect_list(F.struct((F.col("k") - 1).alias("k"), "x", "y"))).cast(CENTROIDS).alias("cents")
     )
-    for i in range(iterations):
+    cents = cut_lineage(cents)
+    for _ in range(iterations):
         assigned = join_stats(points.select(*by, "x", "y"), cents, by, profile, "inner").select(
             *by, "x", "y", _nearest("cents", F.col("x"), F.col("y")).alias("k")
         )
@@ -68,13 +70,11 @@ def keyed_kmeans(
         moved = means.groupBy(*by).agg(
             F.map_from_entries(F.collect_list(F.struct("k", F.struct("x", "y").alias("p")))).alias("_new")
         )
-        cents = join_stats(cents, moved, by, profile).select(*by, F.transform("cents", lambda c: F.struct(
+        cents = cut_lineage(join_stats(cents, moved, by, profile).select(*by, F.transform("cents", lambda c: F.struct(
             c["k"].alias("k"),
             F.coalesce(F.try_element_at("_new", c["k"])["x"], c["x"]).alias("x"),
             F.coalesce(F.try_element_at("_new", c["k"])["y"], c["y"]).alias("y"),
-        )).cast(CENTROIDS).alias("cents"))
-        if checkpoint_every and (i + 1) % checkpoint_every == 0:
-            cents = cut_lineage(cents)
+        )).cast(CENTROIDS).alias("cents")))
     return join_stats(points, cents, by, profile, "inner").withColumn(
         "cluster", _nearest("cents", F.col("x"), F.col("y"))
     ).drop("cents")
