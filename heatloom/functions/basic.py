@@ -28,3 +28,12 @@ def total(terms: list[Column]) -> Column:
 def rescale(c: Column, lo: Column, hi: Column, flat: float = 1e-12) -> Column:
     """Scale [lo, hi] to [0, 1]; 0.5 where the range is flat; missing stays missing."""
     return F.when(c.isNotNull(), F.when(hi - lo < flat, F.lit(0.5)).otherwise((c - lo) / (hi - lo)))
+
+
+def correlation(a: str, b: str) -> Column:
+    """Pearson correlation as an aggregate; NULL where a column is constant.
+
+    Both columns must be missing in the same rows.  The built-in ``corr`` fails on
+    a constant column in ANSI mode.
+    """
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))

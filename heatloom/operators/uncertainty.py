@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from heatloom import constants as C
+from heatloom.functions.basic import correlation
 from heatloom.functions.random import normal
 from heatloom.operators.groups import DEFAULT_BY, GroupProfile, ensure_profile
 from heatloom.operators.index import hvi, hvi_formula, subindex
@@ -113,8 +114,8 @@ def weight_sensitivity(
     both = rows.where(F.col("hvi").isNotNull() & F.col("hvi_nominal").isNotNull())
     ranked = average_ranks(both, "hvi", variant, wide, "r_variant")
     ranked = average_ranks(ranked, "hvi_nominal", variant, wide, "r_nominal")
-    out = ranked.groupBy(*variant).agg(F.count(F.lit(1)).alias("_n"), F.corr("r_variant", "r_nominal").alias("_r"))
-    r = F.when((F.col("_n") > min_cells) & ~F.isnan("_r"), F.col("_r"))
+    out = ranked.groupBy(*variant).agg(F.count(F.lit(1)).alias("_n"), correlation("r_variant", "r_nominal").alias("_r"))
+    r = F.when(F.col("_n") > min_cells, F.col("_r"))
     return out.select(*variant, r.alias("spearman_r"))
 
 
@@ -180,11 +181,11 @@ def spearman_matrix(
             *[F.max(F.when(F.col("indicator") == c, F.col("rank"))).alias(c) for c in ranked_columns]
         )
         corr = wide.groupBy(*by).agg(
-            F.count(F.lit(1)).alias("n"), *[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs]
+            F.count(F.lit(1)).alias("n"), *[correlation(a, b).alias(f"{a}|{b}") for a, b in pairs]
         )
         rho = F.inline(F.array(*[
             F.struct(F.lit(min(p, key=order.get)).alias("indicator_a"), F.lit(max(p, key=order.get)).alias("indicator_b"),
-                     F.when(F.col("n") > min_pairs, F.nanvl(F.col(f"{p[0]}|{p[1]}"), F.lit(None).cast("double"))).alias("rho"))
+                     F.when(F.col("n") > min_pairs, F.col(f"{p[0]}|{p[1]}")).alias("rho"))
             for p in pairs
         ]))
         part = corr.select(*by, "n", rho)

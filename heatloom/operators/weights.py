@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from heatloom import constants as C
-from heatloom.functions.basic import total
+from heatloom.functions.basic import correlation, total
 from heatloom.operators.groups import DEFAULT_BY, GroupProfile, ensure_profile
 from heatloom.operators.ordering import average_ranks, unpivot
 
@@ -119,7 +119,7 @@ def weights_critic(
     stats = wide.groupBy(*by).agg(
         *[F.count(f"{cs[0]}_v").alias(f"n_{s}") for s, cs in groups.items()],
         *[F.stddev_pop(f"{c}_v").alias(f"sd_{c}") for c in columns],
-        *[F.corr(f"{a}_r", f"{b}_r").alias(f"rho_{a}_{b}") for a, b in pairs],
+        *[correlation(f"{a}_r", f"{b}_r").alias(f"rho_{a}_{b}") for a, b in pairs],
     )
     # Groups without complete rows keep a row, with undefined statistics.
     stats = df.select(*by).distinct().join(stats, list(by), "left")

@@ -87,7 +87,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     # Five objectives per order; all are to be small.
     "candidates": ((), """
         select cast(l_orderkey as bigint) as solution_id, round(avg(l_quantity) / 50e0, 6) as f1,
-          round(sum(l_extendedprice) / 100000e0, 6) as f2, round(1e0 - avg(l_discount) * 10e0, 6) as f3,
+          round(sum(l_extendedprice) / 10000e0, 6) as f2, round(1e0 - avg(l_discount) * 10e0, 6) as f3,
           round(-1e0 * sum(l_tax), 6) as f4, round(max(l_quantity) - min(l_quantity), 6) as f5,
           round(sum(l_quantity) - 150e0, 6) as c1, round(count(*) - 6e0, 6) as c2, round(max(l_tax) - 0.075e0, 6) as c3
         from {lineitem} group by 1"""),
