@@ -76,6 +76,7 @@ def hvi(
 ) -> DataFrame:
     """Heat vulnerability index of every cell.
 
+    ``keep`` names columns to carry along; raw indicators may be among them.
     Returns by, keep, the normalised indicators as ``n_<indicator>``, h_s, e, s,
     ac, hvi_raw and hvi.  Two aggregates per group are computed: the clipping
     percentiles, and the range of the raw index.
@@ -83,7 +84,10 @@ def hvi(
     columns = present(cells, C.INDICATORS, allow_missing)
     profile = ensure_profile(cells, by, profile)
     keys = list(dict.fromkeys([*by, *keep, *(["cell_id"] if method == "critic" else [])]))
-    base = cells.select(*keys, *[c for c in columns if c not in keys])
+    raw = [c for c in keys if c in columns]
+    base = cells.select(
+        *[c for c in keys if c not in raw], *columns, *[F.col(c).alias(f"_raw_{c}") for c in raw]
+    )
     # The percentiles feed both the range of the index and the result.  Written
     # once, they are not computed again for either.
     stats = cut_lineage(percentiles(base, columns, C.CLIP_PERCENTILES, by, profile))
@@ -93,7 +97,8 @@ def hvi(
     out = out.withColumn("hvi", F.col("hvi_raw"))
     out = minmax_norm(out, ["hvi"], by, profile)
     return out.select(
-        *keys, *[F.col(c).alias(f"n_{c}") for c in columns], "h_s", "e", "s", "ac", "hvi_raw", "hvi"
+        *[F.col(f"_raw_{c}").alias(c) if c in raw else F.col(c) for c in keys],
+        *[F.col(c).alias(f"n_{c}") for c in columns], "h_s", "e", "s", "ac", "hvi_raw", "hvi"
     )
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from heatloom import constants as C
 from heatloom.functions.basic import total
-from heatloom.operators.rundir import cut_lineage
+from heatloom.operators.rundir import cut_lineage, n_tasks
 
 FIVE = ("f1", "f2", "f3", "f4", "f5")
 BLOCK_ROWS = 4_000
@@ -79,7 +79,9 @@ def pareto_front(
         return _epsilon_front(solutions, objectives, by, epsilon, block_rows)
     complete = total([F.col(o).isNull().cast("int") for o in objectives]) == 0
     rows = solutions.where(complete)
-    vectors = rows.select(*by, *[F.col(o).cast("double").alias(o) for o in objectives]).distinct()
+    vectors = rows.select(*by, *[F.col(o).cast("double").alias(o) for o in objectives])
+    # One shuffle serves the removal of duplicates and spreads the comparisons.
+    vectors = vectors.repartition(n_tasks(vectors), *by, *objectives).distinct()
     thinned = cut_lineage(vectors.mapInPandas(_prune(vectors.schema, by, objectives), vectors.schema))
     largest = thinned.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     n_blocks = max(1, math.ceil(largest * 1.25 / block_rows))

@@ -136,6 +136,8 @@ def lst_with_fallback(
         ~relaxed & strict_scene & R.strict_clear(F.col("qa_pixel"))
     )
     keys = list(dict.fromkeys([*group, "cell_id"]))
+    # All pixels of a cell bound those that are kept, and counting them is a narrow scan.
+    cell_profile = ensure_profile(pixels, keys, cell_profile)
     kept = joined.where(keep).select(
         *keys, relaxed.alias("relaxed"), R.surface_temperature_c(F.col("st_b10")).alias("lst")
     )

@@ -14,6 +14,7 @@ from heatloom.operators.groups import DEFAULT_BY, GroupProfile, ensure_profile
 from heatloom.operators.index import hvi, hvi_formula, subindex
 from heatloom.operators.normalize import robust_normalize
 from heatloom.operators.ordering import average_ranks
+from heatloom.operators.rundir import n_tasks
 from heatloom.operators.weights import equal_weights_map
 
 
@@ -51,6 +52,9 @@ def mc_distribution(
     """
     profile = ensure_profile(cells, by, profile).scaled(groups=n)
     base = cells.select(*by, "cell_id", *[c for c in C.INDICATORS if c in cells.columns])
+    # Cells are spread before they are multiplied: the samples of a cell then lie
+    # together, and the last aggregate needs no shuffle of n times the rows.
+    base = base.repartition(n_tasks(base), *by, "cell_id")
     samples = perturb_indicators(base, n, seed, (*by, "cell_id"), method=method)
     scored = hvi(samples, by=[*by, "sample_id"], profile=profile)
     p = F.percentile("hvi", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))

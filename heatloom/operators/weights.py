@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from heatloom import constants as C
 from heatloom.functions.basic import correlation, total
-from heatloom.operators.groups import DEFAULT_BY, GroupProfile, ensure_profile
+from heatloom.operators.groups import DEFAULT_BY, GroupProfile, ensure_profile, join_stats
 from heatloom.operators.ordering import average_ranks, unpivot
 
 Weights = Mapping[str, Mapping[str, float]]
@@ -67,30 +67,35 @@ def _weights_from_scores(df: DataFrame, by: Sequence[str], groups: dict[str, lis
     return df.select(*by, F.inline(F.array(*rows)))
 
 
-def weights_entropy(df: DataFrame, by: Sequence[str] = DEFAULT_BY) -> DataFrame:
+def weights_entropy(
+    df: DataFrame, by: Sequence[str] = DEFAULT_BY, profile: GroupProfile | None = None
+) -> DataFrame:
     """Weights from the Shannon redundancy of each indicator.
 
     Shares are p / sum(p) with p the min-max scaled value (at least 1e-10), so
     the entropy follows from sum(p) and sum(p ln p) in one aggregate.
     """
+    profile = ensure_profile(df, by, profile)
     groups = sub_indices(df.columns)
     columns = [c for cs in groups.values() for c in cs]
-    long = unpivot(df.select(*by, *columns), by, columns)
-    keys = [*by, "indicator"]
-    spans = long.groupBy(*keys).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
-    span = F.col("hi") - F.col("lo")
-    p = F.when(span >= TINY, F.greatest((F.col("value") - F.col("lo")) / span, F.lit(1e-10)))
-    sums = long.join(spans, keys).withColumn("p", p).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("p").alias("sp"), F.sum(F.col("p") * F.log("p")).alias("spl")
-    )
-    e = -(F.col("spl") / F.col("sp") - F.log("sp")) / F.log(F.col("n").cast("double"))
-    redundancy = F.when((F.col("n") < 2) | F.col("sp").isNull(), F.lit(0.0)).otherwise(
-        1.0 - F.greatest(F.lit(0.0), F.least(F.lit(1.0), e))
-    )
-    wide = sums.withColumn("r", redundancy).groupBy(*by).agg(
-        *[F.coalesce(F.max(F.when(F.col("indicator") == c, F.col("r"))), F.lit(0.0)).alias(c)
-          for c in columns]
+    spans = df.groupBy(*by).agg(
+        *[F.expr(f"struct(min(`{c}`) as lo, max(`{c}`) as hi)").alias(f"_s_{c}") for c in columns]
     )
+    joined = join_stats(df.select(*by, *columns), spans, by, profile)
+
+    def share(c: str) -> Column:
+        lo, span = f"`_s_{c}`.lo", f"(`_s_{c}`.hi - `_s_{c}`.lo)"
+        return F.expr(f"if({span} >= {TINY!r}D, greatest((`{c}` - {lo}) / {span}, if(`{c}` is null, null, 1e-10D)), null)")
+
+    shares = joined.select(*by, *[share(c).alias(c) for c in columns])
+    sums = shares.groupBy(*by).agg(*[
+        F.expr(f"struct(count(`{c}`) as n, sum(`{c}`) as sp, sum(`{c}` * ln(`{c}`)) as spl)").alias(c) for c in columns
+    ])
+    redundancy = {c: F.expr(
+        f"if(`{c}`.n < 2, 0.0D, 1.0D - greatest(0.0D, least(1.0D, "
+        f"-(`{c}`.spl / `{c}`.sp - ln(`{c}`.sp)) / ln(cast(`{c}`.n as double)))))"
+    ).alias(c) for c in columns}
+    wide = sums.select(*by, *redundancy.values())
     return _weights_from_scores(wide, by, groups, {c: F.col(c) for c in columns})
 
 
@@ -196,7 +201,7 @@ def compute_weights(
     if method == "manual":
         return constant_weights(df, check_manual(user_weights or C.SUB_INDEX_WEIGHTS), by)
     if method == "entropy":
-        return weights_entropy(df, by)
+        return weights_entropy(df, by, profile)
     if method == "critic":
         return weights_critic(df, by, profile)
     if method == "pca":

@@ -9,6 +9,7 @@ from heatloom.operators import index, normalize, risk, summaries, weights
 from heatloom.operators.ordering import average_ranks
 from heatloom.operators.rundir import run_dir
 from heatloom.plans import sqltext as S
+from heatloom.plans.pipeline import risk_index
 from heatloom.plans.registry import query
 from heatloom.plans.views import oracle, view
 from heatloom.sources import writers
@@ -145,13 +146,11 @@ RISK = (
 
 
 def indexed(spark, sf):
-    c = cells(spark, sf)
-    out = index.hvi(c, keep=("cell_id", "lon", "lat"))
-    return out.join(c.select("aoi_id", "cell_id", "lst", "population"), ["aoi_id", "cell_id"])
+    return index.hvi(cells(spark, sf), keep=("cell_id", "lst", "population"))
 
 
 def risked(spark, sf):
-    return risk.hri_pipeline(indexed(spark, sf))
+    return risk_index(cells(spark, sf))
 
 
 @query("hri", oracle("cells", f", {RISK} select aoi_id, cell_id, round(hri, 6) as hri from risk"))
