@@ -10,7 +10,7 @@ from heatloom import constants as C
 from heatloom.operators.groups import DEFAULT_BY, GroupProfile, ensure_profile, join_stats
 from heatloom.operators.normalize import minmax_norm, present, robust_normalize
 from heatloom.operators.ordering import percentiles
-from heatloom.operators.rundir import cut_lineage
+from heatloom.operators.rundir import cut_lineage, stage
 from heatloom.operators.weights import Weights, check_manual, compute_weights, equal_weights_map
 
 
@@ -54,9 +54,10 @@ def with_subindices(
         })
     profile = ensure_profile(normed, by, profile)
     long = compute_weights(normed, method, by, user_weights, profile)
-    wide = long.groupBy(*by).agg(
+    # One row per group, read by every later pass over the cells: computed once.
+    wide = cut_lineage(long.groupBy(*by).agg(
         *[F.max(F.when(F.col("indicator") == c, F.col("w"))).alias(f"_w_{c}") for c in columns]
-    )
+    ))
     joined = join_stats(normed, wide, by, profile)
     return joined.withColumns({
         C.SUB_INDEX_COLUMN[s]: subindex({c: f"_w_{c}" for c in group if c in columns})
@@ -110,12 +111,13 @@ def weighting_comparison(
 ) -> DataFrame:
     """HVI of every cell under several weighting schemes, in long form.
 
-    The indicators are normalised once and shared by all schemes.
+    The indicators are normalised once and written, as every scheme reads them
+    several times.
     """
     profile = ensure_profile(cells, by, profile)
-    normed = robust_normalize(
+    normed = stage(robust_normalize(
         cells.select(*by, "cell_id", *C.INDICATORS), C.INDICATORS, by, profile=profile
-    )
+    ), "normalized")
     out = None
     for m in methods:
         part = with_subindices(normed, m, by, profile=profile).select(
@@ -123,4 +125,4 @@ def weighting_comparison(
             hvi_formula(F.col("e"), F.col("s"), F.col("ac")).alias("hvi"),
         )
         out = part if out is None else out.unionByName(part)
-    return minmax_norm(out, ["hvi"], [*by, "method"], profile.scaled(groups=len(methods)))
+    return minmax_norm(stage(out, "schemes"), ["hvi"], [*by, "method"], profile.scaled(groups=len(methods)))
