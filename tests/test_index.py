@@ -179,3 +179,12 @@ def test_spearman_matrix(cells, arrays):
     assert len(got) == 91
     for (a, b), r in got.items():
         assert r == pytest.approx(want.loc[a, b], abs=1e-9)
+
+
+def test_weighting_comparison_equals_single_runs(cells):
+    both = index.weighting_comparison(cells, ("equal", "entropy")).toPandas()
+    assert len(both) == 1800
+    for m in ("equal", "entropy"):
+        one = index.hvi(cells, m).toPandas().sort_values("cell_id")["hvi"].to_numpy()
+        got = both[both.method == m].sort_values("cell_id")["hvi"].to_numpy()
+        np.testing.assert_allclose(got, one, rtol=1e-9, atol=1e-12)

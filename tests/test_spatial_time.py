@@ -291,3 +291,14 @@ def test_constants_agree():
     assert set(C.INDICATORS) == set(C.BAND_RANGES) == set(C.BAND_NOISE) == set(C.INDICATOR_DIRECTIONS)
     assert all(abs(sum(g.values()) - 1) < 1e-9 for g in C.SUB_INDEX_WEIGHTS.values())
     assert [k.split("_")[0] for k in (*C.SHORT_RUN_KEYS, *C.LONG_RUN_KEYS)] == list(C.INTERVENTION_CODES)[1:]
+
+
+def test_decompose_chooses_by_size(spark):
+    rng = np.random.default_rng(6)
+    rows = [(a, i, float(x), float(y)) for a, n in ((1, 6), (2, 40), (3, 700)) for i, (x, y) in enumerate(rng.random((n, 2)))]
+    df = spark.createDataFrame(rows, "aoi_id int, cell_id int, lon double, lat double")
+    z = zones.decompose(df, n_meso=5, iterations=2).toPandas()
+    assert len(z) == 746
+    assert z.groupby("aoi_id")["mode"].first().to_dict() == {1: "moore", 2: "direct", 3: "meso"}
+    counts = z.groupby("aoi_id").zone_id.nunique().to_dict()
+    assert counts[1] == 6 and counts[2] == 40 and counts[3] <= 5
