@@ -84,3 +84,11 @@ def filter_texts(docs: DataFrame, keep: Callable[[list], np.ndarray]) -> DataFra
             yield b.filter(pa.array(keep(b.column(b.schema.get_field_index("text")).to_pylist()), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
+
+
+def worker_store() -> dict:
+    """A dictionary that lives as long as the Python worker, for tables that are costly to build; never for results."""
+    import sys
+    import types
+
+    return sys.modules.setdefault("_heatloom_worker_store", types.ModuleType("_heatloom_worker_store")).__dict__

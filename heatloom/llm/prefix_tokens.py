@@ -19,8 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-#: Unit tables kept by one task; the store is emptied when it is full.
-KEEP_UNITS = 400_000
+from heatloom.llm.common import worker_store
+
+#: Counts of units (and checked pairs) that a Python worker keeps; beyond them a unit is worked out anew each time.
+KEEP_UNITS = 600_000
 BLANK = "▁"
 
 
@@ -36,7 +38,13 @@ class PrefixCounter:
         self.score = {sp.id_to_piece(i): sp.get_score(i) for i in usable}
         if any(BLANK in p.lstrip(BLANK) or (p.startswith(BLANK * 2) and p.strip(BLANK)) for p in self.score):
             raise ValueError("pieces that reach over blanks are not supported")
-        self.longest = max(map(len, self.score))
+        self.meet = {ab for p in self.score for ab in zip(p, p[1:])}
+        self.ending: dict = {}  # pieces by their characters from the last one on
+        for p in self.score:
+            node = self.ending
+            for ch in reversed(p):
+                node = node.setdefault(ch, {})
+            node[""] = True
         self.pairs: dict[tuple[str, str], bool] = {}
         self.single: dict[str, bool] = {}
         self.units: dict[str, int] = {}
@@ -60,7 +68,9 @@ class PrefixCounter:
         key = (a, b)
         known = self.pairs.get(key)
         if known is None:
-            known = self.pairs[key] = self.encode(a + b) == [a, b]
+            known = self.encode(a + b) == [a, b]
+            if len(self.pairs) < KEEP_UNITS:
+                self.pairs[key] = known
         return known
 
     def is_token(self, piece: str) -> bool:
@@ -75,14 +85,28 @@ class PrefixCounter:
 
     def prefixes(self, unit: str) -> tuple[list[int], list[bool]]:
         """Token count of every prefix of a unit, and whether the prefix starts with a lone blank token."""
-        n, score, is_token, stable = len(unit), self.score, self.is_token, self.stable
+        n, ending, is_token, pairs = len(unit), self.ending, self.is_token, self.pairs
         count, last, lone = [0] * (n + 1), [""] * (n + 1), [False] * (n + 1)
         for i in range(1, n + 1):
-            for j in range(max(0, i - self.longest), i):
+            node, starts, j = ending, [i - 1], i
+            while j:
+                j -= 1
+                node = node.get(unit[j])
+                if node is None:
+                    break
+                if "" in node and j < i - 1:
+                    starts.append(j)
+            for j in reversed(starts):
                 t = unit[j:i]
-                if (i - j == 1 or t in score) and is_token(t) and (j == 0 or stable(last[j], t)):
+                if j:
+                    fits = pairs.get((last[j], t))
+                    if fits is None:
+                        fits = self.stable(last[j], t)
+                    if not fits:
+                        continue
+                if is_token(t):
                     last[i], count[i] = t, count[j] + self.cost(t)
-                    lone[i] = t == BLANK if j == 0 else lone[j]
+                    lone[i] = lone[j] if j else t == BLANK
                     break
             else:
                 raise AssertionError("no encoding")
@@ -99,15 +123,19 @@ class PrefixCounter:
         """Tokens of a word with one blank before it, or of a line break and the word behind it (no blank)."""
         known = self.units.get(key)
         if known is None:
-            if len(self.units) >= KEEP_UNITS:
-                self.units.clear()
-            if key[:1] == "\n":
-                known = self.cost("\n") + self.prefixes(key[1:])[0][-1]
+            if len(key) > 1 and (key[-2], key[-1]) not in self.meet:  # no piece reaches over this place
+                known = self.unit(key[:-1]) + self.cost(key[-1]) if len(key) < 64 else self.prefixes_of(key)
             else:
-                known = self.prefixes(BLANK + key)[0][-1]
-            self.units[key] = known
+                known = self.prefixes_of(key)
+            if len(self.units) < KEEP_UNITS:
+                self.units[key] = known
         return known
 
+    def prefixes_of(self, key: str) -> int:
+        if key[:1] == "\n":
+            return self.cost("\n") + self.prefixes(key[1:])[0][-1]
+        return self.prefixes(BLANK + key)[0][-1]
+
     def count(self, text: str) -> int:
         """Tokens of a whole text."""
         if not text:
@@ -158,6 +186,15 @@ class PrefixCounter:
         return out
 
 
+def counter_of(model: bytes) -> PrefixCounter:
+    """The counter of this Python worker: tasks that follow each other share its tables."""
+    store = worker_store()
+    key = ("prefix counter", hash(model))
+    if key not in store:
+        store[key] = PrefixCounter(model)
+    return store[key]
+
+
 def token_counts(
     docs: DataFrame, model: bytes, limit: int = 4096, id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
@@ -170,7 +207,7 @@ def token_counts(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(model)
+        counter = counter_of(model)
         for b in batches:
             size, tokens = [], []
             for t in b.column(1):
@@ -192,7 +229,7 @@ def truncate_to_budget(
     """The longest prefix of each text with at most ``budget`` tokens: id, text, n_tokens (of the prefix)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = PrefixCounter(model)
+        counter = counter_of(model)
         for b in batches:
             texts, tokens = [], []
             for t in b.column(1):
