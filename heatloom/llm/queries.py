@@ -7,7 +7,9 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from heatloom.llm import budget_mix, chat_rotation, length_buckets, nb_toxicity, pairwise_quality, prefix_tokens
+from heatloom.llm import (
+    attention_lm, budget_mix, chat_rotation, graph_ann, itq_dedup, length_buckets, nb_toxicity, pairwise_quality, partenum, prefix_tokens,
+)
 from heatloom.llm.common import table, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,12 +28,37 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+LINK_SQL = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e,
+                  label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+                  AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+                  AND len(list_filter(embedding, x -> x <> 0)) > 0 AS fine FROM embeddings),
+pairs AS (SELECT a.r AS a, b.r AS b FROM v a JOIN v b ON a.label = b.label AND a.r <> b.r AND a.fine AND b.fine
+          AND CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.93 ELSE false END),
+reach AS (SELECT r, r AS t FROM v UNION SELECT x.r, p.b FROM reach x JOIN pairs p ON p.a = x.t),
+least AS (SELECT x.r, min(w.vec_id) AS component_id FROM reach x JOIN v w ON w.r = x.t GROUP BY x.r),
+n AS (SELECT a, count(*) AS n FROM pairs GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, coalesce(vec_id = component_id, true) AS kept
+FROM v LEFT JOIN n ON n.a = v.r LEFT JOIN least USING (r)
+"""
+
+
+@query("op1_itq_dedup", LINK_SQL)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op2_pairwise_quality")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pairwise_quality.quality_scores(docs, pairwise_quality.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+@query("op3_partenum_join")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partenum.similar_classes(table(spark, sf_dir, "documents"))
+
+
 ROTATE_SQL = f"""
 WITH said AS (
   SELECT conv_id, coalesce(turn, 0) AS turn, role, coalesce(text, '') AS content,
@@ -59,6 +86,23 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return views.select("conv_id", "speaker", "part", "n_messages", "n_own", "text", F.array_join(spans, ",").alias("spans"))
 
 
+NEAREST_SQL = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+           AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
+      FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
+@query("op5_graph_ann")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return graph_ann.nearest_neighbours(vectors, vectors.where("vec_id % 20 = 0"))
+
+
 def pack_sql(buckets: int, budget: int) -> str:
     """The dynamic programme as one layer of common table expressions for each bucket."""
     bits = length_buckets.EXACT_BITS
@@ -115,6 +159,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_tokens.token_counts(table(spark, sf_dir, "documents"), tokenizer_bytes())
 
 
+@query("op9_attention_lm")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return attention_lm.language_scores(table(spark, sf_dir, "documents"), tokenizer_bytes("word_bpe_49k.json").decode())
+
+
 MIX_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
