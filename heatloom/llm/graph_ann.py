@@ -147,7 +147,39 @@ def build_graph(x: np.ndarray, degree: int = DEGREE, beam: int = BUILD_BEAM, rel
                 edges[t] = robust_prune(x, t, np.concatenate([edges[t], added[k : k + STEP]], axis=1), degree, relax)
         start += len(new)
         size = min(STEP, size * 2)
-    return edges, entry
+    return connected(x, edges, entry, beam), entry
+
+
+def reached(edges: np.ndarray, entry: int) -> np.ndarray:
+    """Which vectors a walk along the edges reaches."""
+    seen = np.zeros(len(edges), bool)
+    seen[entry] = True
+    front = np.array([entry])
+    while len(front):
+        to = np.unique(edges[front])
+        front = to[(to >= 0) & ~seen[to]]
+        seen[front] = True
+    return seen
+
+
+def connected(x: np.ndarray, edges: np.ndarray, entry: int, beam: int) -> np.ndarray:
+    """The edges, with more of them to the vectors that pruning has left without a way to them.
+
+    Every lost vector is proposed to the nearest vector that a search meets; of the
+    proposals to one vector the first is taken, until none is lost.
+    """
+    while True:
+        lost = np.flatnonzero(~reached(edges, entry))
+        if not len(lost):
+            return edges
+        near = []
+        for s in range(0, len(lost), STEP):
+            ids, dist = beam_search(x, edges, entry, x[lost[s : s + STEP]], beam)
+            near.append(np.take_along_axis(ids, dist.argmin(axis=1)[:, None], 1)[:, 0])
+        near, first = np.unique(np.concatenate(near), return_index=True)
+        more = np.full((len(x), 1), -1, np.int64)
+        more[near, 0] = lost[first]
+        edges = np.concatenate([edges, more], axis=1)
 
 
 def build_shards(vectors: DataFrame) -> DataFrame:

@@ -29,10 +29,10 @@ def query(name: str, sql: str | None = None):
 
 
 LINK_SQL = """
-WITH v AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e,
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS r, vec_id, label, embedding::DOUBLE[] AS e,
                   label IS NOT NULL AND vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-                  AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
-                  AND len(list_filter(embedding, x -> x <> 0)) > 0 AS fine FROM embeddings),
+                  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+                  AND len(list_filter(embedding, lambda x: x <> 0)) > 0 AS fine FROM embeddings),
 pairs AS (SELECT a.r AS a, b.r AS b FROM v a JOIN v b ON a.label = b.label AND a.r <> b.r AND a.fine AND b.fine
           AND CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.93 ELSE false END),
 reach AS (SELECT r, r AS t FROM v UNION SELECT x.r, p.b FROM reach x JOIN pairs p ON p.a = x.t),
@@ -89,7 +89,7 @@ def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
 NEAREST_SQL = """
 WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
            WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
-           AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e) AS score
       FROM v q JOIN v c ON q.vec_id % 20 = 0 AND c.vec_id <> q.vec_id AND len(q.e) = len(c.e)),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
