@@ -30,13 +30,13 @@ from heatloom.operators.rundir import n_tasks, stage
 #: Words of a shingle, and the least similarity as a fraction.
 WIDTH, SIMILAR, OF = 5, 80, 100
 #: Signatures that one step of a task compares at a time, on average.
-GROUP_SIGNATURES = 3_000_000
+GROUP_SIGNATURES = 2_000_000
 #: Up to this many sets, all pairs that share a signature are candidates at once; beyond, see large_runs.
 SMALL_RUN = 12
 #: Most ids that are sent to every executor; more are joined by a shuffle.
 BROADCAST_IDS = 400_000
 #: Words whose hash a Python worker keeps.
-KEEP_WORDS = 1_000_000
+KEEP_WORDS = 300_000
 U = np.uint64
 #: Odd multipliers of the hashes.
 WORD_STEP = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
