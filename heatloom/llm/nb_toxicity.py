@@ -91,13 +91,14 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
             names=["f", "n0", "n1"])
 
     total = texts.mapInArrow(shares, "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    got = total.toPandas()  # at most 2 ** BITS + 1 rows
-    rows = got[got.f == -1]
-    if len(rows) == 0 or int(rows.n0.iloc[0]) == 0 or int(rows.n1.iloc[0]) == 0:
+    # an n-gram of one document tells nothing; at most 2 ** BITS + 1 rows are left
+    got = total.where("f = -1 or n0 + n1 >= 2").toArrow()
+    f, n0, n1 = (got[c].to_numpy() for c in ("f", "n0", "n1"))
+    at = np.flatnonzero(f == -1)
+    if not len(at) or not n0[at[0]] or not n1[at[0]]:
         return None
-    m0, m1 = int(rows.n0.iloc[0]), int(rows.n1.iloc[0])
-    got = got[got.f >= 0]
-    f, n0, n1 = (got[c].to_numpy(np.int64) for c in ("f", "n0", "n1"))
+    m0, m1 = int(n0[at[0]]), int(n1[at[0]])
+    f, n0, n1 = (np.delete(a, at) for a in (f, n0, n1))
     ratio = np.log((n1 + 1.0) / (m1 + 2.0)) - np.log((n0 + 1.0) / (m0 + 2.0))
     telling = np.abs(ratio) * np.sqrt(n0 / m0 + n1 / m1)
     keep = np.lexsort((f, -telling))[:SELECTED]
