@@ -24,7 +24,7 @@ from heatloom.llm.vectors import matrix, usable
 from heatloom.operators.rundir import n_tasks, stage
 
 #: Vectors of a shard, on average; edges of a vector; beam of the build and of the search; relaxation of the pruning.
-SHARD, DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX = 4096, 32, 64, 128, 1.2
+SHARD, DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX = 4096, 40, 96, 192, 1.2
 #: Vectors put into the graph, or searched, at a time.
 STEP = 256
 #: Queries that search one copy of a shard; more get further copies.
