@@ -43,7 +43,7 @@ class GroupProfile:
     def n_buckets(self) -> int:
         if self.direct:
             return 1
-        return min(4096, -(-self.max_rows * 2 // self.direct_rows))
+        return -(-self.max_rows * 2 // self.direct_rows)
 
     def scaled(self, groups: int = 1, rows: int = 1) -> "GroupProfile":
         """The profile after each group was copied or its rows were multiplied."""

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from heatloom.operators.groups import DEFAULT_BY, GroupProfile, ensure_profile, join_stats
 
-CODE_SPACE = 1 << 31
 
 
 def moore_neighbors(cells: DataFrame, by: Sequence[str] = DEFAULT_BY) -> DataFrame:
@@ -65,12 +64,8 @@ def _votes(
 
 
 def _best(weight: Column) -> Column:
-    """Largest vote, lowest code on ties, as one sortable number."""
-    return F.max(weight * F.lit(CODE_SPACE) + (F.lit(CODE_SPACE - 1) - F.col("_code")))
-
-
-def _code_of(best: Column) -> Column:
-    return (F.lit(CODE_SPACE - 1) - best % F.lit(CODE_SPACE)).cast("int")
+    """The code with the largest vote, the lowest one on ties; rows without a weight do not stand."""
+    return F.max_by("_code", F.when(weight.isNotNull(), F.struct(weight, -F.col("_code"))))
 
 
 def majority_filter(
@@ -88,7 +83,7 @@ def majority_filter(
         _best(F.col("_w")).alias("_best"), F.max("_own").alias("_own")
     )
     return out.where(F.col("_own") == 1).select(
-        *by, F.col("_row").alias("row"), F.col("_col").alias("col"), _code_of(F.col("_best")).alias(code)
+        *by, F.col("_row").alias("row"), F.col("_col").alias("col"), F.col("_best").cast("int").alias(code)
     )
 
 
@@ -108,7 +103,7 @@ def majority_filter_sticky(
         F.max(F.when(F.col("_own") == 1, F.col("_w"))).alias("_same"),
         _best(F.when(usable, F.col("_w"))).alias("_best"),
     )
-    mode = F.coalesce(_code_of(F.col("_best")), F.lit(0))
+    mode = F.coalesce(F.col("_best").cast("int"), F.lit(0))
     return out.where(F.col("_centre").isNotNull()).select(
         *by, F.col("_row").alias("row"), F.col("_col").alias("col"),
         F.when(F.col("_same") >= keep_from, F.col("_centre").cast("int")).otherwise(mode).alias(code),

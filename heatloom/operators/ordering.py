@@ -23,29 +23,62 @@ from heatloom.operators.groups import DEFAULT_BY, GroupProfile, ensure_profile,
 SKETCH_ACCURACY = 20_000
 
 
+#: Types whose values are doubles without loss, so that rows on one edge are equal.
+EXACT = ("double", "float", "int", "smallint", "tinyint")
+
+
 def _edges(value: Column, n: int) -> Column:
     probs = [i / n for i in range(1, n)]
     return F.array_sort(F.array_distinct(F.percentile_approx(value, probs, SKETCH_ACCURACY)))
 
 
+def _with_positions(df: DataFrame, by: Sequence[str], tie: str, profile: GroupProfile) -> DataFrame:
+    """Add ``_pos``, a number that never falls as ``tie`` grows, for ties of any type.
+
+    Text counts by the six bytes behind the prefix that all texts of the group share.
+    """
+    kind = df.schema[tie].dataType.simpleString()
+    if kind not in ("string", "binary"):
+        number = F.unix_date(tie) if kind == "date" else F.col(tie)
+        return df.withColumn("_pos", number.cast("double"))
+    raw = F.hex(F.col(tie).cast("binary"))
+    ends = df.groupBy(*by).agg(F.min(raw).alias("_lo"), F.max(raw).alias("_hi"))
+    alike = F.filter(F.sequence(F.lit(0), F.length("_lo")), lambda i: F.left("_lo", i) == F.left("_hi", i))
+    ends = ends.select(*by, F.array_max(alike).alias("_same"))
+    digits = F.rpad(F.substring(raw, F.col("_same") - F.col("_same") % 2 + 1, F.lit(12)), 12, "0")
+    return join_stats(df, ends, by, profile).withColumn("_pos", F.conv(digits, 16, 10).cast("double")).drop("_same")
+
+
 def _with_buckets(
-    df: DataFrame, by: Sequence[str], value: str, tie: str | None, profile: GroupProfile
+    df: DataFrame, by: Sequence[str], value: str, tie: str | None, profile: GroupProfile,
+    descending: bool = False, nulls_last: bool = False,
 ) -> DataFrame:
-    """Add the ordered bucket keys ``_b`` and ``_t``."""
+    """Add the ordered bucket keys ``_b`` and ``_t``.
+
+    Rows without a value have a bucket of their own, at the end or before all others;
+    it is cut along the tie-break column like the bucket of a frequent value.
+    """
     n = profile.n_buckets
     aggs = [_edges(F.col(value).cast("double"), n).alias("_edges")]
     if tie is not None:
-        aggs.append(_edges(F.col(tie).cast("double"), n).alias("_tie_edges"))
+        df = _with_positions(df, by, tie, profile)
+        aggs.append(_edges(F.col("_pos"), n).alias("_tie_edges"))
     out = join_stats(df, df.groupBy(*by).agg(*aggs), by, profile, "inner")
     v = F.col(value).cast("double")
-    below = F.size(F.filter("_edges", lambda e: e < v))
-    on_edge = F.array_contains("_edges", v)
-    out = out.withColumn("_b", below * 2 + on_edge.cast("int"))
+    edges = F.coalesce("_edges", F.array().cast("array<double>"))
+    below = F.size(F.filter(edges, lambda e: e < v))
+    on_edge = F.coalesce(F.array_contains(edges, v), F.lit(False))
+    bucket = below * 2 + on_edge.cast("int")
+    bucket = F.when(F.col(value).isNull(), F.lit(2**30 if nulls_last else -(2**30))).otherwise(-bucket if descending else bucket)
+    out = out.withColumn("_b", bucket)
     if tie is None:
         return out.withColumn("_t", F.lit(0)).drop("_edges")
-    t = F.col(tie).cast("double")
-    tie_bucket = F.size(F.filter("_tie_edges", lambda e: e < t))
-    return out.withColumn("_t", F.when(on_edge, tie_bucket).otherwise(0)).drop("_edges", "_tie_edges")
+    same = F.col(value).isNull()
+    if df.schema[value].dataType.simpleString() in EXACT:
+        same = same | on_edge
+    ties = F.coalesce("_tie_edges", F.array().cast("array<double>"))
+    t = F.when(F.col("_pos").isNull(), F.lit(-1)).otherwise(F.size(F.filter(ties, lambda e: e < F.col("_pos"))))
+    return out.withColumn("_t", F.when(same, t).otherwise(0)).drop("_edges", "_tie_edges", "_pos")
 
 
 def _with_offsets(
@@ -78,14 +111,11 @@ def row_numbers(
     if profile.direct:
         order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
         return df.withColumn(name, F.row_number().over(W.partitionBy(*by).orderBy(order, F.col(tie))))
-    key = -F.col(value).cast("double") if descending else F.col(value).cast("double")
-    keyed = df.withColumn("_key", F.coalesce(key, F.lit(float("inf"))))
-    cut = _with_buckets(keyed, by, "_key", tie, profile)
+    cut = _with_buckets(df, by, value, tie, profile, descending, nulls_last=True)
     cut = _with_offsets(cut, by, profile, {"_before": F.count(F.lit(1))})
-    w = W.partitionBy(*by, "_b", "_t").orderBy("_key", tie)
-    return cut.withColumn(name, (F.row_number().over(w) + F.col("_before")).cast("int")).drop(
-        "_key", "_b", "_t", "_before"
-    )
+    order = F.col(value).desc_nulls_last() if descending else F.col(value).asc_nulls_last()
+    w = W.partitionBy(*by, "_b", "_t").orderBy(order, F.col(tie))
+    return cut.withColumn(name, (F.row_number().over(w) + F.col("_before")).cast("int")).drop("_b", "_t", "_before")
 
 
 def running_totals(
@@ -110,14 +140,17 @@ def running_totals(
         return out if number is None else out.withColumn(number, F.row_number().over(w))
     cut = _with_buckets(df, by, value, tie, profile)
     cut = _with_offsets(
-        cut, by, profile, {"_amount_before": F.sum(amount), "_before": F.count(F.lit(1))}
+        cut, by, profile, {"_amount_before": F.sum(amount), "_before": F.count(F.lit(1)), "_seen": F.count(amount)}
     )
     w = W.partitionBy(*by, "_b", "_t").orderBy(F.col(value), F.col(tie))
     frame = w.rowsBetween(W.unboundedPreceding, W.currentRow)
-    out = cut.withColumn(name, F.sum(amount).over(frame) + F.col("_amount_before"))
+    so_far = F.sum(amount).over(frame)
+    # missing amounts: a total is missing only while no amount has been seen
+    out = cut.withColumn(name, F.when(
+        so_far.isNotNull() | F.col("_seen").cast("boolean"), F.coalesce(so_far, F.lit(0)) + F.col("_amount_before")))
     if number is not None:
         out = out.withColumn(number, (F.row_number().over(w) + F.col("_before")).cast("int"))
-    return out.drop("_b", "_t", "_amount_before", "_before")
+    return out.drop("_b", "_t", "_amount_before", "_before", "_seen")
 
 
 def average_ranks(
@@ -127,7 +160,7 @@ def average_ranks(
     profile: GroupProfile | None = None,
     name: str = "rank",
 ) -> DataFrame:
-    """Rank from 1; equal values share the mean of their ranks.  ``value`` must not be missing."""
+    """Rank from 1; equal values share the mean of their ranks, and missing values are equal and lowest."""
     profile = ensure_profile(df, by, profile)
     if profile.direct:
         group = W.partitionBy(*by).orderBy(value)
@@ -141,7 +174,9 @@ def average_ranks(
     w = W.partitionBy(*by, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
     upto = F.sum("_n").over(w) + F.col("_before")
     ranked = cut.select(*by, value, (upto - (F.col("_n") - 1) / 2.0).cast("double").alias(name))
-    return df.join(ranked, [*by, value], "inner")
+    ranked = ranked.select(*[F.col(c).alias(f"_{c}") for c in [*by, value]], name)
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*by, value]]
+    return df.join(ranked, same, "inner").drop(*[f"_{c}" for c in [*by, value]])
 
 
 def unpivot(df: DataFrame, ids: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -58,6 +58,12 @@ def _prune(schema: T.StructType, by: Sequence[str], objectives: Sequence[str]):
     return run
 
 
+def _objective(name: str) -> Column:
+    """An objective as double; a missing one is an error, as it can neither win nor lose."""
+    missing = F.raise_error(F.lit(f"objective {name} is missing")).cast("double")
+    return F.when(F.col(name).isNull(), missing).otherwise(F.col(name).cast("double")).alias(name)
+
+
 def pareto_front(
     solutions: DataFrame,
     objectives: Sequence[str] = FIVE,
@@ -73,13 +79,13 @@ def pareto_front(
     becomes a row and no task holds more than two blocks.  The result is exact.
 
     With ``epsilon`` objectives are compared on boxes of that width, and the
-    solution with the smallest sum represents its box.
+    solution with the smallest sum represents its box.  Objectives must not be
+    missing; a row with a missing one fails the job.
     """
     if epsilon is not None:
         return _epsilon_front(solutions, objectives, by, epsilon, block_rows)
-    complete = total([F.col(o).isNull().cast("int") for o in objectives]) == 0
-    rows = solutions.where(complete)
-    vectors = rows.select(*by, *[F.col(o).cast("double").alias(o) for o in objectives])
+    rows = solutions
+    vectors = rows.select(*by, *[_objective(o) for o in objectives])
     # One shuffle serves the removal of duplicates and spreads the comparisons.
     vectors = vectors.repartition(n_tasks(vectors), *by, *objectives).distinct()
     thinned = cut_lineage(vectors.mapInPandas(_prune(vectors.schema, by, objectives), vectors.schema))

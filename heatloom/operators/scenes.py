@@ -83,15 +83,10 @@ def composite_median(
 
 
 def composite_mode(pixels: DataFrame, label: str, by: Sequence[str] = CELL) -> DataFrame:
-    """Most frequent label per cell, the lowest one on ties.
-
-    Labels are counted with a map-side combine first; count and label then share
-    one number, so the choice is a plain maximum.
-    """
-    counts = pixels.where(F.col(label).isNotNull()).groupBy(*by, label).agg(F.count(F.lit(1)).alias("n"))
-    coded = F.col("n") * F.lit(1 << 20) + (F.lit((1 << 20) - 1) - F.col(label).cast("long"))
-    best = counts.groupBy(*by).agg(F.max(coded).alias("c"))
-    return best.select(*by, (F.lit((1 << 20) - 1) - F.col("c") % F.lit(1 << 20)).cast("int").alias(label))
+    """Most frequent label per cell, the lowest one on ties; any integer is a label."""
+    counts = pixels.where(F.col(label).isNotNull()).groupBy(*by, label).agg(F.count(F.lit(1)).alias("_n"))
+    best = F.max_by(F.col(label), F.struct("_n", -F.col(label).cast("long")))
+    return counts.groupBy(*by).agg(best.cast("int").alias(label))
 
 
 def broadband_albedo(pixels: DataFrame, by: Sequence[str] = CELL) -> DataFrame:

@@ -13,6 +13,8 @@ from heatloom.operators.groups import DEFAULT_BY, GroupProfile, ensure_profile,
 from heatloom.operators.rundir import cut_lineage
 
 CENTROIDS = "array<struct<k:int,x:double,y:double>>"
+#: Rounds after which k-means is given up as not converging, and the movement that counts as none.
+MAX_ITERATIONS, STILL = 300, 1e-9
 
 
 def standardize(
@@ -40,11 +42,13 @@ def keyed_kmeans(
     points: DataFrame,
     k: int,
     by: Sequence[str],
-    iterations: int = 10,
+    iterations: int = MAX_ITERATIONS,
     seed: int = 42,
     profile: GroupProfile | None = None,
 ) -> DataFrame:
-    """k-means on (x, y) for every group at once; adds ``cluster``.
+    """k-means on (x, y) for every group at once, until no centroid of any group moves; adds ``cluster``.
+
+    Raises if that takes more than ``iterations`` rounds.
 
     Every group starts from k of its points, drawn by a hash of the cell id.  An
     iteration joins the k centroids of a group to its points as one array, and
@@ -70,11 +74,19 @@ def keyed_kmeans(
         moved = means.groupBy(*by).agg(
             F.map_from_entries(F.collect_list(F.struct("k", F.struct("x", "y").alias("p")))).alias("_new")
         )
-        cents = cut_lineage(join_stats(cents, moved, by, profile).select(*by, F.transform("cents", lambda c: F.struct(
-            c["k"].alias("k"),
-            F.coalesce(F.try_element_at("_new", c["k"])["x"], c["x"]).alias("x"),
-            F.coalesce(F.try_element_at("_new", c["k"])["y"], c["y"]).alias("y"),
-        )).cast(CENTROIDS).alias("cents")))
+        new = join_stats(cents.select(*by, F.col("cents").alias("_old")), moved, by, profile).withColumn(
+            "cents", F.transform("_old", lambda c: F.struct(
+                c["k"].alias("k"),
+                F.coalesce(F.try_element_at("_new", c["k"])["x"], c["x"]).alias("x"),
+                F.coalesce(F.try_element_at("_new", c["k"])["y"], c["y"]).alias("y"),
+            )).cast(CENTROIDS))
+        step = F.zip_with("_old", "cents", lambda a, b: F.greatest(F.abs(a["x"] - b["x"]), F.abs(a["y"] - b["y"])))
+        new = cut_lineage(new.select(*by, "cents", F.array_max(step).alias("_step")))
+        cents = new.select(*by, "cents")
+        if (new.agg(F.max("_step")).first()[0] or 0.0) <= STILL:
+            break
+    else:
+        raise RuntimeError(f"k-means still moves after {iterations} rounds")
     return join_stats(points, cents, by, profile, "inner").withColumn(
         "cluster", _nearest("cents", F.col("x"), F.col("y"))
     ).drop("cents")
@@ -86,7 +98,7 @@ def _points(cells: DataFrame, by: Sequence[str], profile: GroupProfile) -> DataF
 
 
 def zones_kmeans(
-    cells: DataFrame, k: int = C.N_MESO_ZONES, by: Sequence[str] = DEFAULT_BY, iterations: int = 10,
+    cells: DataFrame, k: int = C.N_MESO_ZONES, by: Sequence[str] = DEFAULT_BY, iterations: int = MAX_ITERATIONS,
     seed: int = 42, profile: GroupProfile | None = None,
 ) -> DataFrame:
     """(by, cell_id, zone_id) of k spatial zones per group."""
@@ -97,7 +109,7 @@ def zones_kmeans(
 
 def zones_hierarchical(
     cells: DataFrame, n_macro: int = C.N_MACRO_ZONES, n_meso: int = C.N_MESO_ZONES,
-    by: Sequence[str] = DEFAULT_BY, iterations: int = 10, seed: int = 42,
+    by: Sequence[str] = DEFAULT_BY, iterations: int = MAX_ITERATIONS, seed: int = 42,
     profile: GroupProfile | None = None,
 ) -> DataFrame:
     """(by, cell_id, macro_zone_id, zone_id): macro zones, each cut into zones numbered per group."""
@@ -116,7 +128,7 @@ def zones_hierarchical(
 
 def decompose(
     cells: DataFrame, by: Sequence[str] = DEFAULT_BY, n_meso: int = C.N_MESO_ZONES,
-    n_macro: int = C.N_MACRO_ZONES, iterations: int = 10, profile: GroupProfile | None = None,
+    n_macro: int = C.N_MACRO_ZONES, iterations: int = MAX_ITERATIONS, profile: GroupProfile | None = None,
 ) -> DataFrame:
     """Zones by the size of the group: every cell its own zone up to 500 cells, else clusters.
 

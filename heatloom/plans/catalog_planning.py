@@ -22,7 +22,7 @@ from heatloom.plans.registry import query
 from heatloom.plans.views import oracle, view
 from heatloom.sources import readers, writers
 
-SEED, DRAWS = 42, 3
+SEED, DRAWS, PLANS = 42, 50, 100
 BUDGET = 4_999_999.0
 BETA, CDR, MMT = C.BETA_BY_ZONE["A"], C.CDR_DEFAULT, 30.0
 FIVE = list(P.FIVE)
@@ -239,13 +239,13 @@ def _(spark, sf):
 
 
 @query("candidate_portfolios", oracle("bounds", f""", {PARAM_VALUES}, b as (select zone_id, intervention_key, max_qty, value_mode as unit_cost from bounds join params using (intervention_key)
-      where parameter_name = 'cost_per_unit_usd'), raw as (select *, {S.uniform(SEED, 'solution_id', 'zone_id', 'intervention_key')} * max_qty as q from b, (select unnest(range(20))::int as solution_id)),
+      where parameter_name = 'cost_per_unit_usd'), raw as (select *, {S.uniform(SEED, 'solution_id', 'zone_id', 'intervention_key')} * max_qty as q from b, (select unnest(range({PLANS}))::int as solution_id)),
     c as (select solution_id, sum(q * unit_cost) as cost from raw group by 1)
     select solution_id, zone_id, intervention_key, round(q * case when cost > 1000000 then 1000000 / cost else 1 end, 6) as qty from raw join c using (solution_id)"""))
 def _(spark, sf):
     costs = params(spark).where("parameter_name = 'cost_per_unit_usd'").select("intervention_key", F.col("value_mode").alias("unit_cost"))
     b = view(spark, sf, "bounds").join(F.broadcast(costs), "intervention_key")
-    return I.candidate_portfolios(b, 20, 1e6, SEED, method="md5")
+    return I.candidate_portfolios(b, PLANS, 1e6, SEED, method="md5")
 
 
 FLAT = """, f as (select solution_id, list(qty order by zone_id, k) as x from (select solution_id, zone_id, k, qty from decisions) group by 1)"""

@@ -286,7 +286,7 @@ CDR_VALUES = values("cdr", schemas.CDR.names, _rows("cdr.csv", schemas.CDR))
 BETA_VALUES = values("beta", schemas.BETA.names, _rows("beta.csv", schemas.BETA))
 PARAM_VALUES = values("params", schemas.INTERVENTIONS.names, _rows("interventions.csv", schemas.INTERVENTIONS))
 GRID_COLUMNS = ["grid_id", "lat_center", "lon_center", "d245", "d245_p10", "d245_p90", "d585", "d585_p10", "d585_p90"]
-GRID_VALUES = values("grid", GRID_COLUMNS, readers.cmip6_delta_rows())
+GRID_VALUES = values("grid", GRID_COLUMNS, [(i, *r) for i, r in enumerate(_rows("cmip6_delta.csv", schemas.CMIP6_DELTA))])
 ISO3 = "case " + " ".join(
     f"when lat between {a} and {b} and lon between {c} and {e} then '{iso}'" for a, b, c, e, iso in C.ISO3_BOXES
 ) + " else 'UNKNOWN' end"

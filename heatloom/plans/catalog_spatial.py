@@ -341,12 +341,12 @@ def _(spark, sf):
 # --- zones ---------------------------------------------------------------------------------
 @query("zones_kmeans")
 def _(spark, sf):
-    return zones.zones_kmeans(cells(spark, sf), iterations=5)
+    return zones.zones_kmeans(cells(spark, sf))
 
 
 @query("zones_hierarchical")
 def _(spark, sf):
-    return zones.zones_hierarchical(cells(spark, sf), n_macro=5, n_meso=4, iterations=4)
+    return zones.zones_hierarchical(cells(spark, sf))
 
 
 @query("decompose")
@@ -354,7 +354,7 @@ def _(spark, sf):
     c = cells(spark, sf)
     # Areas of different size: a few cells, the usual 500, and two areas in one.
     area = F.when(F.col("cell_id") % 500 < 6, F.col("aoi_id") + 1000).otherwise(F.floor(F.col("aoi_id") / 2))
-    return zones.decompose(c.withColumn("aoi_id", area.cast("int")), iterations=4)
+    return zones.decompose(c.withColumn("aoi_id", area.cast("int")))
 
 
 @query("zone_summary", oracle("zones cells", """select zone_id, count(*) as cell_count, round(avg(lat), 6) as centroid_lat, round(avg(lon), 6) as centroid_lon

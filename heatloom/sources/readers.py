@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F, types as T
 
 from heatloom import constants as C, schemas
 from heatloom.functions.raster import missing_if_nodata
@@ -98,46 +98,16 @@ def registry_flatten(raw: DataFrame) -> DataFrame:
     return raw.select(F.explode("indicators").alias("indicator", "_m")).select("indicator", "_m.*")
 
 
-# Warming as a linear function of latitude and longitude in each
-# region.  (latitudes, longitudes, reference latitude and longitude, 2035 base
-# and slope per degree of latitude, 2050 base and slope, 2050 slope per degree of
-# longitude, bands below and above for 2035 and 2050)
-def _step5(a: int, b: int) -> list[float]:
-    return [float(v) for v in range(a, b + 1, 5)]
-
-
-DELTA_REGIONS = [
-    ([5.0, 10.0, 15.0, 20.0, 23.5, 28.0], [72.5, 77.5, 82.5, 87.5, 92.5, 100.0, 105.0, 110.0],
-     23.5, 82.5, 1.77, 0.02, 3.25, 0.025, 0.005, (0.5, 0.7, 0.8, 1.1)),
-    (_step5(25, 35), _step5(30, 65), 0.0, 0.0, 1.5, 0.025, 2.9855, 0.029, 0.0, (0.5, 0.8, 0.9, 1.2)),
-    (_step5(-10, 15), _step5(15, 40), 0.0, 0.0, 1.65, -1 / 60, 3.1, -0.02, 0.0, (0.4, 0.7, 0.7, 1.0)),
-    ([*_step5(-25, 10), 20.0], _step5(-75, -40), 0.0, 0.0, 1.3, 0.018, 2.5, 1 / 45, 0.0, (0.4, 0.7, 0.8, 1.0)),
-    (_step5(40, 55), [-100.0, -90.0, -80.0, -70.0, *_step5(-10, 25)], 0.0, 0.0, 1.6, 1 / 35, 3.206, 0.0356, 0.0,
-     (0.5, 0.9, 1.0, 1.4)),
-    (_step5(20, 40), _step5(105, 125), 0.0, 0.0, 1.5, 0.025, 2.988, 0.0316, 0.0, (0.5, 0.8, 0.9, 1.2)),
-]
-
-
-def cmip6_delta_rows() -> list[tuple]:
-    """The warming grid of all regions, numbered in order."""
-    out = []
-    for lats, lons, lat0, lon0, a0, a1, b0, b1, east, (a_lo, a_hi, b_lo, b_hi) in DELTA_REGIONS:
-        for lat in lats:
-            for lon in lons:
-                a = round(a0 + a1 * (abs(lat) - lat0), 2)
-                b = round(b0 + b1 * (abs(lat) - lat0) + east * (lon - lon0), 2)
-                out.append((len(out), lat, lon, a, round(a - a_lo, 2), round(a + a_hi, 2),
-                            b, round(b - b_lo, 2), round(b + b_hi, 2)))
-    return out
-
-
 def read_cmip6_delta_grid(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """Warming per grid centre for two scenarios, with bands and a row number."""
+    """Warming per grid centre for two scenarios, with bands and a row number.
+
+    The rows are numbered by latitude and longitude of the centre in a file of the
+    user's; the packaged table keeps its order. The number decides ties between centres.
+    """
     schema = T.StructType([T.StructField("grid_id", T.IntegerType()), *schemas.CMIP6_DELTA.fields])
     if path is None:
-        return spark.createDataFrame(cmip6_delta_rows(), schema)
-    # A few hundred rows; the order of the file decides ties between centres.
-    rows = _csv(spark, path, schemas.CMIP6_DELTA).limit(5_001).collect()
-    if len(rows) > 5_000:
-        raise ValueError("a grid of at most 5000 centres is expected")
-    return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], schema)
+        rows = _local_rows(spark, "cmip6_delta.csv", schemas.CMIP6_DELTA).collect()  # the packaged table
+        return spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], schema)
+    order = W.orderBy("lat_center", "lon_center", *schemas.CMIP6_DELTA.names[2:])
+    grid = _csv(spark, path, schemas.CMIP6_DELTA)
+    return grid.select((F.row_number().over(order) - 1).alias("grid_id"), *schemas.CMIP6_DELTA.names)

@@ -78,9 +78,10 @@ def stream_heatwave_alert(
 ) -> DataFrame:
     """Current run of consecutive hot days per area, with an alert flag.
 
-    The state of an area is its list of hot days of the last ``keep_days`` days,
-    so readings that arrive late or out of order still lengthen or join runs.
-    Readings are reduced to hot days before they reach Python.
+    The state of an area is its runs as intervals of days, so a run may have any
+    length, and readings that arrive late or out of order still lengthen or join
+    runs.  Runs that ended more than ``keep_days`` before the latest hot day are
+    forgotten.  Readings are reduced to hot days before they reach Python.
     """
     hot = (
         readings.withWatermark("valid_time", lateness).where(F.col("heat_index_c") > threshold)
@@ -92,19 +93,23 @@ def stream_heatwave_alert(
     ])
 
     def update(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        days = set(state.get[0]) if state.exists else set()
+        runs = [tuple(r) for r in zip(*state.get)] if state.exists else []
         for pdf in batches:
-            days.update(pdf["day"].astype(int).tolist())
-        last = max(days)
-        days = {d for d in days if d > last - keep_days}
-        state.update((sorted(days),))
-        run = 1
-        while last - run in days:
-            run += 1
+            runs += [(d, d) for d in set(pdf["day"].astype(int).tolist())]
+        joined: list[tuple[int, int]] = []
+        for start, end in sorted(runs):
+            if joined and start <= joined[-1][1] + 1:
+                joined[-1] = (joined[-1][0], max(end, joined[-1][1]))
+            else:
+                joined.append((start, end))
+        first, last = joined[-1]
+        joined = [r for r in joined if r[1] >= last - keep_days]
+        state.update(([r[0] for r in joined], [r[1] for r in joined]))
+        run = last - first + 1
         yield pd.DataFrame({by: [key[0]], "last_day": [last], "run_days": [run], "alert": [run >= min_days]})
 
     return hot.groupBy(by).applyInPandasWithState(
-        update, out, "days array<int>", "update", GroupStateTimeout.NoTimeout
+        update, out, "starts array<int>, ends array<int>", "update", GroupStateTimeout.NoTimeout
     )
 
 

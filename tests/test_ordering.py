@@ -95,3 +95,93 @@ def test_result_does_not_depend_on_partitioning(spark, rows):
         out = O.average_ranks(df.repartition(n), "v", profile=CUT)
         seen.add(out.agg(F.sum(F.col("rank") * F.col("cell_id"))).first()[0])
     assert len(seen) == 1
+
+
+def _mixed(spark):
+    """Missing, NaN and infinite values, one frequent value, string ids with a common prefix."""
+    nan, inf = float("nan"), float("inf")
+    rows = [(i % 2, f"cell_{i:05d}", [None, nan, inf, -inf, 7.0, 7.0, 7.0, 0.0, -0.0, float(i % 37)][i % 10], float(i % 11)) for i in range(400)]
+    return spark.createDataFrame(rows, "aoi_id int, cell_id string, v double, amount double")
+
+
+def _same(a, b):
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(key, a.collect())) == sorted(map(key, b.select(*a.columns).collect()))
+
+
+def test_bucketed_paths_equal_direct_ones(spark):
+    from heatloom.operators import ordering as O
+    from heatloom.operators.groups import group_profile
+
+    df = _mixed(spark)
+    small, large = group_profile(df, direct_rows=20), group_profile(df)
+    assert large.direct and not small.direct
+    for descending in (False, True):
+        _same(O.row_numbers(df, "v", "cell_id", profile=large, descending=descending),
+              O.row_numbers(df, "v", "cell_id", profile=small, descending=descending))
+    _same(O.running_totals(df, "v", "cell_id", "amount", profile=large, number="n"),
+          O.running_totals(df, "v", "cell_id", "amount", profile=small, number="n"))
+    _same(O.average_ranks(df, "v", profile=large), O.average_ranks(df, "v", profile=small))
+
+
+def test_all_values_equal_or_missing(spark):
+    from heatloom.operators import ordering as O
+    from heatloom.operators.groups import group_profile
+
+    for v in (None, 3.0):
+        df = spark.createDataFrame([(1, f"é{i}", v) for i in range(90)], "aoi_id int, cell_id string, v double")
+        small = group_profile(df, direct_rows=10)
+        _same(O.row_numbers(df, "v", "cell_id"), O.row_numbers(df, "v", "cell_id", profile=small))
+        _same(O.average_ranks(df, "v"), O.average_ranks(df, "v", profile=small))
+
+
+def test_labels_of_any_size(spark):
+    from heatloom.operators.neighbors import majority_filter
+    from heatloom.operators.scenes import composite_mode
+
+    field = spark.createDataFrame([(1, r, c, -1) for r in range(5) for c in range(5)], "aoi_id int, row int, col int, code int")
+    assert {r["code"] for r in majority_filter(field).collect()} == {-1}
+    rows = [(1, 1, x) for x in (-1, -1, 2_000_000, None)] + [(1, 2, x) for x in (2_000_000, 5, 5, 2_000_000, -9)]
+    px = spark.createDataFrame(rows, "aoi_id int, cell_id int, label int")
+    got = {r["cell_id"]: r["label"] for r in composite_mode(px, "label", ["aoi_id", "cell_id"]).collect()}
+    assert got == {1: -1, 2: 5}
+
+
+def test_forest_keeps_every_pixel(spark):
+    from heatloom.operators.downscale import rf_trend
+
+    rows = [(1, i // 10, i % 10, float(i), None if i % 4 == 0 else float(i % 7), float("nan") if i == 9 else 1.0) for i in range(60)]
+    df = spark.createDataFrame(rows, "aoi_id int, row int, col int, light double, a double, b double")
+    coarse, fine, _ = rf_trend(df, df.drop("light"), "light", ["a", "b"], trees=(5,))
+    assert coarse.count() == fine.count() == 60
+    assert fine.where("trend is null").count() == coarse.where("pred is null").count() == 16
+
+
+def test_missing_objective_is_an_error(spark):
+    import pytest
+
+    from heatloom.operators.pareto import pareto_front
+
+    df = spark.createDataFrame([(1, 1.0, 2.0), (2, None, 1.0)], "solution_id int, a double, b double")
+    with pytest.raises(Exception, match="objective a is missing"):
+        pareto_front(df, ["a", "b"]).collect()
+
+
+def test_long_hot_spells(spark, tmp_path):
+    """A run of 100 days over several files is one run."""
+    from heatloom.streaming.forecast import run_available, stream_heatwave_alert
+
+    schema = "aoi_id int, valid_time timestamp, heat_index_c double"
+    for part in range(4):
+        days = [d for d in range(100) if d // 25 == part]
+        rows = spark.createDataFrame([(1, d) for d in days], "aoi_id int, d int").selectExpr(
+            "aoi_id", "timestampadd(DAY, d, timestamp'2024-03-01 12:00:00') as valid_time", "45.0D as heat_index_c")
+        rows.coalesce(1).write.parquet(str(tmp_path / f"in{part}"))
+    import shutil
+    (tmp_path / "all").mkdir()
+    for part in range(4):
+        for f in (tmp_path / f"in{part}").glob("*.parquet"):
+            shutil.copy(f, tmp_path / "all" / f"{part}.parquet")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "all"))
+    got = run_available(stream_heatwave_alert(stream, 40.0), "alert", ["aoi_id"]).collect()
+    assert [(r["run_days"], r["alert"]) for r in got] == [(100, True)]
