@@ -161,7 +161,7 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op9_attention_lm")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return attention_lm.language_scores(table(spark, sf_dir, "documents"), tokenizer_bytes("word_bpe_49k.json").decode())
+    return attention_lm.language_scores(table(spark, sf_dir, "documents"), tokenizer_bytes())
 
 
 MIX_SQL = r"""

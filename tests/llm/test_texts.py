@@ -189,7 +189,7 @@ def test_components_of_long_paths(spark):
 
 
 def tokenizer():
-    return queries.tokenizer_bytes("word_bpe_49k.json").decode()
+    return queries.tokenizer_bytes()
 
 
 def test_language_scores(spark):
