@@ -150,19 +150,16 @@ def weights_pca(df: DataFrame, by: Sequence[str] = DEFAULT_BY) -> DataFrame:
     group and sub-index reaches Python for its leading eigenvector.
     """
     groups = {s: cs for s, cs in sub_indices(df.columns).items() if cs}
-    parts = []
-    for s, cs in groups.items():
+    aggs, rows = [], []
+    for s, cs in groups.items():  # one pass: the upper triangles of all matrices are one aggregate
         ok = total([F.col(c).isNull().cast("int") for c in cs]) == 0
-        cov = [F.covar_samp(F.when(ok, F.col(a)), F.when(ok, F.col(b))) for a in cs for b in cs]
-        parts.append(df.groupBy(*by).agg(
-            F.lit(s).alias("sub_index"),
-            F.sum(ok.cast("long")).alias("n"),
-            F.array(*[F.lit(c) for c in cs]).alias("indicators"),
-            F.array(*cov).alias("cov"),
-        ))
-    matrices = parts[0]
-    for p in parts[1:]:
-        matrices = matrices.unionByName(p)
+        aggs.append(F.sum(ok.cast("long")).alias(f"n_{s}"))
+        aggs += [F.covar_samp(F.when(ok, F.col(a)), F.when(ok, F.col(b))).alias(f"{s}_{i}_{k}")
+                 for i, a in enumerate(cs) for k, b in enumerate(cs) if i <= k]
+        cov = F.array(*[F.col(f"{s}_{min(i, k)}_{max(i, k)}") for i in range(len(cs)) for k in range(len(cs))])
+        rows.append(F.struct(F.lit(s).alias("sub_index"), F.col(f"n_{s}").alias("n"),
+                             F.array(*[F.lit(c) for c in cs]).alias("indicators"), cov.alias("cov")))
+    matrices = df.groupBy(*by).agg(*aggs).select(*by, F.inline(F.array(*rows)))
 
     def leading(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

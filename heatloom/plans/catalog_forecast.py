@@ -173,7 +173,10 @@ def _(spark, sf):
     return out.withColumn("valid_time", F.col("valid_time").cast("timestamp_ntz"))
 
 
-@query("stream_heatwave_alert")
+@query("stream_heatwave_alert", oracle("forecast", DAILY + """, h as (select aoi_id, datediff('day', date '1970-01-01', day) as d from daily where max_hi > 40),
+    r as (select *, d - row_number() over (partition by aoi_id order by d) as run from h),
+    g as (select aoi_id, max(d) as e, count(*) as days from r group by aoi_id, run)
+    select aoi_id, max(e)::int as last_day, arg_max(days, e)::int as run_days, arg_max(days, e) >= 3 as alert from g group by aoi_id"""))
 def _(spark, sf):
     s = streams.stream_heatwave_alert(readings(spark, sf), MMT + ABOVE)
     return streams.run_available(s, "alert", ["aoi_id"])

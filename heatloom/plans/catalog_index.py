@@ -116,7 +116,24 @@ def _(spark, sf):
     return weights.weights_critic(normed(spark, sf))
 
 
-@query("weights_pca")
+def pca_sql() -> str:
+    """Squared loadings as the diagonal of a high power of the covariance matrix, by squaring it forty times."""
+    parts, starts = [], []
+    for s, g in C.SUB_INDEX_WEIGHTS.items():
+        cs = list(g)
+        ok = " and ".join(f"{c} is not null" for c in cs)
+        rows = ", ".join("[" + ", ".join(f"covar_samp({a}, {b})" for b in cs) + "]" for a in cs)
+        parts.append(f"m_{s} as (select aoi_id, count(*) as n, [{rows}] as m from norm where {ok} group by 1)")
+        starts.append(f"select aoi_id, '{s}' as sub_index, {len(cs)} as k, {cs!r} as names, n, m, 0 as step from m_{s} where n > {len(cs)}")
+    square = "[[list_sum([m[i][x] * m[x][j] for x in range(1, k + 1)]) for j in range(1, k + 1)] for i in range(1, k + 1)]"
+    trace = "list_sum([q[i][i] for i in range(1, k + 1)])"
+    return f"""{S.normed()}, {", ".join(parts)}, starts as ({" union all ".join(starts)}),
+    power as (select * from starts union all select aoi_id, sub_index, k, names, n,
+      [[q[i][j] / {trace} for j in range(1, k + 1)] for i in range(1, k + 1)], step + 1 from (select *, {square} as q from power where step < 40)),
+    pw as (select aoi_id, sub_index, unnest(names) as indicator, unnest([m[i][i] for i in range(1, k + 1)]) as w from power where step = 40)"""
+
+
+@query("weights_pca", oracle("cells", f", {pca_sql()} select aoi_id, sub_index, indicator, round(w, 6) as w from pw").replace("with ", "with recursive ", 1))
 def _(spark, sf):
     return weights.weights_pca(normed(spark, sf))
 
