@@ -8,6 +8,11 @@ leave one partition with at most one, so two of its three parts are equal in bot
 sets.  The signatures of a set are therefore, for every partition, the three
 choices of two parts (with their elements); similar sets share at least one.
 
+With g partitions more, similar sets share at least g + 1 signatures, so each set may
+drop the last g of its own in any order that both follow: those with the fewest
+elements go.  They say least, and unrelated sets would meet in them (all sets without
+an element in two parts share the empty signature).
+
 What shares a signature is a candidate.  Parity sketches (one bit per hash bin)
 reject candidates that differ in too many bins, without losing a similar pair: the
 bins that differ are never more than the elements that differ.  The rest is
@@ -33,6 +38,8 @@ WIDTH, SIMILAR, OF = 5, 80, 100
 GROUP_SIGNATURES = 2_000_000
 #: Up to this many sets, all pairs that share a signature are candidates at once; beyond, see large_runs.
 SMALL_RUN = 12
+#: One partition more for each so many that are needed.
+SPARE = 6
 #: Most ids that are sent to every executor; more are joined by a shuffle.
 BROADCAST_IDS = 400_000
 #: Words whose hash a Python worker keeps.
@@ -120,28 +127,41 @@ def signatures(sets: list[np.ndarray], similar: int, of: int) -> tuple[np.ndarra
     size = np.array([len(s) for s in sets])
     ends = np.array(size_bands(int(size.max()), similar, of))
     own = np.searchsorted(ends, size)
+    doc = np.repeat(np.arange(len(sets)), size)
+    h = np.concatenate(sets)
+    value = mix(h, 3)
+    third = ((h & U(0x3FFFFFFF)) % U(3)).astype(np.int64)
     owner, out = [], []
     for band in (own, own + 1):
         k = (of - similar) * 2 * ends[band] // (of + similar)
-        n1 = np.where(k == 0, 1, (k + 2) // 2)
+        least = np.where(k == 0, 1, (k + 2) // 2)
+        spare = least // SPARE
+        n1 = least + spare
         base = np.concatenate([[0], np.cumsum(n1)])
-        doc = np.repeat(np.arange(len(sets)), size)
-        h = np.concatenate(sets)
         part = ((h >> U(34)) % n1[doc].astype(U)).astype(np.int64)
-        sub = ((h & U(0x3FFFFFFF)) % U(3)).astype(np.int64)
+        slot = (base[doc] + part) * 3 + third
         total = np.zeros(int(base[-1]) * 3, U)
-        np.add.at(total, (base[doc] + part) * 3 + sub, mix(h, 3))
+        np.add.at(total, slot, value)
+        count = np.bincount(slot, minlength=len(total)).reshape(-1, 3)
         total = total.reshape(-1, 3)
         who = np.repeat(np.arange(len(sets)), n1)
         place = (np.arange(base[-1]) - base[who]).astype(U) * U(1 << 16) + band[who].astype(U)
+        sigs, sizes = [], []
         for c, (x, y) in enumerate(((0, 1), (0, 2), (1, 2))):
-            s = mix(mix(total[:, x], 1) * U(3) + mix(total[:, y], 2) + (place * U(3) + U(c)) * MIX[0], 3)
-            fits = k[who] > 0 if c else np.ones(len(who), bool)
-            if c == 0:  # without differences the whole set is the one signature
-                whole = mix(total.sum(1, dtype=U) + place * MIX[1], 0)
-                s = np.where(k[who] > 0, s, whole)
-            out.append(s[fits])
-            owner.append(who[fits])
+            sigs.append(mix(mix(total[:, x], 1) * U(3) + mix(total[:, y], 2) + (place * U(3) + U(c)) * MIX[0], 3))
+            sizes.append(count[:, x] + count[:, y])
+        some = k[who] > 0
+        # without differences the whole set is the one signature
+        owner.append(who[~some])
+        out.append(mix(total.sum(1, dtype=U) + place * MIX[1], 0)[~some])
+        who3, sig = np.tile(who[some], 3), np.concatenate([x[some] for x in sigs])
+        few = np.minimum(np.concatenate([x[some] for x in sizes]), 63).astype(U)
+        order = np.argsort((who3.astype(U) << U(44)) | (few << U(38)) | (sig >> U(26)), kind="stable")
+        who3, sig = who3[order], sig[order]
+        first = np.searchsorted(who3, np.arange(len(sets)))
+        keep = np.arange(len(who3)) - first[who3] >= spare[who3]
+        owner.append(who3[keep])
+        out.append(sig[keep])
     return np.concatenate(owner), np.concatenate(out)
 
 
@@ -274,15 +294,21 @@ def close_enough(pairs: DataFrame, nodes: DataFrame, similar: int, of: int) -> D
     left = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
     right = nodes.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
 
+    sized = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * of >= F.greatest("na", "nb") * similar)
+    return _by_sketch(sized, similar, of)
+
+
+def _by_sketch(pairs: DataFrame, similar: int, of: int) -> DataFrame:
+    """Pairs (a, b) with sizes na, nb and sketches sa, sb that may be similar."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            a, c, na, nb, sa, sb = (b.column(i).to_pylist() for i in range(6))
+            na, nb, sa, sb = (b.column(i).to_pylist() for i in range(2, 6))
             ok = [sketch_distance(x, y) <= most_apart(i, j, similar, of) for x, y, i, j in zip(sa, sb, na, nb)]
             keep = pa.array(ok, pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(keep), b.column(1).filter(keep)], names=["a", "b"])
 
-    sized = pairs.join(left, "a").join(right, "b").where(F.least("na", "nb") * of >= F.greatest("na", "nb") * similar)
-    return sized.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a binary, b binary")
+    return pairs.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a binary, b binary")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, similar: int, of: int) -> DataFrame:
@@ -326,19 +352,24 @@ def _roots(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return out.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
-def large_runs(members: DataFrame, comp: DataFrame) -> DataFrame:
-    """Pairs of different components that share the signature of a large run.
+def large_runs(members: DataFrame, comp: DataFrame, nodes: DataFrame, similar: int, of: int) -> DataFrame:
+    """Pairs of different components that share the signature of a large run and that sketches do not rule out.
 
     In every run one component is the home; each member outside it meets all members
-    of other components. A run inside one component gives nothing.
+    of other components.  A run inside one component gives nothing.  Sizes and
+    sketches are looked at where the pairs arise, before anything is shuffled.
     """
     m = members.join(comp.select(F.col("node").alias("a"), "root"), "a", "left").select("sig", "a", F.coalesce("root", "a").alias("r"))
+    m = stage(m, "runs")
     split = m.groupBy("sig").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi").select("sig")
-    m = stage(m.join(split, "sig"), "runs")
+    sized = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
+    m = stage(m.join(split, "sig").join(sized, "a"), "split-runs")
     home = m.groupBy("sig", "r").agg(F.count(F.lit(1)).alias("n")).groupBy("sig").agg(F.max_by("r", F.struct("n", "r")).alias("home"))
-    stray = m.join(home, "sig").where("r <> home").select("sig", F.col("a").alias("s"), F.col("r").alias("rs"))
-    met = stray.join(m, "sig").where("r <> rs")
-    return met.select(F.least("a", "s").alias("a"), F.greatest("a", "s").alias("b")).distinct()
+    stray = m.join(home, "sig").where("r <> home").select(
+        "sig", F.col("a").alias("b"), F.col("r").alias("rb"), F.col("na").alias("nb"), F.col("sa").alias("sb"))
+    alike = F.least("na", "nb") * of >= F.greatest("na", "nb") * similar
+    met = stray.join(m, "sig").where((F.col("r") != F.col("rb")) & alike)
+    return _by_sketch(met, similar, of).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def similar_classes(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR, of: int = OF) -> DataFrame:
@@ -357,13 +388,13 @@ def similar_classes(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR,
         rows.where("n_shingles > 0").groupBy("node").agg(
             F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch")), "nodes")
     total = nodes.agg(F.sum("n_shingles")).first()[0] or 0
-    groups = max(16, -(-int(total * 0.85) // GROUP_SIGNATURES))
+    groups = max(16, -(-int(total * 0.9) // GROUP_SIGNATURES))
     found = stage(candidates(signature_rows(docs, groups, width, similar, of), similar, of), "candidates")
     near = stage(close_enough(found.where("b is not null").select("a", "b").distinct(), nodes, similar, of), "near")
     hooks = near.groupBy(F.greatest("a", "b").alias("a")).agg(F.min(F.least("a", "b")).alias("b"))
     links = stage(verified(hooks, docs, nodes, width, similar, of), "links-1")
     comp = stage(connected_components(links), "components-1")
-    rest = _roots(near, comp).unionAll(close_enough(large_runs(found.where("b is null").select("sig", "a"), comp), nodes, similar, of))
+    rest = _roots(near, comp).unionAll(large_runs(found.where("b is null").select("sig", "a"), comp, nodes, similar, of))
     rest = stage(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
     more = stage(verified(rest, docs, nodes, width, similar, of), "links-2")
     if more.count():
