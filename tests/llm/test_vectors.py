@@ -122,3 +122,17 @@ def test_graph_recall_and_degree():
     found, _ = graph_ann.beam_search(lifted, edges, entry, graph_ann.lifted(q, 0), graph_ann.SEARCH_BEAM)
     truth = np.argsort(-(q @ x.T), axis=1)[:, :20]
     assert np.mean([len(set(a) & set(b)) / 20 for a, b in zip(truth, found)]) > 0.97
+
+
+def test_search_equals_sql(spark):
+    """One shard of a few hundred vectors is searched completely."""
+    import os
+
+    from heatloom.llm import queries
+
+    if not os.path.isdir(H.SF):
+        pytest.skip("no test tables")
+    got = queries.op5(spark, H.SF).toPandas().sort_values(["query_id", "rank"]).reset_index(drop=True)
+    want = H.sf_duck(queries.NEAREST_SQL).sort_values(["query_id", "rank"]).reset_index(drop=True)
+    assert (got[["query_id", "rank", "vec_id"]] == want[["query_id", "rank", "vec_id"]]).all().all()
+    np.testing.assert_allclose(got.score, want.score, rtol=1e-12)
