@@ -46,10 +46,12 @@ def validate_bands(
 
 
 def assert_valid(report: DataFrame) -> None:
-    """Raise if a critical band failed.  At most 20 failures are brought to the driver."""
-    bad = report.where(F.col("status") == "fail").limit(20).collect()
+    """Raise if a critical band failed; the error counts all failures and names the first 20."""
+    failed = report.where(F.col("status") == "fail")
+    bad = failed.limit(20).collect()
     if bad:
-        raise ValueError("band validation failed: " + "; ".join(f"{r['indicator']}: {r['issue']}" for r in bad))
+        n = len(bad) if len(bad) < 20 else failed.count()
+        raise ValueError(f"band validation failed ({n}): " + "; ".join(f"{r['indicator']}: {r['issue']}" for r in bad))
 
 
 def index_plausibility(
