@@ -182,8 +182,7 @@ ELDERLY_FROM_AGE = 60
 DOWNSCALE_ZOOM = 4.5
 KRIGING_NEIGHBORS = 20
 KRIGING_SUB_PIXELS = 5
-VARIOGRAM_MAX_POINTS = 5_000
-VARIOGRAM_SPAN_POINTS = 500
+VARIOGRAM_MAX_LAG = 64.0  # coarse pixels
 VARIOGRAM_BINS = 19
 RF_TREES = [20, 50, 100]
 RF_MIN_LEAF = 5

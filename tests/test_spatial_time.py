@@ -176,6 +176,29 @@ def test_sparse_areas_and_wide_gaps(spark):
             assert np.allclose([n["dist"] for n in row.neighbors], np.sort(d)[:6])
 
 
+@pytest.mark.parametrize("max_lag", [4.0, 64.0])
+def test_variogram_uses_all_pairs(spark, max_lag):
+    rng = np.random.default_rng(11)
+    a = rng.normal(size=(13, 17))
+    a[rng.random(a.shape) < 0.2] = np.nan
+    rows = [(1, int(r), int(c), float(c), float(r), None if np.isnan(v) else float(v)) for (r, c), v in np.ndenumerate(a)]
+    pts = spark.createDataFrame(rows, "aoi_id int, row int, col int, x double, y double, v double")
+    got = {r["bin"]: r for r in D.empirical_variogram(pts, "v", max_lag=max_lag, n_bins=7).collect()}
+    known = np.argwhere(~np.isnan(a))
+    span = min(0.6 * np.hypot(*(known.max(0) - known.min(0))), max_lag)
+    n, s = np.zeros(7, int), np.zeros(7)
+    for i in range(len(known)):
+        d = np.hypot(*(known[i + 1:] - known[i]).T)
+        sq = (a[tuple(known[i + 1:].T)] - a[tuple(known[i])]) ** 2
+        for dist, e in zip(d, sq):
+            if dist < span:
+                k = min(int(np.floor(dist / (span / 7) + 1e-12)), 6)
+                n[k] += 1
+                s[k] += e
+    assert {k: r["n_pairs"] for k, r in got.items()} == {k: c for k, c in enumerate(n) if c}
+    assert all(r["gamma"] == pytest.approx(s[k] / (2 * n[k])) and r["center"] == pytest.approx((k + 0.5) * span / 7) for k, r in got.items())
+
+
 def test_spherical_fit_recovers_the_model():
     h = np.linspace(0.5, 18, 19)
     var, length, nugget = D.fit_spherical(h, 0.3 + 2.0 * (1 - D.spherical(h, 9.0)))
