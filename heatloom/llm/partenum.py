@@ -30,14 +30,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from heatloom.llm.common import chunks, worker_store
 from heatloom.llm.components import connected_components
+from heatloom.llm.itq_dedup import runs_of
 from heatloom.operators.rundir import n_tasks, stage
 
 #: Words of a shingle, and the least similarity as a fraction.
 WIDTH, SIMILAR, OF = 5, 80, 100
-#: Signatures that one step of a task compares at a time, on average.
-GROUP_SIGNATURES = 2_000_000
+#: Signatures that one step of a task compares at a time, on average, and the least number of such groups.
+GROUP_SIGNATURES, LEAST_GROUPS = 2_000_000, 32
 #: Up to this many sets, all pairs that share a signature are candidates at once; beyond, see large_runs.
 SMALL_RUN = 12
+#: Members of a large run that meet in one task; larger runs are dealt out as pairs of blocks.
+RUN_BLOCK = 4096
 #: One partition more for each so many that are needed.
 SPARE = 6
 #: Most ids that are sent to every executor; more are joined by a shuffle.
@@ -352,24 +355,75 @@ def _roots(pairs: DataFrame, comp: DataFrame) -> DataFrame:
     return out.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
-def large_runs(members: DataFrame, comp: DataFrame, nodes: DataFrame, similar: int, of: int) -> DataFrame:
+def hub_links(members: DataFrame, nodes: DataFrame, docs: DataFrame, width: int, similar: int, of: int) -> DataFrame:
+    """Links of the members of large runs to the hub of their run: the member that lies in most large runs.
+
+    Copies of one text that were changed at different places are often similar to the
+    text they come from but not to each other; that text shares the most signatures.
+    """
+    degree = members.groupBy("a").agg(F.count(F.lit(1)).alias("d"))
+    m = members.join(degree, "a")
+    hubs = m.groupBy("sig").agg(F.max_by("a", F.struct("d", "a")).alias("hub"))
+    stars = m.join(hubs, "sig").where("a <> hub").select(F.least("a", "hub").alias("a"), F.greatest("a", "hub").alias("b")).distinct()
+    return verified(stage(close_enough(stars, nodes, similar, of), "stars"), docs, nodes, width, similar, of)
+
+
+def large_runs(members: DataFrame, comp: DataFrame, nodes: DataFrame, similar: int, of: int, block: int = RUN_BLOCK) -> DataFrame:
     """Pairs of different components that share the signature of a large run and that sketches do not rule out.
 
-    In every run one component is the home; each member outside it meets all members
-    of other components.  A run inside one component gives nothing.  Sizes and
-    sketches are looked at where the pairs arise, before anything is shuffled.
+    Only runs with several components are looked at. Their members meet in one task,
+    or in one task for each pair of blocks where there are more than ``block``; sizes
+    and sketches are compared there, so no pair becomes a row before it has passed.
     """
     m = members.join(comp.select(F.col("node").alias("a"), "root"), "a", "left").select("sig", "a", F.coalesce("root", "a").alias("r"))
     m = stage(m, "runs")
-    split = m.groupBy("sig").agg(F.min("r").alias("lo"), F.max("r").alias("hi")).where("lo <> hi").select("sig")
-    sized = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
-    m = stage(m.join(split, "sig").join(sized, "a"), "split-runs")
-    home = m.groupBy("sig", "r").agg(F.count(F.lit(1)).alias("n")).groupBy("sig").agg(F.max_by("r", F.struct("n", "r")).alias("home"))
-    stray = m.join(home, "sig").where("r <> home").select(
-        "sig", F.col("a").alias("b"), F.col("r").alias("rb"), F.col("na").alias("nb"), F.col("sa").alias("sb"))
-    alike = F.least("na", "nb") * of >= F.greatest("na", "nb") * similar
-    met = stray.join(m, "sig").where((F.col("r") != F.col("rb")) & alike)
-    return _by_sketch(met, similar, of).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    split = m.groupBy("sig").agg(F.min("r").alias("lo_r"), F.max("r").alias("hi_r"), F.count(F.lit(1)).alias("n")).where(
+        "lo_r <> hi_r").select("sig", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    sized = nodes.select(F.col("node").alias("a"), F.col("n_shingles").alias("n"), F.col("sketch").alias("s"))
+    dealt = (
+        m.join(split, "sig").join(sized, "a").withColumn("block", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("sig", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "a", "r", "n", "s")
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[tuple[bytes, bytes]] = set()
+        for (_, lo, hi), b in runs_of(batches, ["sig", "lo", "hi"]):
+            names = b.column("a").to_pylist()
+            root = np.unique(np.array([int.from_bytes(r[:8], "little") for r in b.column("r").to_pylist()], U), return_inverse=True)[1]
+            size, side = b.column("n").to_numpy(), b.column("block").to_numpy()
+            bits = folded(b.column("s").to_pylist())
+            out = []
+            for i in range(0, len(names), 64):
+                at = slice(i, min(i + 64, len(names)))
+                both = size[at][:, None] + size[None, i:]
+                apart = np.bitwise_count(bits[at][:, None, :] ^ bits[None, i:, :]).sum(axis=2, dtype=np.int64)
+                ok = (apart <= (of - similar) * both // (of + similar)) & (root[at][:, None] != root[None, i:])
+                ok &= np.minimum(size[at][:, None], size[None, i:]) * of >= np.maximum(size[at][:, None], size[None, i:]) * similar
+                ok &= np.arange(i, len(names))[None, :] > np.arange(at.start, at.stop)[:, None]
+                if lo != hi:
+                    ok &= side[at][:, None] != side[None, i:]
+                for x, y in zip(*np.nonzero(ok)):
+                    pair = tuple(sorted((names[i + x], names[i + y])))
+                    if pair not in seen:
+                        if len(seen) >= KEEP_WORDS:
+                            seen.clear()
+                        seen.add(pair)
+                        out.append(pair)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+    keys = ["sig", "lo", "hi"]
+    return dealt.repartition(n_tasks(dealt), *keys).sortWithinPartitions(*keys).mapInArrow(run, "a binary, b binary").distinct()
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches as rows of 64-bit words, all folded to the bins of the smallest."""
+    width = min(map(len, sketches))
+    out = np.zeros((len(sketches), width // 8), U)
+    for i, s in enumerate(sketches):
+        out[i] = np.bitwise_xor.reduce(np.frombuffer(s, U).reshape(-1, width // 8), axis=0)
+    return out
 
 
 def similar_classes(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR, of: int = OF) -> DataFrame:
@@ -388,13 +442,15 @@ def similar_classes(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR,
         rows.where("n_shingles > 0").groupBy("node").agg(
             F.min("doc_id").alias("first_id"), F.min("n_shingles").alias("n_shingles"), F.min("sketch").alias("sketch")), "nodes")
     total = nodes.agg(F.sum("n_shingles")).first()[0] or 0
-    groups = max(16, -(-int(total * 0.9) // GROUP_SIGNATURES))
+    groups = max(LEAST_GROUPS, -(-int(total * 0.9) // GROUP_SIGNATURES))
     found = stage(candidates(signature_rows(docs, groups, width, similar, of), similar, of), "candidates")
     near = stage(close_enough(found.where("b is not null").select("a", "b").distinct(), nodes, similar, of), "near")
     hooks = near.groupBy(F.greatest("a", "b").alias("a")).agg(F.min(F.least("a", "b")).alias("b"))
-    links = stage(verified(hooks, docs, nodes, width, similar, of), "links-1")
+    members = found.where("b is null").select("sig", "a")
+    stars = hub_links(members, nodes, docs, width, similar, of)
+    links = stage(verified(hooks, docs, nodes, width, similar, of).unionAll(stars), "links-1")
     comp = stage(connected_components(links), "components-1")
-    rest = _roots(near, comp).unionAll(large_runs(found.where("b is null").select("sig", "a"), comp, nodes, similar, of))
+    rest = _roots(near, comp).unionAll(large_runs(members, comp, nodes, similar, of))
     rest = stage(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "rest")
     more = stage(verified(rest, docs, nodes, width, similar, of), "links-2")
     if more.count():

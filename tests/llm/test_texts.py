@@ -150,6 +150,26 @@ def test_no_link_is_lost(spark, monkeypatch, seed, small_run):
     H.same_rows([tuple(r) for r in got], H.similar_classes(rows))
 
 
+def test_copies_that_only_the_middle_links(spark, monkeypatch):
+    """Copies changed at different places, similar to their text and hardly to each other; runs in several blocks."""
+    rng = random.Random(9)
+    base = [f"b{i}" for i in range(110)]
+    rows = []
+    for i in range(60):
+        t = list(base)
+        for _ in range(rng.choice([0, 2, 3, 4, 5])):
+            t[rng.randrange(len(t))] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(t)))
+    monkeypatch.setattr(partenum, "RUN_BLOCK", 8)
+    original = partenum.large_runs
+    monkeypatch.setattr(partenum, "large_runs", lambda *a: original(*a, block=8))
+    for hubs in (True, False):
+        if not hubs:
+            monkeypatch.setattr(partenum, "hub_links", lambda m, *a: spark.createDataFrame([], "a binary, b binary"))
+        got = partenum.similar_classes(H.frame(spark, [(i, t, "s") for i, t in rows])).collect()
+        H.same_rows([tuple(r) for r in got], H.similar_classes(rows))
+
+
 def test_signatures_share_for_every_allowed_difference():
     rng = np.random.default_rng(4)
     for n in [1, 4, 5, 9, 10, 33, 120, 700]:
