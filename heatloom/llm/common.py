@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 #: A word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Characters of text that one numpy step works on.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
+#: Rows whose texts are Python strings at a time.
+SLICE_ROWS = 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +53,13 @@ def chunks(texts: list, most: int = CHUNK_CHARS) -> Iterator[tuple[int, list[str
         yield start, out
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
+    """The rows of batches in small ones, so that few texts are held as Python strings."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def labelled_sample(labels: DataFrame, label: str, per_class: int, folds: int = 5) -> tuple[DataFrame, dict[int, int]]:
     """At most ``per_class`` training ids of each class (a bounded sample), and the class counts of all training labels.
 
@@ -80,7 +89,7 @@ def filter_texts(docs: DataFrame, keep: Callable[[list], np.ndarray]) -> DataFra
     """The rows of ``docs`` whose text ``keep`` accepts, all columns as they are; one pass, no join."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             yield b.filter(pa.array(keep(b.column(b.schema.get_field_index("text")).to_pylist()), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from heatloom.llm.common import chunks, filter_texts, id_text, labelled_sample, sigmoid
+from heatloom.llm.common import chunks, filter_texts, id_text, labelled_sample, sigmoid, slices
 
 #: Bound of the sample that is fitted on: rows of each class.
 SAMPLE_PER_CLASS = 5000
@@ -78,7 +78,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
         every = _everything()
         n = np.zeros((2, 1 << BITS), np.int64)
         rows = np.zeros(2, np.int64)
-        for b in batches:
+        for b in slices(batches):
             y = np.array(b.column(1).to_pylist(), np.int64)
             rows += np.bincount(y, minlength=2)[:2]
             for first, part in chunks(b.column(2).to_pylist()):
@@ -107,7 +107,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
     ratio = ratio[keep]
 
     def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             feats = [np.zeros(0, np.int64)] * b.num_rows
             for first, part in chunks(b.column(2).to_pylist()):
                 doc, feat = presence(part, select)
@@ -170,7 +170,7 @@ def toxicity_scores(docs: DataFrame, model: dict | None, threshold: float = THRE
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zlib
 
-        for b in batches:
+        for b in slices(batches):
             score = score_texts(b.column(1).to_pylist(), model)
             crc = [zlib.crc32((v.as_py() or "").encode()) % folds == 0 for v in b.column(2)]
             yield pa.RecordBatch.from_arrays(

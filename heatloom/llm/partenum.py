@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from heatloom.llm.common import chunks, worker_store
+from heatloom.llm.common import chunks, slices, worker_store
 from heatloom.llm.components import connected_components
 from heatloom.llm.itq_dedup import runs_of
 from heatloom.operators.rundir import n_tasks, stage
@@ -46,7 +46,7 @@ SPARE = 6
 #: Most ids that are sent to every executor; more are joined by a shuffle.
 BROADCAST_IDS = 400_000
 #: Words whose hash a Python worker keeps.
-KEEP_WORDS = 300_000
+KEEP_WORDS = 200_000
 U = np.uint64
 #: Odd multipliers of the hashes.
 WORD_STEP = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
@@ -192,7 +192,7 @@ def signature_rows(docs: DataFrame, groups: int, width: int, similar: int, of: i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = word_hashes(), set()
-        for b in batches:
+        for b in slices(batches):
             for _, part in chunks(b.column(0).to_pylist()):
                 sets, nodes = [], []
                 for t in part:
@@ -323,7 +323,7 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, width: int, si
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = word_hashes()
-        for b in batches:
+        for b in slices(batches):
             sets = [shingle_set(t.as_py() or "", hashes, width) for t in b.column(0)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([node_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
