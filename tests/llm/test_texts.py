@@ -311,6 +311,42 @@ def test_model_learns(spark):
     assert got[0] > got[1]
 
 
+def test_model_learns_from_rows_outside_the_sample(spark):
+    """One language in the sample, another in all other training rows: the model knows both."""
+    rng = random.Random(8)
+    text = lambda pairs: " ".join(rng.choice(pairs) for _ in range(60))
+    other = ["zebra quilt", "jumbo fjord", "vexing hymn"]
+    ids = spark.range(300).where(attention_lm.fold("id", 10) != 0).orderBy(F.xxhash64("id"), "id").limit(10)
+    first = {r["id"] for r in ids.collect()}
+    rows = [(i, text(["kalo mine", "suzu pewe", "tora vika"] if i in first else other), "s") for i in range(300)]
+    got = attention_lm.language_scores(H.frame(spark, rows), tokenizer(), sample_docs=10, steps=100).where("held_out").agg(F.sum("score")).first()[0]
+    table = attention_lm.Subwords(tokenizer())
+    held, seen = ([t for i, t, _ in rows if (zlib.crc32(str(i).encode()) % 10 == 0) == out] for out in (True, False))
+    counts = np.bincount(attention_lm.streamed(table, seen, table.ids)[0], minlength=table.ids + 1) + 0.1
+    alone = np.log10(counts / counts.sum())[attention_lm.streamed(table, held, table.ids)[0]].sum()
+    assert got > 0.7 * alone  # negative: the exact shares of single ids are far worse
+
+
+def test_id_counts_cover_all_training_rows(spark):
+    rows = H.awkward()
+    table = attention_lm.Subwords(tokenizer())
+    head = attention_lm.frequent_words(["w1 w2"])
+    got = attention_lm.counted(attention_lm.tail_rows(H.frame(spark, rows), tokenizer(), head, 16, 10), head).where("kind = 3").collect()
+    texts = [t or "" for i, t, _ in rows if zlib.crc32((("" if i is None else str(i))).encode()) % 10]
+    ids = attention_lm.streamed(table, texts, table.ids)[0]
+    assert {r.word: r.n for r in got} == {i: n for i, n in enumerate(np.bincount(ids)) if n}
+
+
+def test_rounds_count_every_target_once():
+    rng = np.random.default_rng(9)
+    vocab = attention_lm.vocabulary(rng.integers(0, 50, 3000).astype(float), 2999)
+    m = attention_lm.new_model(vocab, np.full(vocab["start"], 1 / vocab["start"]))
+    streams = [np.concatenate([np.append(vocab["start"], rng.integers(0, vocab["start"], k)) for k in sizes]) for sizes in ((1, 5000, 3), (700,))]
+    n, g = attention_lm.summed_gradients(m, vocab, iter(streams))
+    assert n == 5704 and g.shape == (sum(v.size for v in m.values()),)
+    assert np.isfinite(g).all() and np.abs(g).max() > 0
+
+
 def test_pipeline_stages(spark, tmp_path):
     import corpus_pipeline
 
