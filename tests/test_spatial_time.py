@@ -218,6 +218,18 @@ def test_downscaling_is_coherent(spark):
     assert d["cc"] > 0.95 and d["n"] == 100
 
 
+def test_downscaling_does_not_depend_on_the_unit(spark):
+    """Pixels of 500 units give what pixels of one unit give."""
+    rng = np.random.default_rng(43)
+    fine = raster(spark, rng.uniform(0, 200, (45, 45)), "population")
+    light = raster(spark, rng.uniform(0, 60, (10, 10)), "ntl").join(raster(spark, rng.uniform(0, 200, (10, 10)), "population"), ["aoi_id", "row", "col"])
+    one, many = (
+        D.downscale_nightlights(light, fine, "ntl", ["population"], trees=(5,), dx=u, dy=u).toPandas().sort_values(["row", "col"])
+        for u in (1.0, 500.0))
+    assert many["resid_fine"].notna().all()
+    np.testing.assert_allclose(many[["resid_fine", "light"]], one[["resid_fine", "light"]], rtol=1e-6, atol=1e-8)
+
+
 @pytest.mark.parametrize("profile", [None, GroupProfile(1, 400, direct_rows=30)])
 def test_nldi(spark, profile):
     rng = np.random.default_rng(8)
