@@ -78,6 +78,43 @@ def table_plan(rows: int, threshold: float, total: int = BITS) -> tuple[int, int
     return bits, bits
 
 
+def measured_plan(rows: int, threshold: float, sample: dict[int, np.ndarray], model: dict, total: int = BITS, pairs: int = 4000) -> dict[int, tuple[int, int]]:
+    """For each dimension: (substring bits, probe radius) with which pairs exactly at the threshold meet, measured on the fitted codes.
+
+    Pairs turn sample vectors towards random directions, and towards other sample
+    vectors; both kinds must meet with chance MEET over all tables together.  Of the
+    widths up to that of ``table_plan``, the one with the fewest probes and
+    comparisons a vector is taken.
+    """
+    out, most = {}, table_plan(rows, threshold, total)[0]
+    for dim, x in sample.items():
+        if dim < 2:
+            continue
+        rng = np.random.default_rng(11)
+        x = unit(x)
+        a = x[rng.integers(0, len(x), pairs)]
+        kinds = []
+        for d in (rng.normal(size=a.shape), x[rng.integers(0, len(x), pairs)]):
+            d = d - (d * a).sum(axis=1, keepdims=True) * a
+            length = np.sqrt((d * d).sum(axis=1, keepdims=True))
+            fine = length[:, 0] > 1e-6
+            if fine.any():
+                b = threshold * a[fine] + np.sqrt(1 - threshold**2) * d[fine] / length[fine]
+                kinds.append(_codes(a[fine], model, total) != _codes(b, model, total))
+        best = None
+        for bits in range(8, most + 1):
+            tables = total // bits
+            # of every pair, the bits that differ in the table in which it is nearest
+            near = [k[:, : tables * bits].reshape(len(k), tables, bits).sum(axis=2).min(axis=1) for k in kinds]
+            radius = next(r for r in range(bits + 1) if all((n <= r).mean() >= MEET for n in near))
+            probes = sum(comb(bits, i) for i in range(radius + 1))
+            cost = tables * probes * (1 + rows / 2**bits / 32)
+            if best is None or cost <= best[0]:
+                best = (cost, bits, radius)
+        out[dim] = best[1:]
+    return out
+
+
 def _codes(x: np.ndarray, model: dict, total: int) -> np.ndarray:
     """0/1 bits of unit vectors; a dimension that was not in the sample uses its signs, repeated."""
     dim = x.shape[1]
@@ -87,22 +124,25 @@ def _codes(x: np.ndarray, model: dict, total: int) -> np.ndarray:
     return np.tile((x >= 0).astype(np.uint8), (1, -(-total // dim)))[:, :total]
 
 
-def bucket_rows(vectors: DataFrame, model: dict, bits: int, radius: int, total: int = BITS) -> DataFrame:
+def bucket_rows(vectors: DataFrame, model: dict, plan, total: int = BITS) -> DataFrame:
     """(label, dim, tab, bucket, home, rep, copies, code, embedding): a vector in its own bucket of every table, and in those it probes."""
-    flips = [np.array(c, np.int64) for r in range(radius + 1) for c in combinations(range(bits), r)]
-    masks = np.array([int((1 << f).sum()) if len(f) else 0 for f in flips], np.int64)
-    tables = total // bits
+
+    def probes(bits, radius):
+        flips = [np.array(c, np.int64) for r in range(radius + 1) for c in combinations(range(bits), r)]
+        return np.array([int((1 << f).sum()) if len(f) else 0 for f in flips], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             dims = batch.column(4).to_numpy(zero_copy_only=False)
             for dim in np.unique(dims):
                 b = batch.filter(pa.array(dims == dim))
+                bits, radius = plan(int(dim))
+                masks = probes(bits, radius)
                 code = _codes(unit(matrix(b.column(3))), model, total)
                 packed = np.packbits(code, axis=1)
                 codes = pa.array([r.tobytes() for r in packed], pa.binary())
                 weights = 1 << np.arange(bits, dtype=np.int64)
-                for t in range(tables):
+                for t in range(total // bits):
                     own = code[:, t * bits : (t + 1) * bits].astype(np.int64) @ weights
                     for i, m in enumerate(masks):
                         n = b.num_rows
@@ -128,10 +168,10 @@ def _local_roots(linked: np.ndarray) -> np.ndarray:
         root = new
 
 
-def bucket_links(rows: DataFrame, threshold: float, bits: int, radius: int) -> DataFrame:
+def bucket_links(rows: DataFrame, threshold: float, plan) -> DataFrame:
     """(rep, links, root): per bucket and vector its links to others, copies counted, and the least vector it is connected to there."""
 
-    def compare(rep, copies, home, block, code, x, lo, hi, tab):
+    def compare(rep, copies, home, block, code, x, lo, hi, tab, bits, radius):
         """Links of one bucket, or of one pair of blocks of it."""
         one = np.flatnonzero(home)
         x = unit(x)
@@ -168,7 +208,7 @@ def bucket_links(rows: DataFrame, threshold: float, bits: int, radius: int) -> D
             code = np.unpackbits(np.frombuffer(b"".join(b.column("code").to_pylist()), np.uint8).reshape(len(rep), -1), axis=1)
             weight, near = compare(
                 rep, b.column("copies").to_numpy().astype(float), b.column("home").to_numpy(zero_copy_only=False),
-                b.column("block").to_numpy(), code, matrix(b.column("embedding")), key[4], key[5], key[2])
+                b.column("block").to_numpy(), code, matrix(b.column("embedding")), key[4], key[5], key[2], *plan(int(key[1])))
             at = np.flatnonzero(near.any(axis=1))
             if not len(at):
                 continue
@@ -230,9 +270,11 @@ def near_duplicates(
     largest = unique.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     drawn = unique.select("rep", "embedding").orderBy(F.xxhash64("rep"), "rep").limit(sample).select("embedding").toArrow()["embedding"].combine_chunks()
     dims = drawn.value_lengths().to_numpy(zero_copy_only=False) if len(drawn) else np.zeros(0, int)
-    model = learn_codes({int(d): matrix(drawn.filter(pa.array(dims == d))) for d in np.unique(dims)})
-    bits, radius = table_plan(int(largest), threshold)
-    dealt = bucket_rows(unique, model, bits, radius)
+    drawn = {int(d): matrix(drawn.filter(pa.array(dims == d))) for d in np.unique(dims)}
+    model = learn_codes(drawn)
+    known, other = measured_plan(int(largest), threshold, drawn, model), table_plan(int(largest), threshold)
+    plan = lambda dim: known.get(dim, other)
+    dealt = bucket_rows(unique, model, plan)
     keys = ["label", "dim", "tab", "bucket"]
     big = stage(dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block).select(
         *[F.col(k).alias("_" + k) for k in keys], F.ceil(F.col("n") / block).cast("int").alias("blocks")), "big-buckets")
@@ -245,7 +287,7 @@ def near_duplicates(
         .withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
         .drop("_label", "_dim", "_tab", "_bucket", "blocks", "other")
     )
-    found = stage(bucket_links(placed, threshold, bits, radius), "bucket-links")
+    found = stage(bucket_links(placed, threshold, plan), "bucket-links")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     comp = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
     named = unique.select(F.col("label").alias("_label"), F.col("embedding").alias("_e"), "rep", "copies")

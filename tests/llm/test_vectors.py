@@ -77,6 +77,22 @@ def test_bits_are_balanced_and_keep_angles():
         assert 8 <= bits <= 24 and radius <= 4
 
 
+@pytest.mark.parametrize("offset", [0.0, 0.8])
+@pytest.mark.parametrize("n", [200, 100_000, 1_000_000])
+def test_pairs_at_the_threshold_meet_with_a_common_offset(offset, n):
+    rng = np.random.default_rng(5)
+    x = np.sqrt(1 - offset) * itq_dedup.unit(rng.normal(size=(8000, 64)))
+    x[:, 0] += np.sqrt(offset)
+    model = itq_dedup.learn_codes({64: x[:4000]})
+    bits, radius = itq_dedup.measured_plan(n, 0.93, {64: x[:4000]}, model)[64]
+    a = itq_dedup.unit(x[4000:])
+    d = rng.normal(size=a.shape)
+    d = itq_dedup.unit(d - (d * a).sum(1, keepdims=True) * a)
+    flips = itq_dedup._codes(a, model, 128) != itq_dedup._codes(0.93 * a + np.sqrt(1 - 0.93**2) * d, model, 128)
+    tables = 128 // bits
+    assert (flips[:, : tables * bits].reshape(-1, tables, bits).sum(2).min(1) <= radius).mean() > 0.97
+
+
 def brute_nearest(data, k):
     good = [(i, np.array(e, float)) for i, e, _ in data if i is not None and fine(e)]
     out = {}
