@@ -334,7 +334,7 @@ def _(spark, sf):
 
 
 # --- uncertainty -----------------------------------------------------------------------
-SAMPLES = 5
+SAMPLES = 500
 NOISE = ", ".join(
     (f"{c} + {size}::double * {S.normal(SEED, 'sample_id', 'aoi_id', 'cell_id', repr(c))} as {c}" if kind == "gaussian" else
      f"{c} * exp(sqrt(ln(1 + {size}::double * {size}::double)) * {S.normal(SEED, 'sample_id', 'aoi_id', 'cell_id', repr(c))}) as {c}")

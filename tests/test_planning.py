@@ -194,3 +194,14 @@ def test_priority_takes_the_riskiest_cells(spark, profile):
         top = ok.sort_values(["hri", "cell_id"], ascending=[False, True]).groupby("zone_id").head(n)
         want[top.cell_id] = code
     assert (got.to_numpy() == want).all()
+
+
+# --- registered sizes ----------------------------------------------------------------------
+def test_registered_samples_are_the_default():
+    import inspect
+
+    from heatloom.operators import uncertainty
+    from heatloom.plans import catalog_planning
+
+    for f in (uncertainty.perturb_indicators, uncertainty.mc_distribution):
+        assert catalog_planning.SAMPLES == inspect.signature(f).parameters["n"].default
