@@ -218,6 +218,24 @@ def test_downscaling_is_coherent(spark):
     assert d["cc"] > 0.95 and d["n"] == 100
 
 
+@pytest.mark.parametrize("name", ["rf_trend", "downscale_nightlights"])
+def test_registered_forests_choose_among_all_sizes(spark, monkeypatch, name):
+    from heatloom import constants as C
+
+    class Seen(Exception):
+        pass
+
+    def forest(coarse, fine, target, covariates, trees=tuple(C.RF_TREES), seed=42):
+        raise Seen(list(trees))
+
+    monkeypatch.setattr(D, "rf_trend", forest)
+    import __spark_entry__
+
+    with pytest.raises(Seen) as e:
+        __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
+    assert e.value.args[0] == C.RF_TREES
+
+
 def test_downscaling_does_not_depend_on_the_unit(spark):
     """Pixels of 500 units give what pixels of one unit give."""
     rng = np.random.default_rng(43)
