@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from heatloom.llm import (
-    attention_lm, budget_mix, chat_rotation, graph_ann, itq_dedup, length_buckets, nb_toxicity, pairwise_quality, partenum, prefix_tokens,
+    attention_lm, bisector_kmeans, budget_mix, chat_rotation, graph_ann, itq_dedup, length_buckets, nb_toxicity, pairwise_quality, partenum,
+    prefix_tokens, qd_whitening, warc,
 )
 from heatloom.llm.common import table, word_count
 
@@ -190,3 +191,55 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(
         "doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
         F.col("mix_target").alias("target"), F.col("mix_taken").cast("long").alias("taken"))
+
+
+@query("op11_qd_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return qd_whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+WARC_SQL = f"""
+WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
+n AS (SELECT page_id, octet_length(encode(html))::BIGINT AS payload_bytes, sha256(html) AS payload_digest,
+             row_number() OVER (PARTITION BY html ORDER BY page_id NULLS LAST, url NULLS LAST) AS k,
+             first_value(page_id) OVER (PARTITION BY html ORDER BY page_id NULLS LAST, url NULLS LAST) AS lead FROM p),
+m AS (SELECT *, payload_bytes >= {warc.LEAST_BYTES} AND k > 1 AS later FROM n)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN later THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN later THEN lead END AS refers_to FROM m
+"""
+
+
+@query("op12_warc_reader", WARC_SQL)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf_dir, "pages")).drop("payload")
+
+
+def kmeans_sql(k: int = 40, rounds: int = 5, dim: int = 64, scale: int = 256, salt: str = "2") -> str:
+    """The rounds as one layer of common table expressions each."""
+    fine = f"embedding IS NOT NULL AND len(embedding) = {dim} AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0"
+    layers = [f"""
+kept AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda c: CAST(floor({scale} * CAST(c AS DOUBLE)) AS BIGINT)) AS x
+         FROM embeddings WHERE CASE WHEN {fine} THEN true ELSE false END),
+c0 AS (SELECT row_number() OVER (ORDER BY sha256('{salt}:' || CAST(vec_id AS VARCHAR)) NULLS LAST, x) - 1 AS cluster, x AS c
+       FROM kept QUALIFY cluster < {k})"""]
+    for i in range(rounds + 1):
+        layers.append(f"""
+d{i} AS (SELECT r, cluster, list_sum(list_transform(list_zip(x, c), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT AS distance FROM kept, c{i}),
+a{i} AS (SELECT r, arg_min(cluster, (distance, cluster)) AS cluster, min(distance) AS distance FROM d{i} GROUP BY r)""")
+        if i < rounds:
+            layers.append(f"""
+s{i} AS (SELECT cluster, i, sum(v) AS s, count(*) AS n
+         FROM (SELECT cluster, unnest(x) AS v, generate_subscripts(x, 1) AS i FROM kept JOIN a{i} USING (r)) GROUP BY cluster, i),
+m{i} AS (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS c FROM s{i} GROUP BY cluster),
+c{i + 1} AS (SELECT cluster, coalesce(m{i}.c, c{i}.c) AS c FROM c{i} LEFT JOIN m{i} USING (cluster))""")
+    return f"""
+WITH {",".join(layers)}
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, sum(distance) OVER (PARTITION BY cluster)::BIGINT AS cluster_inertia,
+       sum(distance) OVER ()::BIGINT AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN kept USING (r) JOIN c{rounds} USING (cluster)
+"""
+
+
+@query("op13_bisector_kmeans", kmeans_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bisector_kmeans.bisector_kmeans(table(spark, sf_dir, "embeddings"))
