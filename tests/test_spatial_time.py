@@ -327,7 +327,7 @@ def test_streams_equal_batch(spark, tmp_path):
     got = S.run_available(S.stream_daily_max(src, lateness="60 days"), "t", ["aoi_id", "day"])
     want = heatwave.daily_max(df)
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-    alert = S.run_available(S.stream_heatwave_alert(src, 38.0, lateness="60 days"), "a", ["aoi_id"])
+    alert = S.run_available(S.stream_heatwave_alert(src, 38.0, lateness="60 days"), "a", ["aoi_id"], state_store=S.ROCKSDB)
     daily = want.where("max_hi > 38").toPandas()
     for r in alert.collect():
         days = set(pd.to_datetime(daily[daily.aoi_id == r["aoi_id"]].day).map(lambda d: (d - pd.Timestamp(0)).days))
