@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from heatloom import constants as C
 from heatloom.functions.labels import koppen_zone, size_mode
 from heatloom.operators.groups import DEFAULT_BY
+from heatloom.operators.polygons import geojson_of_parts, geometry_measures, points_in_polygons
 
 RING_TYPE = "array<struct<x:double,y:double>>"
 
@@ -31,8 +32,10 @@ def ring_bounds(ring: Column) -> dict[str, Column]:
     return {"minx": F.array_min(xs), "miny": F.array_min(ys), "maxx": F.array_max(xs), "maxy": F.array_max(ys)}
 
 
-def aoi_bounds_centroid(aois: DataFrame) -> DataFrame:
-    """Add bounds and the area-weighted centroid of the ring."""
+def aoi_bounds_centroid(aois: DataFrame, key: str = "aoi_id") -> DataFrame:
+    """Add bounds and the area-weighted centroid of the ring, or of ``parts`` with their holes taken off."""
+    if "parts" in aois.columns:
+        return aois.join(geometry_measures(aois, key).drop("area"), key, "left")
     ring = F.col("ring")
     # Coordinates relative to the first vertex keep the cross products small.
     local = F.transform(ring, lambda p: F.struct((p["x"] - ring[0]["x"]).alias("x"), (p["y"] - ring[0]["y"]).alias("y")))
@@ -61,10 +64,14 @@ def mercator_ring(ring: Column) -> Column:
     ))
 
 
-def cell_count_estimate(aois: DataFrame) -> DataFrame:
-    """Add area_km2, n_cells and mode; the area is measured on the Web-Mercator plane."""
-    area = F.abs(ring_area(mercator_ring(F.col("ring"))))
-    out = aois.withColumn("area_km2", area / 1e6)
+def cell_count_estimate(aois: DataFrame, key: str = "aoi_id") -> DataFrame:
+    """Add area_km2, n_cells and mode; the area of ``ring`` or ``parts`` is measured on the Web-Mercator plane."""
+    if "parts" in aois.columns:
+        plane = geometry_measures(aois, key, C.WEB_MERCATOR_RADIUS_M)
+        out = aois.join(plane.select(key, (F.col("area") / 1e6).alias("area_km2")), key, "left")
+    else:
+        area = F.abs(ring_area(mercator_ring(F.col("ring"))))
+        out = aois.withColumn("area_km2", area / 1e6)
     n = F.greatest(F.lit(1), F.ceil(F.col("area_km2") * 1e6 / (C.CELL_SIZE_M**2)))
     out = out.withColumn("n_cells", n.cast("long"))
     return out.withColumn("mode", size_mode(F.col("n_cells")))
@@ -98,7 +105,9 @@ def box_ring(minx: Column, miny: Column, maxx: Column, maxy: Column) -> Column:
 
 
 def aoi_geojson(aois: DataFrame) -> DataFrame:
-    """Add the ring as GeoJSON polygon text."""
+    """Add the ring, or ``parts`` with holes, as GeoJSON text."""
+    if "parts" in aois.columns:
+        return aois.withColumn("geojson", geojson_of_parts(F.col("parts")))
     coords = F.array(F.transform("ring", lambda p: F.array(p["x"], p["y"])))
     return aois.withColumn(
         "geojson", F.to_json(F.struct(F.lit("Polygon").alias("type"), coords.alias("coordinates")))
@@ -181,45 +190,15 @@ def aoi_circle_cells(cells: DataFrame, circles: DataFrame, by: Sequence[str] = D
 
 
 # --- polygons ------------------------------------------------------------------
-def _tile(c: Column, size: float) -> Column:
-    return F.floor(c / F.lit(size)).cast("long")
-
-
 def cells_in_polygon(
     cells: DataFrame, polygons: DataFrame, polygon_id: str = "polygon_id", tile_deg: float = 0.05
 ) -> DataFrame:
-    """Inner join of cells and the polygons that contain them (ray casting).
+    """Inner join of cells and the polygons that contain them.
 
-    Both sides meet on the tile they lie in, so no cell sees a distant polygon.
-    A polygon takes only the edges of the tile's latitude band to each tile, as
-    no other edge can be crossed there; its cost per cell does not grow with the
-    whole ring.
+    ``polygons`` has one ``ring`` per polygon, ``parts`` with holes, or rows of edges
+    (see ``polygons.polygon_edges``).
     """
-    n = F.size("ring")
-    edges = F.zip_with(
-        F.slice("ring", F.lit(1), n - 1), F.slice("ring", F.lit(2), n - 1),
-        lambda p, q: F.struct(p["x"].alias("x1"), p["y"].alias("y1"), q["x"].alias("x2"), q["y"].alias("y2")),
-    )
-    b = ring_bounds(F.col("ring"))
-    tiled = (
-        polygons.select(polygon_id, edges.alias("_edges"), *[v.alias(f"_{k}") for k, v in b.items()])
-        .withColumn("_tx", F.explode(F.sequence(_tile(F.col("_minx"), tile_deg), _tile(F.col("_maxx"), tile_deg))))
-        .withColumn("_ty", F.explode(F.sequence(_tile(F.col("_miny"), tile_deg), _tile(F.col("_maxy"), tile_deg))))
-    )
-    low, high = F.col("_ty") * F.lit(tile_deg), (F.col("_ty") + 1) * F.lit(tile_deg)
-    tiled = tiled.withColumn("_edges", F.filter(
-        "_edges", lambda e: (F.least(e["y1"], e["y2"]) <= high) & (F.greatest(e["y1"], e["y2"]) >= low)
-    ))
-    placed = cells.withColumns({"_tx": _tile(F.col("lon"), tile_deg), "_ty": _tile(F.col("lat"), tile_deg)})
-    lon, lat = F.col("lon"), F.col("lat")
-    crossed = F.filter("_edges", lambda e: ((e["y1"] > lat) != (e["y2"] > lat)) & (
-        lon < F.try_divide((e["x2"] - e["x1"]) * (lat - e["y1"]), e["y2"] - e["y1"]) + e["x1"]
-    ))
-    inside = (
-        lon.between(F.col("_minx"), F.col("_maxx")) & lat.between(F.col("_miny"), F.col("_maxy"))
-        & (F.size(crossed) % 2 == 1)
-    )
-    return placed.join(tiled, ["_tx", "_ty"]).where(inside).select(*cells.columns, polygon_id)
+    return points_in_polygons(cells, polygons, polygon_id, tile_deg)
 
 
 def cells_in_any_polygon(

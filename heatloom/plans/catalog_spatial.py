@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from heatloom import constants as C
 from heatloom.functions import labels
-from heatloom.operators import feasibility, grid, lookups, neighbors, prescribe, zones
+from heatloom.operators import feasibility, grid, lookups, neighbors, polygons as polygons_, prescribe, zones
 from heatloom.operators.rundir import run_dir
 from heatloom.plans import sqltext as S
 from heatloom.plans.catalog_index import RISK, risked
@@ -57,6 +57,55 @@ def _(spark, sf):
     return grid.cells_in_any_polygon(cells(spark, sf), polygons(spark, sf), tile_deg=0.005).select("cell_id")
 
 
+# Two parts for each supplier: the outline with a lake in it, and an island of the lake's shape further east.
+LAKE, ISLAND = 0.3, 0.0125
+PARTS_SQL = POLYGON_SQL.split(" edges as (")[0] + (
+    f" rings(ring, part, ring_no, f, dx) as (values (0, 0, 0, 1::double, 0::double), (1, 0, 1, {LAKE}::double, 0::double), (2, 1, 0, {LAKE}::double, {ISLAND}::double)),"
+    " edges as (select polygon_id, part, ring_no, cx + dx + f * a.x as x1, cy + f * a.y as y1, cx + dx + f * b.x as x2, cy + f * b.y as y2"
+    " from centres, rings, shape a join shape b on b.i = a.i + 1)"
+)
+PARTS_HITS = PARTS_SQL + (
+    ", hits as (select cell_id, polygon_id from cells, edges where (y1 > lat) <> (y2 > lat) and lon < (x2 - x1) * (lat - y1) / (y2 - y1) + x1"
+    " group by 1, 2 having count(*) % 2 = 1)")
+RING_SUMS = PARTS_SQL + (
+    ", o as (select polygon_id, min(x1) as minx, max(x1) as maxx, min(y1) as miny, max(y1) as maxy from edges group by 1),"
+    " l as (select polygon_id, part, ring_no, x1 - minx as x1, x2 - minx as x2, y1 - miny as y1, y2 - miny as y2 from edges join o using (polygon_id)),"
+    " r as (select polygon_id, ring_no, sum(x1 * y2 - x2 * y1) as a, sum((x1 * y2 - x2 * y1) * (x1 + x2)) as mx,"
+    " sum((x1 * y2 - x2 * y1) * (y1 + y2)) as my from l group by polygon_id, part, ring_no),"
+    " g as (select polygon_id, sum(s * a) as a, sum(s * mx) as mx, sum(s * my) as my"
+    " from (select *, sign(a) * case when ring_no = 0 then 1 else -1 end as s from r) group by 1)")
+
+
+def parted(spark, sf):
+    """Suppliers' areas as parts: an outline with a hole, and an island."""
+    key = F.col("s_suppkey")
+    cx, cy = F.lit(72.5) + 0.0005 * (key % 97), F.lit(23.0) + 0.001 * (key * 7 % 41)
+    ring = lambda f, dx: F.array(*[F.struct((cx + dx + f * F.lit(x)).alias("x"), (cy + f * F.lit(y)).alias("y")) for x, y in [*SHAPE, SHAPE[0]]])
+    parts = F.array(F.array(ring(1.0, 0.0), ring(LAKE, 0.0)), F.array(ring(LAKE, ISLAND)))
+    return view(spark, sf, "supplier").select(key.cast("bigint").alias("polygon_id"), parts.alias("parts"))
+
+
+@query("cells_in_multipolygon", oracle("cells", PARTS_HITS + " select cell_id, polygon_id from hits"))
+def _(spark, sf):
+    return grid.cells_in_polygon(cells(spark, sf), parted(spark, sf), tile_deg=0.005).select("cell_id", "polygon_id")
+
+
+@query("multipolygon_measures", oracle("cells", RING_SUMS + """ select polygon_id, round(minx, 6) as minx, round(miny, 6) as miny, round(maxx, 6) as maxx, round(maxy, 6) as maxy,
+    round(a / 2 * 1e6, 4) as area, round(minx + mx / (3 * a), 6) as lon, round(miny + my / (3 * a), 6) as lat from g join o using (polygon_id)"""))
+def _(spark, sf):
+    found = grid.geometry_measures(parted(spark, sf), "polygon_id")
+    return found.withColumn("area", F.round(F.col("area") * 1e6, 4))
+
+
+@query("multipolygon_geojson", oracle("cells", PARTS_SQL + """ select polygon_id, part::int as part, ring_no::int as ring_no, count(*) + 1 as n_points, round(max(x1), 6) as maxx, round(max(y1), 6) as maxy
+    from edges group by 1, 2, 3"""))
+def _(spark, sf):
+    back = polygons_.parts_from_geojson(grid.aoi_geojson(parted(spark, sf)).drop("parts"))
+    rings = back.select("polygon_id", F.posexplode("parts").alias("part", "rings")).select("polygon_id", "part", F.posexplode("rings").alias("ring_no", "ring"))
+    bounds = grid.ring_bounds(F.col("ring"))
+    return rings.select("polygon_id", "part", "ring_no", F.size("ring").cast("bigint").alias("n_points"), bounds["maxx"].alias("maxx"), bounds["maxy"].alias("maxy"))
+
+
 HAVERSINE = ("2 * 6371008.8::double * asin(sqrt(pow(sin(radians(lat - lat0) / 2), 2) + cos(radians(lat0)) * cos(radians(lat)) * pow(sin(radians(lon - lon0) / 2), 2)))")
 
 
