@@ -17,8 +17,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from heatloom.functions.basic import lerp
 from heatloom.operators.groups import DEFAULT_BY, GroupProfile, ensure_profile, join_stats
+from heatloom.operators.quantiles import ranked_values
 
 SKETCH_ACCURACY = 20_000
 
@@ -187,6 +187,10 @@ def unpivot(df: DataFrame, ids: Sequence[str], columns: Sequence[str]) -> DataFr
     return long.where(F.col("value").isNotNull())
 
 
+#: Values that one group may hold in the buffers of one aggregate, over all columns.
+BUFFER_VALUES = 1_000_000
+
+
 def percentiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -194,16 +198,19 @@ def percentiles(
     by: Sequence[str] = DEFAULT_BY,
     profile: GroupProfile | None = None,
 ) -> DataFrame:
-    """Exact linear-interpolated percentiles, one array column ``<c>_p`` per column and group."""
+    """Exact linear-interpolated percentiles, one array column ``<c>_p`` per column and group.
+
+    Groups whose values all fit into a buffer are sorted in one aggregate; for larger
+    ones the values are found by narrowing, with buffers that do not grow with a group.
+    """
     profile = ensure_profile(df, by, profile)
-    if profile.direct:
+    if profile.max_rows * len(columns) <= min(profile.direct_rows, BUFFER_VALUES):
         probs_lit = F.array(*[F.lit(float(p)) for p in probs])
         return df.groupBy(*by).agg(
             *[F.percentile(F.col(c).cast("double"), probs_lit).alias(f"{c}_p") for c in columns]
         )
     long = unpivot(df.select(*by, *columns), by, columns)
-    keys = [*by, "indicator"]
-    found = _bucketed_percentiles(long, keys, probs, profile.scaled(groups=len(columns)))
+    found = ranked_values(long, [*by, "indicator"], probs, profile.scaled(groups=len(columns)))
     wide = found.groupBy(*by).agg(
         *[F.max(F.when(F.col("indicator") == c, F.col("p"))).alias(f"{c}_p") for c in columns]
     )
@@ -211,46 +218,6 @@ def percentiles(
     return df.select(*by).distinct().join(wide, list(by), "left")
 
 
-def _bucketed_percentiles(
-    long: DataFrame, keys: list[str], probs: Sequence[float], profile: GroupProfile
-) -> DataFrame:
-    counts = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("_n"))
-    cut = _with_buckets(counts, keys, "value", None, profile)
-    per_bucket = cut.groupBy(*keys, "_b").agg(F.sum("_n").alias("_n"))
-    group = W.partitionBy(*keys)
-    ordered = group.orderBy("_b").rowsBetween(W.unboundedPreceding, W.currentRow)
-    spans = per_bucket.select(
-        *keys, "_b",
-        (F.sum("_n").over(ordered) - F.col("_n")).alias("_start"),
-        F.sum("_n").over(ordered).alias("_end"),
-        F.sum("_n").over(group).alias("_total"),
-    )
-    wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"))
-                                 for i, p in enumerate(probs)]))
-    spans = spans.withColumn("_w", wanted).withColumn("_pos", F.col("_w.p") * (F.col("_total") - 1))
-    spans = spans.withColumn("_k", F.explode(F.array(F.floor("_pos"), F.ceil("_pos")))).where(
-        (F.col("_k") >= F.col("_start")) & (F.col("_k") < F.col("_end"))
-    ).distinct()
-    hits = cut.join(spans, [*keys, "_b"], "inner")
-    w = W.partitionBy(*keys, "_b", "_w", "_k").orderBy("value").rowsBetween(
-        W.unboundedPreceding, W.currentRow
-    )
-    upto = F.sum("_n").over(w) + F.col("_start")
-    hits = hits.withColumn("_upto", upto).where(
-        (F.col("_k") < F.col("_upto")) & (F.col("_k") >= F.col("_upto") - F.col("_n"))
-    )
-    points = hits.groupBy(*keys, "_w").agg(
-        F.min_by("value", "_k").alias("_lo"), F.max_by("value", "_k").alias("_hi"),
-        F.max("_pos").alias("_pos"),
-    )
-    value = lerp(F.col("_lo"), F.col("_hi"), F.col("_pos") - F.floor("_pos"))
-    return (
-        points.select(*keys, F.struct(F.col("_w.i").alias("i"), value.alias("v")).alias("_pv"))
-        .groupBy(*keys)
-        .agg(F.transform(F.array_sort(F.collect_list("_pv")), lambda s: s["v"]).alias("p"))
-    )
-
-
 def medians(df: DataFrame, columns: Sequence[str], by: Sequence[str], profile: GroupProfile | None = None) -> DataFrame:
     """Exact medians per group."""
     p = percentiles(df, columns, [0.5], by, profile)

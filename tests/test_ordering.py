@@ -169,7 +169,7 @@ def test_missing_objective_is_an_error(spark):
 
 def test_long_hot_spells(spark, tmp_path):
     """A run of 100 days over several files is one run."""
-    from heatloom.streaming.forecast import run_available, stream_heatwave_alert
+    from heatloom.streaming.forecast import ROCKSDB, run_available, stream_heatwave_alert
 
     schema = "aoi_id int, valid_time timestamp, heat_index_c double"
     for part in range(4):
@@ -177,11 +177,13 @@ def test_long_hot_spells(spark, tmp_path):
         rows = spark.createDataFrame([(1, d) for d in days], "aoi_id int, d int").selectExpr(
             "aoi_id", "timestampadd(DAY, d, timestamp'2024-03-01 12:00:00') as valid_time", "45.0D as heat_index_c")
         rows.coalesce(1).write.parquet(str(tmp_path / f"in{part}"))
+    import os
     import shutil
     (tmp_path / "all").mkdir()
     for part in range(4):
         for f in (tmp_path / f"in{part}").glob("*.parquet"):
             shutil.copy(f, tmp_path / "all" / f"{part}.parquet")
+            os.utime(tmp_path / "all" / f"{part}.parquet", (1_700_000_000 + part,) * 2)  # read in this order
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "all"))
-    got = run_available(stream_heatwave_alert(stream, 40.0), "alert", ["aoi_id"]).collect()
+    got = run_available(stream_heatwave_alert(stream, 40.0), "alert", ["aoi_id"], state_store=ROCKSDB).collect()
     assert [(r["run_days"], r["alert"]) for r in got] == [(100, True)]

@@ -225,7 +225,7 @@ def test_registered_forests_choose_among_all_sizes(spark, monkeypatch, name):
     class Seen(Exception):
         pass
 
-    def forest(coarse, fine, target, covariates, trees=tuple(C.RF_TREES), seed=42):
+    def forest(coarse, fine, target, covariates, trees=tuple(C.RF_TREES), seed=42, by=()):
         raise Seen(list(trees))
 
     monkeypatch.setattr(D, "rf_trend", forest)
