@@ -159,24 +159,31 @@ def average_ranks(
     by: Sequence[str] = DEFAULT_BY,
     profile: GroupProfile | None = None,
     name: str = "rank",
+    among: Sequence[str] = (),
 ) -> DataFrame:
-    """Rank from 1; equal values share the mean of their ranks, and missing values are equal and lowest."""
+    """Rank from 1; equal values share the mean of their ranks, and missing values are equal and lowest.
+
+    For every boolean column in ``among`` the rank among the rows where it holds is added
+    as ``<name>_<column>``, NULL in other rows; all come from one pass over the order.
+    """
     profile = ensure_profile(df, by, profile)
+    ones = {name: F.lit(1), **{f"{name}_{c}": F.when(F.col(c), 1).otherwise(0) for c in among}}
+    holds = {name: F.lit(True), **{f"{name}_{c}": F.col(c) for c in among}}
     if profile.direct:
         group = W.partitionBy(*by).orderBy(value)
-        ties = group.rangeBetween(W.currentRow, W.currentRow)
-        rank = F.rank().over(group) + (F.count(F.lit(1)).over(ties) - 1) / 2.0
-        return df.withColumn(name, rank.cast("double"))
+        upto, ties = group.rangeBetween(W.unboundedPreceding, W.currentRow), group.rangeBetween(W.currentRow, W.currentRow)
+        return df.withColumns({
+            n: F.when(holds[n], F.sum(one).over(upto) - (F.sum(one).over(ties) - 1) / 2.0).cast("double") for n, one in ones.items()})
     # Ties are collapsed first, so no bucket grows with the frequency of a value.
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    counts = df.groupBy(*by, value).agg(*[F.sum(one).alias(f"_n_{n}") for n, one in ones.items()])
     cut = _with_buckets(counts, by, value, None, profile)
-    cut = _with_offsets(cut, by, profile, {"_before": F.sum("_n")})
+    cut = _with_offsets(cut, by, profile, {f"_before_{n}": F.sum(f"_n_{n}") for n in ones})
     w = W.partitionBy(*by, "_b").orderBy(value).rowsBetween(W.unboundedPreceding, W.currentRow)
-    upto = F.sum("_n").over(w) + F.col("_before")
-    ranked = cut.select(*by, value, (upto - (F.col("_n") - 1) / 2.0).cast("double").alias(name))
-    ranked = ranked.select(*[F.col(c).alias(f"_{c}") for c in [*by, value]], name)
+    rank = lambda n: F.sum(f"_n_{n}").over(w) + F.col(f"_before_{n}") - (F.col(f"_n_{n}") - 1) / 2.0
+    ranked = cut.select(*[F.col(c).alias(f"_{c}") for c in [*by, value]], *[rank(n).cast("double").alias(n) for n in ones])
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in [*by, value]]
-    return df.join(ranked, same, "inner").drop(*[f"_{c}" for c in [*by, value]])
+    out = df.join(ranked, same, "inner").drop(*[f"_{c}" for c in [*by, value]])
+    return out.withColumns({n: F.when(holds[n], F.col(n)) for n in ones if n != name}) if among else out
 
 
 def unpivot(df: DataFrame, ids: Sequence[str], columns: Sequence[str]) -> DataFrame:

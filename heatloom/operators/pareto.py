@@ -8,14 +8,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from heatloom import constants as C
 from heatloom.functions.basic import total
-from heatloom.operators.rundir import cut_lineage, n_tasks
+from heatloom.operators.rundir import n_tasks, run_dir, stage
 
 FIVE = ("f1", "f2", "f3", "f4", "f5")
-BLOCK_ROWS = 4_000
+#: Vectors of the first block (later ones have four times as many), and vectors sent to all tasks at most.
+BLOCK_ROWS, SENT_VECTORS = 4_000, 250_000
 
 
 def dominated_by(points: np.ndarray, others: np.ndarray) -> np.ndarray:
@@ -73,10 +74,10 @@ def pareto_front(
 ) -> DataFrame:
     """Solutions no other solution of the group dominates (all objectives minimised).
 
-    Equal vectors are collapsed and every batch is thinned by its own front.  The
-    survivors are hashed into blocks of at most about ``block_rows`` vectors;
-    each pair of blocks is one task that compares them as arrays, so no pair
-    becomes a row and no task holds more than two blocks.  The result is exact.
+    Equal vectors are collapsed and every batch is thinned by its own front.  A vector
+    only loses to one with a smaller sum, so the survivors are ordered by their sums
+    and taken in blocks: the front of the first block is final, and what is left is
+    thinned by it where it lies, without a shuffle.  The result is exact.
 
     With ``epsilon`` objectives are compared on boxes of that width, and the
     solution with the smallest sum represents its box.  Objectives must not be
@@ -88,35 +89,74 @@ def pareto_front(
     vectors = rows.select(*by, *[_objective(o) for o in objectives])
     # One shuffle serves the removal of duplicates and spreads the comparisons.
     vectors = vectors.repartition(n_tasks(vectors), *by, *objectives).distinct()
-    thinned = cut_lineage(vectors.mapInPandas(_prune(vectors.schema, by, objectives), vectors.schema))
-    largest = thinned.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    n_blocks = max(1, math.ceil(largest * 1.25 / block_rows))
-    losers = _block_losers(thinned, objectives, by, n_blocks)
-    front = thinned.join(losers, [*by, *objectives], "left_anti")
+    front = _front_in_blocks(vectors.mapInPandas(_prune(vectors.schema, by, objectives), vectors.schema), objectives, by, block_rows)
     keys = [rows[b] == front[b] for b in by] + [rows[o].cast("double") == front[o] for o in objectives]
     return rows.join(front, keys, "left_semi")
 
 
-def _block_losers(vectors: DataFrame, objectives: Sequence[str], by: Sequence[str], n_blocks: int) -> DataFrame:
-    """Vectors that lose against a vector of any block."""
-    block = F.pmod(F.xxhash64(*objectives), F.lit(n_blocks)).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    sent = vectors.withColumn("_own", block).withColumn("_other", other).withColumns({
-        "_i": F.least("_own", "_other"), "_j": F.greatest("_own", "_other"),
-    })
-    schema = vectors.schema
-    names = [f.name for f in schema.fields]
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        values = pdf[list(objectives)].to_numpy(dtype=float)
-        own, i, j = pdf["_own"].to_numpy(), pdf["_i"].iloc[0], pdf["_j"].iloc[0]
-        lost = np.zeros(len(pdf), dtype=bool)
-        for a, b in {(i, j), (j, i)}:
-            probe = own == a
-            lost[probe] |= dominated_by(values[probe], values[own == b])
-        return pdf.loc[lost, names]
+def _front_in_blocks(vectors: DataFrame, objectives: Sequence[str], by: Sequence[str], block_rows: int) -> DataFrame:
+    """The front of distinct vectors, block by block in the order of their sums.
 
-    return sent.groupBy(*by, "_i", "_j").applyInPandas(compare, schema).distinct()
+    Vectors of equal sums are ordered by their parts, so that a dominating vector comes
+    first even where sums are equal by rounding.
+    """
+    spark, schema, by = vectors.sparkSession, vectors.schema, list(by)
+    order = [*by, "_s", *objectives]
+    ordered = vectors.withColumn("_s", total([F.col(o) for o in objectives])).repartitionByRange(n_tasks(vectors), *order).sortWithinPartitions(*order)
+    # ids rise with the order; steps of them are counted, and a block is a whole number of steps
+    place, step = F.monotonically_increasing_id(), max(1, block_rows // 4)
+    steps = F.shiftright(place, 33) * F.lit(1 << 31) + F.floor(place.bitwiseAND(F.lit((1 << 33) - 1)) / step)
+    rest = stage(ordered.drop("_s").withColumn("_b", steps.cast("long")), "front-ordered")
+    folder, size, n = run_dir(spark, "front"), block_rows, 0
+    while True:
+        along = W.partitionBy(*by).orderBy("_b")
+        counts = rest.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n")).withColumns({"_c": F.sum("_n").over(along), "_k": F.row_number().over(along)})
+        ends = counts.where((F.col("_c") <= size) | (F.col("_k") == 1)).groupBy(*by).agg(F.max("_b").alias("_end"))
+        placed = rest.join(stage(ends, "front-ends"), by) if by else rest.withColumn("_end", F.lit(ends.first()[0]).cast("long"))
+        first = F.col("_b") <= F.col("_end")
+        block = placed.where(first).select(*schema.names)
+        block.groupBy(*by).applyInPandas(lambda pdf: _local_front(pdf, objectives)[list(pdf.columns)], schema).write.parquet(f"{folder}/block={n}")
+        best = spark.read.schema(schema).parquet(f"{folder}/block={n}")
+        rest = placed.where(~first).select(*schema.names, "_b")
+        if rest.isEmpty():
+            break
+        rest = stage(_thinned(rest, best, objectives, by), "front-rest")
+        size, n = min(4 * block_rows, size * 4), n + 1
+    return spark.read.schema(schema).parquet(*[f"{folder}/block={i}" for i in range(n + 1)])
+
+
+def _thinned(rest: DataFrame, best: DataFrame, objectives: Sequence[str], by: list[str]) -> DataFrame:
+    """The rows that no vector of the finished blocks dominates.
+
+    The vectors travel with the task, at most SENT_VECTORS of them; the groups are taken
+    in as many parts as that needs.
+    """
+    schema, objectives = rest.schema, list(objectives)
+    if by:
+        best = best.join(rest.select(*by).distinct(), by, "left_semi")
+    parts = max(1, -(-best.count() // SENT_VECTORS)) if by else 1
+    share = lambda df, i: df.where(F.pmod(F.xxhash64(*by), F.lit(parts)) == i) if parts > 1 else df
+    out = None
+    for i in range(parts):
+        sent: dict[tuple, list] = {}
+        for r in share(best, i).collect():
+            sent.setdefault(tuple(r[b] for b in by), []).append([r[o] for o in objectives])
+        tops = {k: np.array(v) for k, v in sent.items()}
+
+        def run(batches: Iterator[pd.DataFrame], tops=tops) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                keep = np.ones(len(pdf), dtype=bool)
+                values = pdf[objectives].to_numpy(dtype=float)
+                groups = pdf.groupby(by, sort=False).indices.items() if by else [((), np.arange(len(pdf)))]
+                for key, at in groups:
+                    own = tops.get(key if isinstance(key, tuple) else (key,))
+                    if own is not None:
+                        keep[at] = ~dominated_by(values[at], own)
+                yield pdf[keep]
+
+        part = share(rest, i).mapInPandas(run, schema)
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def _epsilon_front(
@@ -148,10 +188,9 @@ def _with_ranges(front: DataFrame, objectives: Sequence[str], by: Sequence[str])
     ranges = _ranges(front, objectives, by)
     if by:
         return front.join(ranges, list(by))
-    # Without a group there is exactly one row of ranges.
-    one = F.lit(1)
-    side = F.broadcast(ranges.withColumn("_one", one))
-    return front.withColumn("_one", one).join(side, "_one").drop("_one")
+    # Without a group there is exactly one row of ranges: a scalar subquery.
+    row = ranges.select(F.struct("*")).scalar()
+    return front.withColumn("_r", row).select("*", *[F.col(f"_r.{c}").alias(c) for c in ranges.columns]).drop("_r")
 
 
 def utopia_distance(front: DataFrame, objectives: Sequence[str] = FIVE, by: Sequence[str] = ()) -> DataFrame:
@@ -189,8 +228,8 @@ def pareto_table(
         *[F.max(F.when(F.col("strategy") == s, F.col(key))).alias(f"_{s}")
           for s in ("health_focused", "budget_focused", "balanced")]
     )
-    one = F.lit(1)
-    joined = front.withColumn("_one", one).join(F.broadcast(picks.withColumn("_one", one)), "_one")
+    row = picks.select(F.struct("*")).scalar()
+    joined = front.withColumn("_p", row).select("*", *[F.col(f"_p.{c}").alias(c) for c in picks.columns])
     extra = [((1.0 - F.col(objectives[0])) * 100.0).alias("mortality_reduction_pct")] if "f1_mortality_fraction" in names else []
     decisions = [F.get(F.col(x), F.lit(i)).alias(f"x_{i:04d}") for i in range(n_variables)] if x else []
     flags = [(F.col(key) == F.col(f"_{s}")).alias(f"is_{s}") for s in ("health_focused", "budget_focused", "balanced")]

@@ -155,43 +155,23 @@ def spearman_matrix(
 ) -> DataFrame:
     """Rank correlation of all indicator pairs over the cells that have both.
 
-    Ranks of a pair depend on which cells both columns hold.  One aggregate finds
-    the columns with gaps.  Columns without gaps share a single ranking; a column
-    with gaps adds one ranking of the others over its own cells.  Pairs of
-    columns with the same reference ranking are correlated in one aggregate.
+    The rank of a value in a pair counts the cells that hold the other column too.  One
+    pass over each column's order gives its rank among all its cells and among the
+    cells of every column with gaps, so gaps add counters, not passes.
     """
+    columns = list(columns)
     profile = ensure_profile(normed, by, profile)
     nulls = normed.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in columns]).first()
-    gaps = [c for c in columns if nulls[c] > 0]
-    full = [c for c in columns if c not in gaps]
-    # (columns ranked together, columns that must be present)
-    jobs: list[tuple[list[str], list[str], list[tuple[str, str]]]] = []
-    if len(full) > 1:
-        jobs.append((full, [], [(a, b) for i, a in enumerate(full) for b in full[i + 1:]]))
-    for i, g in enumerate(gaps):
-        if full:
-            jobs.append(([g, *full], [g], [(g, c) for c in full]))
-        for h in gaps[i + 1:]:
-            jobs.append(([g, h], [g, h], [(g, h)]))
-    order = {c: i for i, c in enumerate(columns)}
-    out = None
-    for ranked_columns, needed, pairs in jobs:
-        rows = normed.select(*by, "cell_id", *ranked_columns)
-        for c in needed:
-            rows = rows.where(F.col(c).isNotNull())
-        long = rows.unpivot([*by, "cell_id"], ranked_columns, "indicator", "value")
-        ranks = average_ranks(long, "value", [*by, "indicator"], profile.scaled(groups=len(ranked_columns)))
-        wide = ranks.groupBy(*by, "cell_id").agg(
-            *[F.max(F.when(F.col("indicator") == c, F.col("rank"))).alias(c) for c in ranked_columns]
-        )
-        corr = wide.groupBy(*by).agg(
-            F.count(F.lit(1)).alias("n"), *[correlation(a, b).alias(f"{a}|{b}") for a, b in pairs]
-        )
-        rho = F.inline(F.array(*[
-            F.struct(F.lit(min(p, key=order.get)).alias("indicator_a"), F.lit(max(p, key=order.get)).alias("indicator_b"),
-                     F.when(F.col("n") > min_pairs, F.col(f"{p[0]}|{p[1]}")).alias("rho"))
-            for p in pairs
-        ]))
-        part = corr.select(*by, "n", rho)
-        out = part if out is None else out.unionByName(part)
-    return out
+    held = {c: f"has_{i}" for i, c in enumerate(columns) if nulls[c] > 0}
+    rows = normed.select(*by, "cell_id", *columns, *[F.col(c).isNotNull().alias(h) for c, h in held.items()])
+    long = rows.unpivot([*by, "cell_id", *held.values()], [F.col(c).cast("double").alias(c) for c in columns], "indicator", "value")
+    ranks = average_ranks(long.where(F.col("value").isNotNull()), "value", [*by, "indicator"], profile.scaled(groups=len(columns)), among=list(held.values()))
+    found = F.struct("rank", *[f"rank_{h}" for h in held.values()])
+    wide = ranks.groupBy(*by, "cell_id").agg(*[F.max(F.when(F.col("indicator") == c, found)).alias(f"_r{i}") for i, c in enumerate(columns)])
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+    rank_in = lambda i, j: F.col(f"_r{i}")[f"rank_{held[columns[j]]}" if columns[j] in held else "rank"]
+    both = wide.select(*by, F.posexplode(F.array(*[F.struct(rank_in(i, j).alias("x"), rank_in(j, i).alias("y")) for i, j in pairs])).alias("_p", "_v"))
+    both = both.select(*by, "_p", F.col("_v.x").alias("_x"), F.col("_v.y").alias("_y")).where(F.col("_x").isNotNull() & F.col("_y").isNotNull())
+    out = both.groupBy(*by, "_p").agg(F.count(F.lit(1)).alias("n"), correlation("_x", "_y").alias("_rho"))
+    name = lambda k: F.get(F.array(*[F.lit(columns[p[k]]) for p in pairs]), F.col("_p"))
+    return out.select(*by, "n", name(0).alias("indicator_a"), name(1).alias("indicator_b"), F.when(F.col("n") > min_pairs, F.col("_rho")).alias("rho"))
