@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from heatloom import constants as C
 from heatloom.functions.basic import total
 from heatloom.functions.random import triangular, uniform
+from heatloom.operators.groups import GroupProfile, ensure_profile, join_stats
 
 SPATIAL = "A_spatial_effects"
 COST = "C_cost"
@@ -144,17 +145,25 @@ def post_state(
     return out.drop(*helpers)
 
 
-def with_hvi_post(state: DataFrame, by: Sequence[str]) -> DataFrame:
+def with_hvi_post(state: DataFrame, by: Sequence[str], profile: GroupProfile) -> DataFrame:
     """Add hvi_post: the raw index scaled over the zones of one solution and draw.
 
-    A plan has a bounded number of zones (450 at most from two-level zoning), so
-    a window per plan is small.
+    ``profile`` counts the zones of the plans.  Plans that fit into a task are scaled by
+    a window; for larger ones the range is an aggregate that is joined back.
     """
-    plan = W.partitionBy(*by)
-    lo, hi = F.min("hvi_raw_post").over(plan), F.max("hvi_raw_post").over(plan)
-    v = F.col("hvi_raw_post")
+    if profile.direct:
+        plan = W.partitionBy(*by)
+        out = state.withColumns({"_lo": F.min("hvi_raw_post").over(plan), "_hi": F.max("hvi_raw_post").over(plan)})
+    else:
+        out = join_stats(state, state.groupBy(*by).agg(F.min("hvi_raw_post").alias("_lo"), F.max("hvi_raw_post").alias("_hi")), by, profile)
+    v, lo, hi = F.col("hvi_raw_post"), F.col("_lo"), F.col("_hi")
     scaled = F.when(v.isNotNull(), F.when(hi > lo, (v - lo) / (hi - lo + 1e-12)).otherwise(0.5))
-    return state.withColumn("hvi_post", scaled)
+    return out.withColumn("hvi_post", scaled).drop("_lo", "_hi")
+
+
+def plan_profile(decisions: DataFrame, solution: Sequence[str], zone: Sequence[str], n_draws: int = 1) -> GroupProfile:
+    """Plans and draws, and the zones of the largest plan."""
+    return ensure_profile(decisions.select(*solution, *zone).distinct(), solution, None).scaled(groups=n_draws)
 
 
 def post_intervention_state(
@@ -166,10 +175,12 @@ def post_intervention_state(
     zone: Sequence[str] = ("zone_id",),
     keys: Sequence[str] = tuple(C.LONG_RUN_KEYS),
     compat: bool = False,
+    profile: GroupProfile | None = None,
 ) -> DataFrame:
-    """Zone state after a plan, including hvi_post."""
+    """Zone state after a plan, including hvi_post; ``profile`` as of ``plan_profile``."""
+    profile = profile or plan_profile(decisions, solution, zone, n_draws)
     state = post_state(zones, decisions, effects, n_draws, solution, zone, keys, compat)
-    return with_hvi_post(state, [*solution, "draw_id"])
+    return with_hvi_post(state, [*solution, "draw_id"], profile)
 
 
 def candidate_portfolios(

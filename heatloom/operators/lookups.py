@@ -8,8 +8,11 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from heatloom import constants as C
 from heatloom.functions.labels import iso3_from_point
+from heatloom.operators.rundir import stage
 
 MAX_LOOKUP_ROWS = 5_000
+#: Grid centres that are searched as a literal array.
+LITERAL_ROWS = 1_000
 
 
 def small_rows(df: DataFrame, limit: int = MAX_LOOKUP_ROWS) -> list:
@@ -21,26 +24,19 @@ def small_rows(df: DataFrame, limit: int = MAX_LOOKUP_ROWS) -> list:
 
 
 def join_beta(aois: DataFrame, beta: DataFrame, zone: str = "climate_zone") -> DataFrame:
-    """Add the mortality slope of the climate zone; an unknown zone is an error.
-
-    The zone letters are few, so the table becomes a literal map of the
-    projection and no join is left.  The error is raised by the row that has the
-    unknown zone.
-    """
-    pairs = {r["climate_zone"]: float(r["beta_per_degC"]) for r in small_rows(beta)}
-    table = F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
-    found = F.try_element_at(table, F.col(zone))
+    """Add the mortality slope of the climate zone; an unknown zone is an error, raised by the row that has it."""
+    side = beta.groupBy(F.col("climate_zone").alias("_zone")).agg(F.max("beta_per_degC").cast("double").alias("_beta"))
+    joined = aois.join(side, F.col(zone) == F.col("_zone"), "left")
     message = F.concat(F.lit("unknown climate zone: "), F.coalesce(F.col(zone), F.lit("NULL")))
-    return aois.withColumn("beta", F.when(found.isNull(), F.raise_error(message).cast("double")).otherwise(found))
+    value = F.when(F.col("_beta").isNull(), F.raise_error(message).cast("double")).otherwise(F.col("_beta"))
+    return joined.withColumn("beta", value).drop("_zone", "_beta")
 
 
 def join_cdr(
     aois: DataFrame, cdr: DataFrame, iso3: str = "iso3", default: float = C.CDR_DEFAULT
 ) -> DataFrame:
     """Add the crude death rate of the country, or the default."""
-    side = F.broadcast(cdr.select(
-        F.upper("country_iso3").alias("_iso3"), F.col("cdr_per_person_per_year").alias("_cdr")
-    ))
+    side = cdr.select(F.upper("country_iso3").alias("_iso3"), F.col("cdr_per_person_per_year").alias("_cdr"))
     joined = aois.join(side, F.upper(F.col(iso3)) == F.col("_iso3"), "left")
     return joined.withColumn("cdr", F.coalesce("_cdr", F.lit(default))).drop("_iso3", "_cdr")
 
@@ -49,32 +45,89 @@ def iso3_from_centroid(aois: DataFrame, lat: str = "lat", lon: str = "lon") -> D
     return aois.withColumn("iso3", iso3_from_point(F.col(lat), F.col(lon)))
 
 
-def nearest_delta(aois: DataFrame, grid: DataFrame, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Add the warming deltas of the nearest grid centre, the first row on ties.
+def nearest_delta(
+    aois: DataFrame, grid: DataFrame, lat: str = "lat", lon: str = "lon", literal_rows: int = LITERAL_ROWS, per_tile: int = 64,
+) -> DataFrame:
+    """Add grid_id, distance, d245 and d585 of the nearest grid centre, the lowest grid_id on ties.
 
-    ``grid`` has (grid_id, lat_center, lon_center, d245, d585) and a few hundred
-    rows.  It is held as a literal array and searched inside the projection, so
-    the rows are neither shuffled nor multiplied.
+    ``grid`` has (grid_id, lat_center, lon_center, d245, d585) at any places.  A counted,
+    small grid is a literal array that is searched inside the projection; a larger one
+    meets the rows on tiles (see ``nearest_centres``).  Rows without coordinates, or
+    beside an empty grid, get NULL.
     """
-    rows = sorted(small_rows(grid), key=lambda r: r["grid_id"])
+    centres = grid.select(
+        F.col("grid_id").cast("long").alias("grid_id"), F.col("lat_center").cast("double").alias("_y"), F.col("lon_center").cast("double").alias("_x"), "d245", "d585")
+    if grid.limit(literal_rows + 1).count() > literal_rows:
+        return nearest_centres(aois, centres, lat, lon, per_tile).withColumn("grid_id", F.col("grid_id").cast(grid.schema["grid_id"].dataType))
+    rows = sorted(centres.collect(), key=lambda r: r["grid_id"])
     # One SQL text: building hundreds of literals one by one would take seconds.
     points = F.expr("array(" + ", ".join(
-        f"struct({float(r['lat_center'])!r}D as y, {float(r['lon_center'])!r}D as x, {int(r['grid_id'])} as id, "
+        f"struct({float(r['_y'])!r}D as y, {float(r['_x'])!r}D as x, {int(r['grid_id'])} as id, "
         f"{float(r['d245'])!r}D as d245, {float(r['d585'])!r}D as d585)" for r in rows
-    ) + ")")
+    ) + ")") if rows else F.lit(None).cast("array<struct<y:double,x:double,id:int,d245:double,d585:double>>")
 
     def ranked(p: Column) -> Column:
         dy, dx = p["y"] - F.col(lat), p["x"] - F.col(lon)
         return F.struct(F.sqrt(dy * dy + dx * dx).alias("dist"), p["id"].alias("id"),
                         p["d245"].alias("d245"), p["d585"].alias("d585"))
 
-    best = F.array_min(F.transform(points, ranked))
+    placed = F.col(lat).isNotNull() & F.col(lon).isNotNull()
+    best = F.when(placed, F.array_min(F.transform(points, ranked)))
     return aois.withColumn("_b", best).withColumns({
         "grid_id": F.col("_b.id"), "distance": F.col("_b.dist"),
         "d245": F.col("_b.d245"), "d585": F.col("_b.d585"),
     }).drop("_b")
 
 
+def nearest_centres(points: DataFrame, centres: DataFrame, lat: str, lon: str, per_tile: int = 64) -> DataFrame:
+    """``points`` with grid_id, distance and the other columns of the nearest of ``centres`` (grid_id, _y, _x, ...).
+
+    Centres lie on tiles of which none holds more than ``per_tile`` centres, as far as
+    cutting tiles helps.  A place looks at its tile and the eight around it; what it
+    finds is the nearest if no centre outside them can be nearer, else it looks again
+    with tiles of twice the size.  Equal places are looked up once.
+    """
+    spark = points.sparkSession
+    facts = [c for c in centres.columns if c not in ("_x", "_y")]
+    centres = stage(centres.where(F.col("_x").isNotNull() & F.col("_y").isNotNull() & ~F.isnan("_x") & ~F.isnan("_y")), "centres")
+    e = centres.agg(*[f(c) for c in ("_x", "_y") for f in (F.min, F.max)], F.count(F.lit(1))).first()
+    span = max((e[1] or 0) - (e[0] or 0), (e[3] or 0) - (e[2] or 0), 1e-9)
+    tile = lambda c, size: F.floor(F.col(c) / F.lit(size)).cast("long")
+    size = span / max(1.0, (e[4] / 4.0) ** 0.5)
+    for _ in range(12):
+        top = centres.groupBy(tile("_x", size), tile("_y", size)).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+        if top <= per_tile:
+            break
+        size /= 4.0
+    px, py = F.col(lon).cast("double").alias("_px"), F.col(lat).cast("double").alias("_py")
+    open_places = points.select(px, py).distinct().where(F.col("_px").isNotNull() & F.col("_py").isNotNull() & ~F.isnan("_px") & ~F.isnan("_py"))
+    found, near = None, F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    while e[4]:
+        tx, ty = tile("_px", size), tile("_py", size)
+        asked = open_places.withColumns({"_tx": tx, "_ty": ty}).withColumn("_d", F.explode(near)).select(
+            "_px", "_py", (F.col("_tx") + F.col("_d.i")).alias("_cx"), (F.col("_ty") + F.col("_d.j")).alias("_cy"))
+        held = centres.withColumns({"_cx": tile("_x", size), "_cy": tile("_y", size)})
+        dy, dx = F.col("_y") - F.col("_py"), F.col("_x") - F.col("_px")
+        met = asked.join(held, ["_cx", "_cy"]).withColumn("distance", F.sqrt(dy * dy + dx * dx))
+        best = met.groupBy("_px", "_py").agg(F.min(F.struct("distance", *facts)).alias("_b"))
+        # what lies outside the nine tiles is at least this far away; nothing does if they hold all centres
+        edge = F.least(*[d for c, t in (("_px", tx), ("_py", ty)) for d in (F.col(c) - (t - 1) * F.lit(size), (t + 2) * F.lit(size) - F.col(c))])
+        whole = ((tx - 1) * F.lit(size) <= F.lit(e[0])) & ((tx + 2) * F.lit(size) > F.lit(e[1])) & ((ty - 1) * F.lit(size) <= F.lit(e[2])) & ((ty + 2) * F.lit(size) > F.lit(e[3]))
+        looked = stage(open_places.join(best, ["_px", "_py"], "left").withColumn(
+            "_sure", F.coalesce(F.col("_b.distance") < edge * (1 - 1e-9), F.lit(False)) | whole), "nearest")
+        part = looked.where("_sure").select("_px", "_py", "_b.*")
+        found = part if found is None else found.unionByName(part)
+        open_places = looked.where("not _sure").select("_px", "_py")
+        if open_places.isEmpty():
+            break
+        size *= 2.0
+    if found is None:
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in centres.schema.fields if f.name in facts)
+        found = spark.createDataFrame([], f"_px double, _py double, distance double, {kinds}")
+    same = (F.col(lon).cast("double") == F.col("_px")) & (F.col(lat).cast("double") == F.col("_py"))
+    return points.join(found, same, "left").drop("_px", "_py")
+
+
 def epoch_asof(
     epochs: DataFrame, year: Column | int, by: Sequence[str] = ("cell_id",), value: str = "built_surface",
     epoch: str = "epoch",

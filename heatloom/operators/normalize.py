@@ -43,6 +43,11 @@ def robust_normalize(
     if stats is None:
         stats = percentiles(df, columns, probs, by, profile)
     joined = join_stats(df, stats, by, profile)
+    return joined.withColumns(scaled_columns(columns, directions, suffix)).drop(*[f"{c}_p" for c in columns])
+
+
+def scaled_columns(columns: Sequence[str], directions: Mapping[str, str], suffix: str = "") -> dict[str, Column]:
+    """The columns clipped to their percentiles ``<c>_p`` of the same row and scaled to [0, 1]."""
 
     def scaled(c: str) -> Column:
         # One SQL text per column: far fewer driver calls than nested functions.
@@ -51,9 +56,7 @@ def robust_normalize(
                f"else (least(greatest({v}, {lo}), {hi}) - {lo}) / ({hi} - {lo}) end")
         return F.expr(f"1.0D - ({out})" if directions.get(c, "positive") == "negative" else out)
 
-    return joined.withColumns({f"{c}{suffix}": scaled(c) for c in columns}).drop(
-        *[f"{c}_p" for c in columns]
-    )
+    return {f"{c}{suffix}": scaled(c) for c in columns}
 
 
 def minmax_norm(

@@ -9,10 +9,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from heatloom import constants as C
 from heatloom.functions.basic import clamp
 from heatloom.functions.heat import attributable_deaths, attributable_fraction
-from heatloom.operators.groups import GroupProfile, ensure_profile
-from heatloom.operators.interventions import post_intervention_state
+from heatloom.operators.groups import GroupProfile, ensure_profile, join_stats
+from heatloom.operators.interventions import plan_profile, post_intervention_state
 from heatloom.operators.lookups import small_rows
-from heatloom.operators.ordering import row_numbers
+from heatloom.operators.ordering import percentiles, row_numbers
 
 SOLUTION = ("solution_id",)
 
@@ -175,23 +175,34 @@ def short_run_objectives(
     by: Sequence[str] = SOLUTION,
     hri_p75: Column | None = None,
     profile: GroupProfile | None = None,
+    area: Sequence[str] = (),
 ) -> DataFrame:
     """Coverage gap, cost share and inequality of emergency plans, with two constraints.
 
-    ``decisions`` has (by, zone_id, intervention_key, qty) of short-run keys;
-    ``zones`` has (zone_id, hri, elderly_frac, population).  The risk threshold is
-    the 75th percentile over the zones unless given.
+    ``decisions`` has (by, area, zone_id, intervention_key, qty) of short-run keys;
+    ``zones`` has (area, zone_id, hri, elderly_frac, population).  The risk threshold is
+    the 75th percentile over the zones of each area, or over all zones without ``area``,
+    unless given.  With ``area`` a plan of several areas is scored in each of them.
     """
+    area = list(area)
+    by, place = [*area, *by], [*area, "zone_id"]
     values = unit_values(params)
     qty = {k: F.coalesce(F.sum(F.when(F.col("intervention_key") == k, F.col("qty"))), F.lit(0.0)) for k in C.SHORT_RUN_KEYS}
     per_zone = decisions.groupBy(*by, "zone_id").agg(
         qty["SR1_cooling_center"].alias("_cool"), qty["SR5_shade_structure"].alias("_shade"),
         qty["SR4_medical_prepositioning"].alias("_med"), plan_cost(values).alias("_cost"),
     )
+    side = zones.select(*place, "hri", "elderly_frac", "population")
     if hri_p75 is None:
-        row = zones.agg(F.percentile("hri", F.lit(0.75)).alias("p")).first()
-        hri_p75 = F.lit(float(row["p"]) if row["p"] is not None else 0.0)
-    state = per_zone.join(zones.select("zone_id", "hri", "elderly_frac", "population"), "zone_id")
+        keyed = side if area else side.withColumn("_all", F.lit(0))
+        own = area or ["_all"]
+        sizes = ensure_profile(keyed, own, None)
+        risk = percentiles(keyed, ["hri"], [0.75], own, sizes).select(*own, F.coalesce(F.col("hri_p")[0], F.lit(0.0)).alias("_p75"))
+        if area:
+            side, hri_p75 = join_stats(side, risk, area, sizes), F.col("_p75")
+        else:
+            hri_p75 = F.coalesce(risk.select("_p75").scalar(), F.lit(0.0))
+    state = per_zone.join(side, place)
     cover = F.least(F.lit(1.0), 0.3 * (F.col("_cool") + F.col("_shade")))
     state = state.withColumns({
         "_cover": cover,
@@ -233,9 +244,8 @@ def long_run_objectives(
     """
     plan = [*solution, "draw_id"]
     if profile is None:
-        zones_per_plan = ensure_profile(decisions.select(*solution, *zone).distinct(), solution, None)
-        profile = zones_per_plan.scaled(groups=n_draws)
-    state = post_intervention_state(zones, decisions, effects, n_draws, solution, zone, compat=compat)
+        profile = plan_profile(decisions, solution, zone, n_draws)
+    state = post_intervention_state(zones, decisions, effects, n_draws, solution, zone, compat=compat, profile=profile)
     m = mmt if isinstance(mmt, Column) else F.lit(float(mmt))
     days = scenarios[0][3] if scenarios else float(C.EVENT_DAYS)
     af = attributable_fraction(F.col("lst_post"), m, F.col("hvi_post"), F.lit(beta), lam)

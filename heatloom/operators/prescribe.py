@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from heatloom import constants as C
 from heatloom.functions.labels import code_to_name, intervention_code
-from heatloom.operators.feasibility import feasible_long
+from heatloom.operators.feasibility import feasibility_columns
 from heatloom.operators.groups import GroupProfile, ensure_profile
 from heatloom.operators.neighbors import majority_filter_sticky
 from heatloom.operators.ordering import row_numbers
@@ -32,12 +32,13 @@ def priority_topk(
     cell that is not chosen has code 0.
     """
     place = [*by, "zone_id"]
-    keep = [*place, "cell_id", "hri"]
-    wanted = decisions.where(F.col("qty") >= 1).select(
-        *place, "intervention_key", "k", F.col("qty").cast("long").alias("_n")
-    )
-    options = feasible_long(cells, keep, list(keys) if keys else None)
-    candidates = options.join(wanted, [*place, "intervention_key"])
+    rules = {k: v for k, v in feasibility_columns(cells.columns).items() if keys is None or k in keys}
+    wanted = decisions.where((F.col("qty") >= 1) & F.col("intervention_key").isin(list(rules)))
+    # a zone's plan has one entry per intervention, so the array is short; cells of other zones are left out
+    plans = wanted.groupBy(*place).agg(F.collect_list(F.struct("intervention_key", "k", F.col("qty").cast("long").alias("_n"))).alias("_plan"))
+    may = F.array_compact(F.array(*[F.when(rule, F.lit(k)) for k, rule in rules.items()]))
+    planned = cells.select(*place, "cell_id", "hri", may.alias("_may")).join(plans, place)
+    candidates = planned.select(*place, "cell_id", "hri", F.inline(F.filter("_plan", lambda p: F.array_contains("_may", p["intervention_key"]))))
     group = [*place, "intervention_key"]
     if profile is None:
         profile = ensure_profile(cells, place, None).scaled(groups=len(C.INTERVENTION_CODES))

@@ -8,13 +8,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from heatloom import constants as C
-from heatloom.functions.basic import correlation
+from heatloom.functions.basic import correlation, rescale
 from heatloom.functions.random import normal
 from heatloom.operators.groups import DEFAULT_BY, GroupProfile, ensure_profile
-from heatloom.operators.index import hvi, hvi_formula, subindex
-from heatloom.operators.normalize import robust_normalize
-from heatloom.operators.ordering import average_ranks
-from heatloom.operators.rundir import n_tasks
+from heatloom.operators.index import hvi, hvi_formula, subindex, with_subindices
+from heatloom.operators.normalize import robust_normalize, scaled_columns
+from heatloom.operators.ordering import BUFFER_VALUES, average_ranks
+from heatloom.operators.rundir import n_tasks, stage
 from heatloom.operators.weights import equal_weights_map
 
 
@@ -47,16 +47,21 @@ def mc_distribution(
 ) -> DataFrame:
     """Distribution of each cell's index over perturbed indicators.
 
-    The index runs with (by, sample) as its group.  A cell then has n values,
-    which bounds its percentile buffer.
+    The index runs with (by, sample) as its group.  Rows are spread by that group once,
+    after the draw, and percentiles, scaling and range are windows on it, so every draw
+    is made once.  Areas too large for that are written once and go through ``hvi``.  A
+    cell then has n values, which bounds its percentile buffer.
     """
+    columns = [c for c in C.INDICATORS if c in cells.columns]
     profile = ensure_profile(cells, by, profile).scaled(groups=n)
-    base = cells.select(*by, "cell_id", *[c for c in C.INDICATORS if c in cells.columns])
-    # Cells are spread before they are multiplied: the samples of a cell then lie
-    # together, and the last aggregate needs no shuffle of n times the rows.
+    base = cells.select(*by, "cell_id", *columns)
     base = base.repartition(n_tasks(base), *by, "cell_id")
     samples = perturb_indicators(base, n, seed, (*by, "cell_id"), method=method)
-    scored = hvi(samples, by=[*by, "sample_id"], profile=profile)
+    group = [*by, "sample_id"]
+    if profile.max_rows * len(columns) <= BUFFER_VALUES:
+        scored = _scored_in_windows(samples.repartition(n_tasks(base), *group), columns, group)
+    else:
+        scored = hvi(stage(samples, "samples"), by=group, profile=profile)
     p = F.percentile("hvi", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
     out = scored.groupBy(*by, "cell_id").agg(
         p.alias("_p"), F.avg("hvi").alias("mean"), F.stddev_pop("hvi").alias("std"), F.count("hvi").alias("n_valid")
@@ -67,6 +72,17 @@ def mc_distribution(
     )
 
 
+def _scored_in_windows(samples: DataFrame, columns: Sequence[str], group: Sequence[str]) -> DataFrame:
+    """The index of every row, all statistics as windows over its group."""
+    w = W.partitionBy(*group)
+    probs = F.array(*[F.lit(float(p)) for p in C.CLIP_PERCENTILES])
+    with_stats = samples.withColumns({f"{c}_p": F.percentile(F.col(c).cast("double"), probs).over(w) for c in columns})
+    out = with_subindices(with_stats.withColumns(scaled_columns(columns, C.INDICATOR_DIRECTIONS)))
+    out = out.withColumn("_raw", hvi_formula(F.col("e"), F.col("s"), F.col("ac"))).select(*group, "cell_id", "_raw")
+    lo, hi = F.min("_raw").over(w), F.max("_raw").over(w)
+    return out.withColumns({"_lo": lo, "_hi": hi}).select(*group, "cell_id", rescale(F.col("_raw"), F.col("_lo"), F.col("_hi"), C.FLAT_SPAN).alias("hvi"))
+
+
 def weight_variants(shift: float = C.WEIGHT_SHIFT) -> list[tuple[str, str, str, dict[str, float]]]:
     """(sub_index, indicator, direction, weights): every weight moved up and down, then renormalised."""
     out = []
@@ -89,38 +105,69 @@ def weight_variant_cross(
     Only one sub-index differs per variant, so all variants are expressions over
     the same normalised row.  Rescaling is left out: it does not change ranks.
     """
+    variants = F.array(*[
+        F.struct(F.lit(s).alias("sub_index"), F.lit(name).alias("indicator"), F.lit(direction).alias("direction"), F.col(f"_v{i}").alias("hvi"))
+        for i, (s, name, direction, _) in enumerate(weight_variants(shift))])
+    return _wide_variants(cells, by, shift, profile).select(*by, "cell_id", "hvi_nominal", F.inline(variants))
+
+
+def _wide_variants(cells: DataFrame, by: Sequence[str], shift: float, profile: GroupProfile | None) -> DataFrame:
+    """(by, cell_id, hvi_nominal, _v0, _v1, ...): the index under every shifted weight as a column.
+
+    A sub-index is a sum over a sum of weights, so a shifted weight only adds to both
+    sums of its sub-index, which are worked out once; scaling all weights of a sub-index
+    changes nothing.
+    """
     profile = ensure_profile(cells, by, profile)
     base = cells.select(*by, "cell_id", *C.INDICATORS)
     normed = robust_normalize(base, C.INDICATORS, by, profile=profile)
     nominal = {C.SUB_INDEX_COLUMN[s]: subindex(w) for s, w in equal_weights_map().items()}
-    normed = normed.withColumns(nominal).withColumn("hvi_nominal", hvi_formula(F.col("e"), F.col("s"), F.col("ac")))
-    variants = []
-    for s, name, direction, w in weight_variants(shift):
-        parts = {c: F.col(c) for c in ("e", "s", "ac")}
-        if C.SUB_INDEX_COLUMN[s] in parts:
-            parts[C.SUB_INDEX_COLUMN[s]] = subindex(w)
-        variants.append(F.struct(
-            F.lit(s).alias("sub_index"), F.lit(name).alias("indicator"), F.lit(direction).alias("direction"),
-            hvi_formula(parts["e"], parts["s"], parts["ac"]).alias("hvi"),
-        ))
-    return normed.select(*by, "cell_id", "hvi_nominal", F.inline(F.array(*variants)))
+    sums = {}
+    for s, weights in C.SUB_INDEX_WEIGHTS.items():
+        sums[f"_n_{s}"] = F.expr(" + ".join(f"coalesce(`{c}` * {float(w)!r}D, 0.0D)" for c, w in weights.items()))
+        sums[f"_u_{s}"] = F.expr(" + ".join(f"if(`{c}` is null, 0.0D, {float(w)!r}D)" for c, w in weights.items()))
+    out = normed.withColumns({**nominal, **sums}).withColumn("hvi_nominal", hvi_formula(F.col("e"), F.col("s"), F.col("ac")))
+    # Written once: otherwise every variant would carry the formulas of its parts.
+    parts = [c for s, w in C.SUB_INDEX_WEIGHTS.items() if C.SUB_INDEX_COLUMN[s] in ("e", "s", "ac") for c in w]
+    out = stage(out.select(*by, "cell_id", "hvi_nominal", "e", "s", "ac", *sums, *parts), "variant-parts")
+    shifted = {}
+    for i, (s, name, _, w) in enumerate(weight_variants(shift)):
+        column = C.SUB_INDEX_COLUMN[s]
+        if column not in ("e", "s", "ac"):
+            shifted[f"_v{i}"] = F.col("hvi_nominal")
+            continue
+        more = max(C.MIN_SHIFTED_WEIGHT, C.SUB_INDEX_WEIGHTS[s][name] + (shift if w[name] > C.SUB_INDEX_WEIGHTS[s][name] else -shift)) - C.SUB_INDEX_WEIGHTS[s][name]
+        part = F.expr(f"case when _u_{s} + if(`{name}` is null, 0.0D, {more!r}D) > 1e-12D then "
+                      f"(_n_{s} + coalesce(`{name}` * {more!r}D, 0.0D)) / (_u_{s} + if(`{name}` is null, 0.0D, {more!r}D)) end")
+        parts = {c: part if c == column else F.col(c) for c in ("e", "s", "ac")}
+        shifted[f"_v{i}"] = hvi_formula(parts["e"], parts["s"], parts["ac"])
+    return out.select(*by, "cell_id", "hvi_nominal", *[v.alias(k) for k, v in shifted.items()])
 
 
 def weight_sensitivity(
     cells: DataFrame, by: Sequence[str] = DEFAULT_BY, shift: float = C.WEIGHT_SHIFT,
     profile: GroupProfile | None = None, min_cells: int = 10,
 ) -> DataFrame:
-    """Spearman correlation of the shifted with the nominal index, 28 rows per group."""
+    """Spearman correlation of the shifted with the nominal index, 28 rows per group.
+
+    The nominal index is ranked once, and variants of a sub-index that is no part of the
+    index not at all: they are the nominal index.
+    """
     profile = ensure_profile(cells, by, profile)
-    rows = weight_variant_cross(cells, by, shift, profile)
-    variant = [*by, "sub_index", "indicator", "direction"]
-    wide = profile.scaled(groups=len(weight_variants(shift)))
-    both = rows.where(F.col("hvi").isNotNull() & F.col("hvi_nominal").isNotNull())
-    ranked = average_ranks(both, "hvi", variant, wide, "r_variant")
-    ranked = average_ranks(ranked, "hvi_nominal", variant, wide, "r_nominal")
-    out = ranked.groupBy(*variant).agg(F.count(F.lit(1)).alias("_n"), correlation("r_variant", "r_nominal").alias("_r"))
-    r = F.when(F.col("_n") > min_cells, F.col("_r"))
-    return out.select(*variant, r.alias("spearman_r"))
+    variants = weight_variants(shift)
+    moving = [i for i, v in enumerate(variants) if C.SUB_INDEX_COLUMN[v[0]] in ("e", "s", "ac")]
+    wide = _wide_variants(cells, by, shift, profile)
+    # weights stay positive, so a cell has all variants or none
+    long = wide.where(F.col("hvi_nominal").isNotNull()).unpivot([*by, "cell_id"], ["hvi_nominal", *[f"_v{i}" for i in moving]], "_variant", "_value")
+    ranked = average_ranks(long, "_value", [*by, "_variant"], profile.scaled(groups=len(moving) + 1), "_rank")
+    ranks = ranked.groupBy(*by, "cell_id").agg(
+        *[F.max(F.when(F.col("_variant") == c, F.col("_rank"))).alias(c) for c in ("hvi_nominal", *[f"_v{i}" for i in moving])])
+    agree = {f"_v{i}": correlation(f"_v{i}" if i in moving else "hvi_nominal", "hvi_nominal").alias(f"_r{i}") for i in range(len(variants))}
+    out = ranks.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *agree.values())
+    rows = F.array(*[
+        F.struct(F.lit(s).alias("sub_index"), F.lit(name).alias("indicator"), F.lit(direction).alias("direction"),
+                 F.when(F.col("_n") > min_cells, F.col(f"_r{i}")).alias("spearman_r")) for i, (s, name, direction, _) in enumerate(variants)])
+    return out.select(*by, F.inline(rows))
 
 
 def sensitivity_by_indicator(sensitivity: DataFrame, by: Sequence[str] = DEFAULT_BY, threshold: float = 0.90) -> DataFrame:

@@ -91,7 +91,8 @@ def uniform(seed: int, *keys: str) -> str:
 
 
 def normal(seed: int, *keys: str) -> str:
-    a, b = uniform(seed, *keys, "'a'"), uniform(seed, *keys, "'b'")
+    text = " || '|' || ".join([f"'{seed}'", *[f"{k}::varchar" for k in keys]])
+    a, b = (f"((('0x' || substr(md5({text}), {i}, 8))::bigint + 0.5::double) / 4294967296::double)" for i in (1, 9))
     return f"(sqrt(-2::double * ln({a})) * cos({b} * 6.283185307179586::double))"
 
 
