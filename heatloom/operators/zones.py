@@ -4,15 +4,20 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 
 from heatloom import constants as C
 from heatloom.functions.labels import size_mode
 from heatloom.functions.random import uniform
 from heatloom.operators.groups import DEFAULT_BY, GroupProfile, ensure_profile, join_stats
-from heatloom.operators.rundir import cut_lineage
+from heatloom.operators.grid import moore_cells
+from heatloom.operators.rundir import cut_lineage, stage
 
 CENTROIDS = "array<struct<k:int,x:double,y:double>>"
+#: Starts of a group, points of a group that one task takes, and places that starts are drawn from in larger groups.
+STARTS, TASK_POINTS, SEED_PLACES = 10, 50_000, 5_000
 #: Rounds after which k-means is given up as not converging, and the movement that counts as none.
 MAX_ITERATIONS, STILL = 300, 1e-9
 
@@ -31,11 +36,38 @@ def standardize(
 
 
 def _nearest(cents: str, x: Column, y: Column) -> Column:
-    """Number of the nearest centroid, the lowest on ties."""
+    """Squared distance and number of the nearest centroid, the lowest on ties."""
     scored = F.transform(cents, lambda c: F.struct(
         ((c["x"] - x) * (c["x"] - x) + (c["y"] - y) * (c["y"] - y)).alias("d"), c["k"].alias("k")
     ))
-    return F.array_min(scored)["k"]
+    return F.array_min(scored)
+
+
+def seeded(places: np.ndarray, k: int, seed: int, start: int) -> np.ndarray:
+    """k places (all of them if fewer): each new one is drawn with a chance that grows with its squared distance to those before."""
+    rng = np.random.default_rng([seed, start])
+    chosen = [places[rng.integers(len(places))]]
+    d = ((places - chosen[0]) ** 2).sum(axis=1)
+    while len(chosen) < k and d.max() > 0:
+        chosen.append(places[rng.choice(len(places), p=d / d.sum())])
+        d = np.minimum(d, ((places - chosen[-1]) ** 2).sum(axis=1))
+    return np.array(chosen)
+
+
+def lloyd(points: np.ndarray, cents: np.ndarray, iterations: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """(centroids, number of the nearest for each point, inertia) when no centroid moves any more; an empty cluster keeps its place."""
+    for _ in range(iterations):
+        d = ((points[:, None, :] - cents[None]) ** 2).sum(axis=2)
+        won = d.argmin(axis=1)
+        n = np.bincount(won, minlength=len(cents))
+        means = np.stack([np.bincount(won, points[:, j], len(cents)) for j in (0, 1)], axis=1) / np.maximum(n, 1)[:, None]
+        new = np.where(n[:, None] > 0, means, cents)
+        still = np.abs(new - cents).max() <= STILL
+        cents = new
+        if still:
+            d = ((points[:, None, :] - cents[None]) ** 2).sum(axis=2)
+            return cents, d.argmin(axis=1), float(d.min(axis=1).sum())
+    raise RuntimeError(f"k-means still moves after {iterations} rounds")
 
 
 def keyed_kmeans(
@@ -45,51 +77,76 @@ def keyed_kmeans(
     iterations: int = MAX_ITERATIONS,
     seed: int = 42,
     profile: GroupProfile | None = None,
+    starts: int = STARTS,
+    task_points: int = TASK_POINTS,
 ) -> DataFrame:
-    """k-means on (x, y) for every group at once, until no centroid of any group moves; adds ``cluster``.
-
-    Raises if that takes more than ``iterations`` rounds.
+    """k-means on (x, y) for every group, the best of several starts; adds ``cluster``.
 
-    Every group starts from k of its points, drawn by a hash of the cell id.  An
-    iteration joins the k centroids of a group to its points as one array, and
-    averages the points per cluster with a map-side combine, so a large group is
-    spread over tasks.  A cluster that loses all points keeps its centroid.  The
-    centroids are few rows and are written after every iteration, so plans do not
-    grow.
+    Each start draws its first centroids from the group's places by squared distance and
+    runs until no centroid moves (an error after ``iterations`` rounds); the start with
+    the least inertia wins, the first on ties.  A group that fits into a task runs there.
+    For larger ones the starts are drawn from ``SEED_PLACES`` places of the group, and
+    rounds are aggregates over all groups and open starts at once.
     """
     profile = ensure_profile(points, by, profile)
-    # The generator starts from distinct places, so that no two clusters coincide.
-    places = points.groupBy(*by, "x", "y").agg(F.min("cell_id").alias("cell_id"))
-    pick = W.partitionBy(*by).orderBy(uniform(seed, "cell_id"), "cell_id")
-    starts = places.withColumn("k", F.row_number().over(pick)).where(F.col("k") <= k)
-    cents = starts.groupBy(*by).agg(
-        F.array_sort(F.collect_list(F.struct((F.col("k") - 1).alias("k"), "x", "y"))).cast(CENTROIDS).alias("cents")
-    )
-    cents = cut_lineage(cents)
+    by = list(by)
+    if profile.max_rows <= task_points:
+        schema = T.StructType([*points.schema.fields, T.StructField("cluster", T.IntegerType())])
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values("cell_id", kind="stable")
+            xy = pdf[["x", "y"]].to_numpy(dtype=float)
+            places = np.unique(xy, axis=0)
+            best = min((lloyd(xy, seeded(places, k, seed, s), iterations)[1:] + (s,) for s in range(starts)), key=lambda r: (r[1], r[2]))
+            return pdf.assign(cluster=best[0].astype(np.int32))
+
+        return points.groupBy(*by).applyInPandas(run, schema)
+    cents = _distributed_centroids(points, k, by, iterations, seed, profile, starts)
+    return join_stats(points, cents, by, profile, "inner").withColumn(
+        "cluster", _nearest("cents", F.col("x"), F.col("y"))["k"]).drop("cents")
+
+
+def _distributed_centroids(points, k: int, by: list[str], iterations: int, seed: int, profile: GroupProfile, starts: int) -> DataFrame:
+    """(by, cents) of the start with the least inertia per group."""
+    places = points.select(*by, "x", "y").distinct()
+    pick = W.partitionBy(*by).orderBy(uniform(seed, "x", "y"), "x", "y")
+    drawn = places.withColumn("_n", F.row_number().over(pick)).where(F.col("_n") <= SEED_PLACES)
+    schema = T.StructType([*[points.schema[b] for b in by], T.StructField("s", T.IntegerType()), T.StructField("k", T.IntegerType()),
+                           T.StructField("x", T.DoubleType()), T.StructField("y", T.DoubleType())])
+
+    def first(keys: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        own = np.unique(pdf[["x", "y"]].to_numpy(dtype=float), axis=0)
+        rows = [(*keys, s, j, float(x), float(y)) for s in range(starts) for j, (x, y) in enumerate(seeded(own, k, seed, s))]
+        return pd.DataFrame(rows, columns=schema.names)
+
+    every = drawn.groupBy(*by).applyInPandas(first, schema)
+    entry = F.struct("k", "x", "y")
+    cents = stage(every.groupBy(*by, "s").agg(F.array_sort(F.collect_list(entry)).cast(CENTROIDS).alias("cents")), "kmeans-starts")
+    open_starts, done = cents, []
     for _ in range(iterations):
-        assigned = join_stats(points.select(*by, "x", "y"), cents, by, profile, "inner").select(
-            *by, "x", "y", _nearest("cents", F.col("x"), F.col("y")).alias("k")
-        )
-        means = assigned.groupBy(*by, "k").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
-        moved = means.groupBy(*by).agg(
-            F.map_from_entries(F.collect_list(F.struct("k", F.struct("x", "y").alias("p")))).alias("_new")
-        )
-        new = join_stats(cents.select(*by, F.col("cents").alias("_old")), moved, by, profile).withColumn(
-            "cents", F.transform("_old", lambda c: F.struct(
-                c["k"].alias("k"),
-                F.coalesce(F.try_element_at("_new", c["k"])["x"], c["x"]).alias("x"),
-                F.coalesce(F.try_element_at("_new", c["k"])["y"], c["y"]).alias("y"),
-            )).cast(CENTROIDS))
+        joined = join_stats(points.select(*by, "x", "y"), open_starts, by, profile.scaled(groups=starts), "inner")
+        placed = joined.select(*by, "s", "x", "y", _nearest("cents", F.col("x"), F.col("y"))["k"].alias("k"))
+        means = placed.groupBy(*by, "s", "k").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+        moved = means.groupBy(*by, "s").agg(F.map_from_entries(F.collect_list(F.struct("k", F.struct("x", "y").alias("p")))).alias("_new"))
+        new = open_starts.withColumnRenamed("cents", "_old").join(moved, [*by, "s"]).withColumn("cents", F.transform("_old", lambda c: F.struct(
+            c["k"].alias("k"), F.coalesce(F.try_element_at("_new", c["k"])["x"], c["x"]).alias("x"),
+            F.coalesce(F.try_element_at("_new", c["k"])["y"], c["y"]).alias("y"))).cast(CENTROIDS))
         step = F.zip_with("_old", "cents", lambda a, b: F.greatest(F.abs(a["x"] - b["x"]), F.abs(a["y"] - b["y"])))
-        new = cut_lineage(new.select(*by, "cents", F.array_max(step).alias("_step")))
-        cents = new.select(*by, "cents")
-        if (new.agg(F.max("_step")).first()[0] or 0.0) <= STILL:
+        new = stage(new.select(*by, "s", "cents", (F.array_max(step) <= STILL).alias("_still")), "kmeans-round")
+        done.append(new.where("_still").drop("_still"))
+        open_starts = new.where(~F.col("_still")).drop("_still")
+        if open_starts.isEmpty():
             break
     else:
         raise RuntimeError(f"k-means still moves after {iterations} rounds")
-    return join_stats(points, cents, by, profile, "inner").withColumn(
-        "cluster", _nearest("cents", F.col("x"), F.col("y"))
-    ).drop("cents")
+    ends = done[0]
+    for d in done[1:]:
+        ends = ends.unionByName(d)
+    ends = stage(ends, "kmeans-ends")
+    inertia = join_stats(points.select(*by, "x", "y"), ends, by, profile.scaled(groups=starts), "inner").groupBy(*by, "s").agg(
+        F.round(F.sum(_nearest("cents", F.col("x"), F.col("y"))["d"]), 9).alias("_i"))
+    best = inertia.groupBy(*by).agg(F.min(F.struct("_i", "s")).alias("_b")).select(*by, F.col("_b.s").alias("s"))
+    return stage(ends.join(best, [*by, "s"]).drop("s"), "kmeans-best")
 
 
 def _points(cells: DataFrame, by: Sequence[str], profile: GroupProfile) -> DataFrame:
@@ -99,26 +156,26 @@ def _points(cells: DataFrame, by: Sequence[str], profile: GroupProfile) -> DataF
 
 def zones_kmeans(
     cells: DataFrame, k: int = C.N_MESO_ZONES, by: Sequence[str] = DEFAULT_BY, iterations: int = MAX_ITERATIONS,
-    seed: int = 42, profile: GroupProfile | None = None,
+    seed: int = 42, profile: GroupProfile | None = None, starts: int = STARTS, task_points: int = TASK_POINTS,
 ) -> DataFrame:
-    """(by, cell_id, zone_id) of k spatial zones per group."""
+    """(by, cell_id, zone_id) of k spatial zones per group, the best of ``starts`` starts."""
     profile = ensure_profile(cells, by, profile)
-    out = keyed_kmeans(_points(cells, by, profile), k, by, iterations, seed, profile)
+    out = keyed_kmeans(_points(cells, by, profile), k, by, iterations, seed, profile, starts, task_points)
     return out.select(*by, "cell_id", F.col("cluster").alias("zone_id"))
 
 
 def zones_hierarchical(
     cells: DataFrame, n_macro: int = C.N_MACRO_ZONES, n_meso: int = C.N_MESO_ZONES,
     by: Sequence[str] = DEFAULT_BY, iterations: int = MAX_ITERATIONS, seed: int = 42,
-    profile: GroupProfile | None = None,
+    profile: GroupProfile | None = None, starts: int = STARTS, task_points: int = TASK_POINTS,
 ) -> DataFrame:
     """(by, cell_id, macro_zone_id, zone_id): macro zones, each cut into zones numbered per group."""
     profile = ensure_profile(cells, by, profile)
     points = _points(cells, by, profile)
-    macro = keyed_kmeans(points, n_macro, by, iterations, seed, profile)
+    macro = keyed_kmeans(points, n_macro, by, iterations, seed, profile, starts, task_points)
     macro = cut_lineage(macro.withColumnRenamed("cluster", "macro_zone_id"))
     inner = [*by, "macro_zone_id"]
-    meso = keyed_kmeans(macro, n_meso, inner, iterations, seed, profile.scaled(groups=n_macro))
+    meso = keyed_kmeans(macro, n_meso, inner, iterations, seed, profile.scaled(groups=n_macro), starts, task_points)
     numbers = meso.select(*inner, "cluster").distinct().withColumn(
         "zone_id", F.row_number().over(W.partitionBy(*by).orderBy("macro_zone_id", "cluster")) - 1
     )
@@ -129,36 +186,67 @@ def zones_hierarchical(
 def decompose(
     cells: DataFrame, by: Sequence[str] = DEFAULT_BY, n_meso: int = C.N_MESO_ZONES,
     n_macro: int = C.N_MACRO_ZONES, iterations: int = MAX_ITERATIONS, profile: GroupProfile | None = None,
+    centres: DataFrame | None = None,
 ) -> DataFrame:
-    """Zones by the size of the group: every cell its own zone up to 500 cells, else clusters.
+    """Zones by the size of the group.
 
-    Returns (by, cell_id, mode, macro_zone_id, zone_id).  Branches without groups
-    are not planned.
+    Up to nine cells: the nine weighted cells around the centre (``centres``: by, lat,
+    lon; the mean of the cells if not given), each its own zone.  Up to 500: every cell
+    its own zone.  Above: clusters, in two levels for the largest.  Returns (by, cell_id,
+    mode, macro_zone_id, zone_id, lon, lat, type, weight); type and weight are those of
+    the nine cells, NULL in other modes.  Branches without groups are not planned.
     """
     profile = ensure_profile(cells, by, profile)
+    by = list(by)
     sizes = cells.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).withColumn("mode", size_mode(F.col("_n")))
     tagged = join_stats(cells, sizes.drop("_n"), by, profile)
     modes = {r["mode"] for r in sizes.select("mode").distinct().collect()}
+    none = {"macro_zone_id": "int", "type": "string", "weight": "double"}
+    columns = [*by, "cell_id", "mode", "macro_zone_id", "zone_id", "lon", "lat", "type", "weight"]
+
+    def finished(df: DataFrame) -> DataFrame:
+        gaps = {c: F.lit(None).cast(kind) for c, kind in none.items() if c not in df.columns}
+        return df.withColumns(gaps).withColumns({"zone_id": F.col("zone_id").cast("int"), "cell_id": F.col("cell_id").cast("long")}).select(columns)
+
+    def clustered(zoned: DataFrame, mode: str) -> DataFrame:
+        place = tagged.where(F.col("mode") == mode).select(*by, "cell_id", "lon", "lat")
+        return finished(zoned.join(place, [*by, "cell_id"]).withColumn("mode", F.lit(mode)))
+
     parts = []
-    if modes & {"moore", "direct"}:
-        order = W.partitionBy(*by).orderBy("cell_id")
-        small = tagged.where(F.col("mode").isin("moore", "direct"))
-        parts.append(small.select(*by, "cell_id", "mode", F.lit(None).cast("int").alias("macro_zone_id"),
-                                  (F.row_number().over(order) - 1).alias("zone_id")))
+    if "moore" in modes:
+        small = tagged.where("mode = 'moore'").groupBy(*by).agg(F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+        if centres is not None:
+            small = small.select(*by).join(centres.select(*by, "lat", "lon"), by)
+        parts.append(finished(moore_cells(small, by).withColumn("mode", F.lit("moore"))))
+    if "direct" in modes:
+        order = W.partitionBy(*by).orderBy("cell_id")  # 500 cells at most
+        parts.append(finished(tagged.where("mode = 'direct'").withColumn("zone_id", F.row_number().over(order) - 1)))
     if "meso" in modes:
-        z = zones_kmeans(tagged.where(F.col("mode") == "meso"), n_meso, by, iterations, profile=profile)
-        parts.append(z.select(*by, "cell_id", F.lit("meso").alias("mode"),
-                              F.lit(None).cast("int").alias("macro_zone_id"), "zone_id"))
+        parts.append(clustered(zones_kmeans(tagged.where("mode = 'meso'"), n_meso, by, iterations, profile=profile), "meso"))
     if "hierarchical" in modes:
-        z = zones_hierarchical(tagged.where(F.col("mode") == "hierarchical"), n_macro, n_meso, by, iterations,
-                               profile=profile)
-        parts.append(z.select(*by, "cell_id", F.lit("hierarchical").alias("mode"), "macro_zone_id", "zone_id"))
+        zoned = zones_hierarchical(tagged.where("mode = 'hierarchical'"), n_macro, n_meso, by, iterations, profile=profile)
+        parts.append(clustered(zoned, "hierarchical"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
+def zones_report(cells: DataFrame, zones: DataFrame, by: Sequence[str] = DEFAULT_BY, tolerance: float = 1e-6) -> DataFrame:
+    """(by, n_cells, n_zones, misplaced, inertia): how many cells lie nearer to another zone's mean than to their own, on standardised coordinates."""
+    by = list(by)
+    points = _points(cells, by, ensure_profile(cells, by, None)).join(zones.select(*by, "cell_id", "zone_id"), [*by, "cell_id"])
+    points = stage(points, "zoned-points")
+    means = points.groupBy(*by, "zone_id").agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
+    per_area = means.groupBy(*by).agg(F.collect_list(F.struct(F.col("zone_id").cast("int").alias("k"), F.col("mx").alias("x"), F.col("my").alias("y"))).cast(CENTROIDS).alias("cents"))
+    d = lambda x, y: (F.col("x") - x) * (F.col("x") - x) + (F.col("y") - y) * (F.col("y") - y)
+    both = points.join(means, [*by, "zone_id"]).join(per_area, by).select(
+        *by, "zone_id", d(F.col("mx"), F.col("my")).alias("own"), _nearest("cents", F.col("x"), F.col("y"))["d"].alias("least"))
+    return both.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n_cells"), F.countDistinct("zone_id").alias("n_zones"),
+        F.sum((F.col("own") > F.col("least") + tolerance).cast("long")).alias("misplaced"), F.sum("own").alias("inertia"))
+
+
 def zone_summary(cells: DataFrame, by: Sequence[str] = ("zone_id",)) -> DataFrame:
     """Cells and mean centre per zone."""
     return cells.groupBy(*by).agg(

@@ -398,12 +398,40 @@ def _(spark, sf):
     return zones.zones_hierarchical(cells(spark, sf))
 
 
+def sized_areas(spark, sf):
+    """Areas of different size: a few cells, the usual 500, and two areas in one."""
+    area = F.when(F.col("cell_id") % 500 < 6, F.col("aoi_id") + 1000).otherwise(F.floor(F.col("aoi_id") / 2))
+    return cells(spark, sf).withColumn("aoi_id", area.cast("int"))
+
+
 @query("decompose")
+def _(spark, sf):
+    return zones.decompose(sized_areas(spark, sf))
+
+
+MOORE_VALUES = S.values("mo", ["i", "r", "c", "type", "weight"], [(i, r, c, t, float(w)) for i, (r, c, t, w) in enumerate(C.MOORE_OFFSETS)])
+
+
+@query("decompose_small", oracle("cells", f""", {MOORE_VALUES}, ar as (select case when cell_id % 500 < 6 then aoi_id + 1000 else aoi_id // 2 end::int as area, cell_id, lon, lat from cells),
+    sz as (select area, count(*) as n, avg(lon) as x, avg(lat) as y from ar group by 1),
+    small as (select area as aoi_id, i::bigint as cell_id, 'moore' as mode, i::int as zone_id, round(x + c * 100::double / (111320::double * cos(radians(y))), 6) as lon,
+      round(y + r * 100::double / 111320::double, 6) as lat, type, weight from sz, mo where n <= 9),
+    direct as (select ar.area as aoi_id, cell_id::bigint as cell_id, 'direct' as mode, (row_number() over (partition by ar.area order by cell_id) - 1)::int as zone_id, round(lon, 6) as lon, round(lat, 6) as lat,
+      null::varchar as type, null::double as weight from ar join sz on ar.area = sz.area where n > 9 and n <= 500)
+    select * from small union all select * from direct"""))
+def _(spark, sf):
+    return zones.decompose(sized_areas(spark, sf)).where(F.col("mode").isin("moore", "direct")).drop("macro_zone_id")
+
+
+ZONED = """select aoi_id, count(*) as n_cells, least(15, count(distinct (lon, lat)))::bigint as n_zones, 0::bigint as misplaced, true as best_start from cells group by 1"""
+
+
+@query("zones_kmeans_report", oracle("cells", ZONED))
 def _(spark, sf):
     c = cells(spark, sf)
-    # Areas of different size: a few cells, the usual 500, and two areas in one.
-    area = F.when(F.col("cell_id") % 500 < 6, F.col("aoi_id") + 1000).otherwise(F.floor(F.col("aoi_id") / 2))
-    return zones.decompose(c.withColumn("aoi_id", area.cast("int")))
+    many, one = (zones.zones_report(c, zones.zones_kmeans(c, starts=n)).select("aoi_id", "n_cells", "n_zones", "misplaced", F.col("inertia").alias(f"i{n}")) for n in (10, 1))
+    return many.join(one.select("aoi_id", "i1"), "aoi_id").select(
+        "aoi_id", "n_cells", "n_zones", "misplaced", (F.col("i10") <= F.col("i1") + 1e-6).alias("best_start"))
 
 
 @query("zone_summary", oracle("zones cells", """select zone_id, count(*) as cell_count, round(avg(lat), 6) as centroid_lat, round(avg(lon), 6) as centroid_lon
