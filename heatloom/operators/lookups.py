@@ -71,7 +71,7 @@ def nearest_delta(
         return F.struct(F.sqrt(dy * dy + dx * dx).alias("dist"), p["id"].alias("id"),
                         p["d245"].alias("d245"), p["d585"].alias("d585"))
 
-    placed = F.col(lat).isNotNull() & F.col(lon).isNotNull()
+    placed = F.col(lat).isNotNull() & F.col(lon).isNotNull() & ~F.isnan(F.col(lat).cast("double")) & ~F.isnan(F.col(lon).cast("double"))
     best = F.when(placed, F.array_min(F.transform(points, ranked)))
     return aois.withColumn("_b", best).withColumns({
         "grid_id": F.col("_b.id"), "distance": F.col("_b.dist"),

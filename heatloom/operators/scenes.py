@@ -24,9 +24,17 @@ def scene_filter(
 ) -> DataFrame:
     """Scenes of a date window [start, end) below a cloud cover, with a thermal band.
 
-    All tests compare a column with a constant, so they reach the file scan.
+    All tests compare a column with a constant, so they reach the file scan.  A table
+    partitioned by year and month (``write_scene_table``) is pruned to the months of a
+    window that is given as text.
     """
     keep = F.col("cloud_cover") < max_cloud
+    if {"scene_year", "scene_month"} <= set(pixels.columns):
+        month = F.col("scene_year") * 12 + F.col("scene_month")
+        for bound, side in ((start, 0), (end, 1)):
+            if isinstance(bound, str):
+                at = int(bound[:4]) * 12 + int(bound[5:7])
+                keep = keep & ((month <= at) if side else (month >= at))
     if start is not None:
         keep = keep & (F.col("ts") >= start)
     if end is not None:
@@ -245,6 +253,18 @@ def stack_bands(*parts: DataFrame, by: Sequence[str] = ("aoi_id", "cell_id")) ->
     return merged.where(F.col("_parts") == len(parts)).drop("_parts")
 
 
+def stack_bucketed(parts: Sequence[DataFrame], by: Sequence[str] = ("aoi_id", "cell_id")) -> DataFrame:
+    """Band groups that are stored in buckets of the cell key, side by side; a cell is kept if all parts hold it.
+
+    Tables of ``write_bucketed`` with equal bucket numbers are merged bucket by bucket,
+    without a shuffle.
+    """
+    out = parts[0].hint("merge")
+    for p in parts[1:]:
+        out = out.join(p.hint("merge"), list(by))
+    return out
+
+
 def merge_age_rasters(
     cells: DataFrame, ages: DataFrame, inside: Column | None = None,
     by: Sequence[str] = ("aoi_id", "cell_id"),

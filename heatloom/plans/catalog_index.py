@@ -277,7 +277,20 @@ def _(spark, sf):
     return summaries.subindex_histogram(index.hvi(cells(spark, sf)))
 
 
-@query("weighting_comparison")
+def comparison_sql() -> str:
+    """All schemes' weights side by side, then one index per scheme."""
+    head = len(S.normed()) + 2
+    wide = ", ".join(f"max(case when indicator = '{c}' then w end) as w_{c}" for c in ALL)
+    named = {s: {c: f"w_{c}" for c in g} for s, g in C.SUB_INDEX_WEIGHTS.items()}
+    return f"""{pca_sql()}, {entropy_views()[head:]}, {critic_views()[head:]}, {weight_rows(weights.equal_weights_map())},
+    every as (select 'equal' as method, aoi_id, indicator, w from (select distinct aoi_id from cells), w
+      union all select 'pca', aoi_id, indicator, w from pw union all select 'entropy', aoi_id, indicator, w from ew union all select 'critic', aoi_id, indicator, w from cw),
+    wide as (select method, aoi_id, {wide} from every group by 1, 2),
+    scheme as (select method, aoi_id, cell_id, {S.subindices(named)} from norm join wide using (aoi_id)),
+    raw as (select method, aoi_id, cell_id, {S.formula()} as hvi_raw from scheme)"""
+
+
+@query("weighting_comparison", oracle("cells", f", {comparison_sql()} select aoi_id, cell_id, method, round({S.minmax('hvi_raw', 'partition by aoi_id, method')}, 6) as hvi from raw").replace("with ", "with recursive ", 1))
 def _(spark, sf):
     return index.weighting_comparison(cells(spark, sf))
 

@@ -153,19 +153,39 @@ def _(spark, sf):
     return scenes.built_mask(med)
 
 
-@query("stack_bands", oracle("scene_pixels cells", f"""select aoi_id, cell_id, round(cells.lst, 6) as lst, n_scenes, round(median_ndwi, 6) as median_ndwi,
+STACK_SQL = oracle("scene_pixels cells", f"""select aoi_id, cell_id, round(cells.lst, 6) as lst, n_scenes, round(median_ndwi, 6) as median_ndwi,
     mode_scl from cells
     join (select aoi_id, cell_id, count(*) as n_scenes from scene_pixels group by 1, 2) using (aoi_id, cell_id)
     join (select aoi_id, cell_id, median((b8 - b11) / (b8 + b11)) as median_ndwi from scene_pixels where scl < 8 group by 1, 2) using (aoi_id, cell_id)
     join (select aoi_id, cell_id, scl as mode_scl from (select aoi_id, cell_id, scl, row_number() over
-      (partition by aoi_id, cell_id order by count(*) desc, scl) as rn from scene_pixels group by 1, 2, 3) where rn = 1) using (aoi_id, cell_id)"""))
-def _(spark, sf):
+      (partition by aoi_id, cell_id order by count(*) desc, scl) as rn from scene_pixels group by 1, 2, 3) where rn = 1) using (aoi_id, cell_id)""")
+
+
+def stacked_parts(spark, sf):
     by = ["aoi_id", "cell_id"]
     p = pixels(spark, sf)
     ndwi = scenes.composite_median(p.where(F.col("scl") < 8), {"median_ndwi": R.normalized_difference(F.col("b8"), F.col("b11"))}, by)
     mode = scenes.composite_mode(p, "scl", by).withColumnRenamed("scl", "mode_scl")
-    return scenes.stack_bands(
-        view(spark, sf, "cells").select(*by, "lst"), p.groupBy(*by).agg(F.count(F.lit(1)).alias("n_scenes")), ndwi, mode)
+    return view(spark, sf, "cells").select(*by, "lst"), p.groupBy(*by).agg(F.count(F.lit(1)).alias("n_scenes")), ndwi, mode
+
+
+@query("stack_bands", STACK_SQL)
+def _(spark, sf):
+    return scenes.stack_bands(*stacked_parts(spark, sf))
+
+
+@query("stack_bucketed", STACK_SQL)
+def _(spark, sf):
+    # Each part is a stored table, bucketed and sorted by cell; joining them needs no shuffle.
+    names = [writers.write_bucketed(p, run_dir(spark, f"bands-{i}"), buckets=8) for i, p in enumerate(stacked_parts(spark, sf))]
+    return scenes.stack_bucketed([spark.table(n) for n in names])
+
+
+@query("scene_table", oracle("scene_pixels", f"""select {', '.join(PIXEL)} from scene_pixels
+    where {STRICT} and ts >= timestamp '{START}' and ts < timestamp '{END}'"""))
+def _(spark, sf):
+    folder = writers.write_scene_table(pixels(spark, sf), run_dir(spark, "scenes"))
+    return scenes.scene_filter(readers.read_scene_table(spark, folder), START, END).select(*PIXEL)
 
 
 @query("merge_age_rasters", oracle("cells age_bands", SUMS + """ select aoi_id, cell_id,
@@ -394,7 +414,8 @@ def _registry_values() -> str:
 
     with open(f"{readers.DATA}/registry.json", encoding="utf-8") as f:
         entries = json.load(f)["indicators"]
-    return values("reg", ["indicator", *schemas.REGISTRY_ENTRY.names], [(k, *v.values()) for k, v in entries.items()])
+    names = list(next(iter(entries.values())))
+    return values("reg", ["indicator", *names], [(k, *[v[n] for n in names]) for k, v in entries.items()])
 
 
 VALID = " union all ".join(f"select '{c}' as indicator, count({c}) as n_valid from cells" for c in C.INDICATORS)

@@ -11,7 +11,7 @@ CELL_KEYS = "aoi_id int, cell_id bigint, row int, col int, lon double, lat doubl
 
 _TYPES = {
     "int": T.IntegerType(), "bigint": T.LongType(), "double": T.DoubleType(),
-    "string": T.StringType(), "timestamp": T.TimestampType(),
+    "string": T.StringType(), "timestamp": T.TimestampType(), "boolean": T.BooleanType(),
 }
 
 
@@ -38,7 +38,8 @@ CDR = _schema(
 )
 INTERVENTIONS = _schema(
     "intervention_key string, intervention_name string, scope string, parameter_group string, "
-    "parameter_name string, value_min double, value_mode double, value_max double"
+    "parameter_name string, value_min double, value_mode double, value_max double, "
+    "primary_citation string, evidence_level string, notes string"
 )
 CMIP6_DELTA = _schema(
     "lat_center double, lon_center double, d245 double, d245_p10 double, d245_p90 double, "
@@ -46,7 +47,10 @@ CMIP6_DELTA = _schema(
 )
 REGISTRY_ENTRY = _schema(
     "sub_index string, direction string, native_resolution_m int, output_resolution_m int, "
-    "temporal_tier int, temporal_range_start int, composite_method string"
+    "temporal_tier int, temporal_range_start int, composite_method string, "
+    "name string, temporal_range_end string, update_frequency string, gee_collection string, gee_collection_l9 string, "
+    "band_name string, formula string, scale_factor double, add_offset double, automatable boolean, status string, "
+    "citation string, notes string"
 )
 REGISTRY = T.StructType([
     T.StructField("version", T.StringType()),

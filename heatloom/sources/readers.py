@@ -25,7 +25,8 @@ def _local_rows(spark: SparkSession, name: str, schema: T.StructType) -> DataFra
         lines = [ln.rstrip("\n").split(",") for ln in f if ln.strip() and not ln.startswith("#")][1:]
     cast = {"double": float, "int": int, "bigint": int, "string": str}
     kinds = [cast[f.dataType.simpleString()] for f in schema.fields]
-    return spark.createDataFrame([tuple(k(v) for k, v in zip(kinds, row)) for row in lines], schema)
+    rest = [None] * len(schema.fields)  # columns that the packaged table does not state
+    return spark.createDataFrame([tuple([k(v) for k, v in zip(kinds, row)] + rest[len(row):]) for row in lines], schema)
 
 
 def read_indicator_cells(
@@ -58,6 +59,11 @@ def read_indicator_cells(
     return out
 
 
+def read_scene_table(spark: SparkSession, path: str) -> DataFrame:
+    """Scene pixels of ``write_scene_table``, with scene_year and scene_month as partition columns."""
+    return spark.read.parquet(path)
+
+
 def read_cdr_table(spark: SparkSession, path: str | None = None) -> DataFrame:
     """Crude death rates per country."""
     return _csv(spark, path, schemas.CDR) if path else _local_rows(spark, "cdr.csv", schemas.CDR)
@@ -69,9 +75,16 @@ def read_beta_table(spark: SparkSession, path: str | None = None) -> DataFrame:
 
 
 def read_intervention_params(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """Parameter triples of the interventions, one row per parameter."""
+    """Parameter triples of the interventions, one row per parameter.
+
+    Citation, evidence level and notes are read from a user's file; the packaged table
+    does not state them (NULL).
+    """
     if path:
-        return _csv(spark, path, schemas.INTERVENTIONS)
+        columns = schemas.INTERVENTIONS.names
+        raw = spark.read.csv(path, header=True, comment="#", quote='"', escape='"', multiLine=True)
+        kinds = {f.name: f.dataType for f in schemas.INTERVENTIONS.fields}
+        return raw.select(*[(F.col(c) if c in raw.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in columns])
     return _local_rows(spark, "interventions.csv", schemas.INTERVENTIONS)
 
 
@@ -84,7 +97,7 @@ def intervention_library(params: DataFrame) -> DataFrame:
 
 
 def read_indicator_registry(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """Indicator metadata, one row per indicator."""
+    """Indicator metadata, one row per indicator; attributes that an entry does not state are NULL."""
     if path:
         raw = spark.read.json(path, schema=schemas.REGISTRY, multiLine=True)
     else:

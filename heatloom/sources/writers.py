@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
@@ -26,6 +27,25 @@ def write_result_cells(
     return path
 
 
+def write_bucketed(df: DataFrame, path: str, buckets: int = 64, by: Sequence[str] = ("aoi_id", "cell_id"), name: str | None = None) -> str:
+    """Store a cell table in buckets of its key, each in one sorted file, and return the table's name.
+
+    Tables of equal keys and bucket numbers are joined without a shuffle.  The files lie
+    in ``path``; the catalog of the session keeps the name.
+    """
+    name = name or "t_" + "".join(c if c.isalnum() else "_" for c in os.path.basename(path.rstrip("/")))
+    df.repartition(buckets, *by).write.mode("overwrite").format("parquet").bucketBy(buckets, *by).sortBy(*by).option("path", path).saveAsTable(name)
+    return name
+
+
+def write_scene_table(pixels: DataFrame, path: str, ts: str = "ts") -> str:
+    """Store scene pixels by year and month of the scene, sorted by cloud cover, so that a date window and a cloud limit skip files and row groups."""
+    keyed = pixels.withColumns({"scene_year": F.year(ts), "scene_month": F.month(ts)})
+    keyed.repartition("scene_year", "scene_month").sortWithinPartitions("scene_year", "scene_month", "cloud_cover").write.mode(
+        "overwrite").partitionBy("scene_year", "scene_month").parquet(path)
+    return path
+
+
 def save_outputs(results: DataFrame, folder: str, by: Sequence[str] = ("aoi_id",)) -> dict[str, str]:
     """Write the vulnerability and the risk index as separate tables."""
     return {
