@@ -19,7 +19,7 @@ from heatloom.llm.common import chunks, filter_texts, id_text, labelled_sample,
 
 #: Bound of the sample that is fitted on: rows of each class.
 SAMPLE_PER_CLASS = 5000
-#: n-grams with the most telling ratios that enter the regression.
+#: n-grams with the most telling ratios that enter the regression, by default.
 SELECTED = 20_000
 GRAMS = (4, 5, 6)
 BITS = 20
@@ -66,12 +66,22 @@ def _everything() -> np.ndarray:
     return select
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE_PER_CLASS) -> dict | None:
-    """Fit on a bounded sample of training labels; None where one class has no labelled document."""
+def fit_toxicity(
+    docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = SAMPLE_PER_CLASS,
+    selected: int | None = SELECTED, least_docs: int = 2,
+) -> dict | None:
+    """Fit on a bounded sample of training labels; None where one class has no labelled document.
+
+    The regression takes the ``selected`` n-grams with the most telling ratios among those
+    of ``least_docs`` sampled documents or more; None and 1 take all of them.  Ids may
+    have any type that casts to a string; NULL ids and NULL or contradicting labels never
+    train, a NULL text counts as empty, and of repeated ids one text trains.
+    """
     sample, counts = labelled_sample(labels, label, per_class)
+    kind = docs.schema["doc_id"].dataType.simpleString()
     texts = (
-        docs.select("doc_id", "text").join(F.broadcast(sample.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id"))
-        .select(F.col("doc_id").cast("long"), "y", "text")
+        docs.select("doc_id", "text").join(F.broadcast(sample.select(id_text("doc_id").alias("_id"), "y")), id_text("doc_id") == F.col("_id"))
+        .select("doc_id", "y", "text")
     )
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -91,8 +101,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
             names=["f", "n0", "n1"])
 
     total = texts.mapInArrow(shares, "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    # an n-gram of one document tells nothing; at most 2 ** BITS + 1 rows are left
-    got = total.where("f = -1 or n0 + n1 >= 2").toArrow()
+    # at most 2 ** BITS + 1 rows are left
+    got = total.where((F.col("f") == -1) | (F.col("n0") + F.col("n1") >= least_docs)).toArrow()
     f, n0, n1 = (got[c].to_numpy() for c in ("f", "n0", "n1"))
     at = np.flatnonzero(f == -1)
     if not len(at) or not n0[at[0]] or not n1[at[0]]:
@@ -101,7 +111,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
     f, n0, n1 = (np.delete(a, at) for a in (f, n0, n1))
     ratio = np.log((n1 + 1.0) / (m1 + 2.0)) - np.log((n0 + 1.0) / (m0 + 2.0))
     telling = np.abs(ratio) * np.sqrt(n0 / m0 + n1 / m1)
-    keep = np.lexsort((f, -telling))[:SELECTED]
+    keep = np.lexsort((f, -telling))[:selected]
     select = np.full((1 << BITS) + 1, -1, np.int32)
     select[f[keep]] = np.arange(len(keep))
     ratio = ratio[keep]
@@ -118,7 +128,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_c
                 [b.column(0), b.column(1), pa.array([x.astype(np.int32) for x in feats], pa.list_(pa.int32()))], names=["doc_id", "y", "x"])
 
     data = (
-        texts.mapInArrow(held, "doc_id long, y int, x array<int>")
+        texts.mapInArrow(held, f"doc_id {kind}, y int, x array<int>")
         .groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x")).orderBy("doc_id").toArrow()
     )
     y = data["y"].to_numpy().astype(np.float64)
@@ -182,6 +192,9 @@ def toxicity_scores(docs: DataFrame, model: dict | None, threshold: float = THRE
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents that score below the threshold, with their columns."""
+    """The documents that score below the threshold, with their columns; all of them where nothing can be learned.
+
+    NULL texts count as empty; repeated rows and NULL ids are judged by their text alone.
+    """
     model = fit_toxicity(docs, labels)
     return filter_texts(docs, lambda texts: score_texts(texts, model) < threshold)

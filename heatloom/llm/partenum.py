@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from heatloom.llm.common import chunks, slices, worker_store
 from heatloom.llm.components import connected_components
@@ -437,6 +437,12 @@ def similar_classes(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR,
     set.  A NULL doc_id takes part and is never the smallest.  Other columns are not
     read.  Shingles are compared by 64-bit hashes, sets named by 128 bits.
     """
+    return _classes(docs, width, similar, of).select(
+        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def _classes(docs: DataFrame, width: int, similar: int, of: int) -> DataFrame:
+    """doc_id, n_shingles, node and, of rows with shingles, the class's smallest doc_id (component_id) and the set that has it (keep_node)."""
     rows = stage(shingle_sets(docs, width), "shingles")
     nodes = stage(
         rows.where("n_shingles > 0").groupBy("node").agg(
@@ -456,24 +462,64 @@ def similar_classes(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR,
     if more.count():
         comp = stage(connected_components(links.unionAll(more)), "components-2")
     named = nodes.join(comp, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    names = named.join(least, "root").select("node", "component_id")
-    return rows.join(names, "node", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    first = F.min(F.struct(F.col("first_id").isNull(), F.col("first_id").alias("id"), F.col("node").alias("node")))
+    least = named.groupBy("root").agg(first.alias("_f")).select("root", F.col("_f.id").alias("component_id"), F.col("_f.node").alias("keep_node"))
+    names = named.join(least, "root").select("node", "component_id", "keep_node")
+    return rows.join(names, "node", "left").select("doc_id", "n_shingles", "node", "component_id", "keep_node")
+
+
+def free_name(columns: list[str], base: str) -> str:
+    """A column name that a table does not have."""
+    taken = {c.lower() for c in columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def with_node(docs: DataFrame, name: str, width: int) -> DataFrame:
+    """The rows with the name of their shingle set."""
+    at = docs.schema.fieldNames().index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = word_hashes()
+        for b in batches:
+            nodes = pa.array([node_of(shingle_set(t.as_py() or "", hashes, width)) for t in b.column(at)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns, nodes], names=[*b.schema.names, name])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))
 
 
 def keep_one_per_class(docs: DataFrame, width: int = WIDTH, similar: int = SIMILAR, of: int = OF) -> DataFrame:
-    """The document with the smallest doc_id of each class, with its columns.
+    """One document of each class, with its columns: the one with the smallest doc_id.
 
-    Of rows with the same doc_id one stays; rows without a doc_id all stay.
+    A class without any doc_id keeps one row too.  Different texts under one doc_id are
+    different documents, each of its own class; repeated rows (equal id and shingles)
+    are one.  Documents without words are no copies of each other: all stay, but for
+    repeated rows with an id.  Any other columns may be present, whatever their names.
     """
-    classes = stage(similar_classes(docs, width, similar, of), "classes")
-    drop = stage(classes.where("doc_id <> component_id").select(F.col("doc_id").alias("_drop")).distinct(), "drop")
-    again = stage(classes.where("doc_id is not null").groupBy(F.col("doc_id").alias("_again")).count().where("count > 1").select("_again"), "again")
-    n_drop, n_again = drop.count(), again.count()
-    drop, twice = (F.broadcast(x) if n <= BROADCAST_IDS else x for x, n in ((drop, n_drop), (again, n_again)))
-    kept = docs.join(drop, F.col("doc_id") == F.col("_drop"), "left_anti")
-    if n_again == 0:
-        return kept
-    same = F.col("doc_id") == F.col("_again")
-    return kept.join(twice, same, "left_anti").unionAll(kept.join(twice, same, "left_semi").dropDuplicates(["doc_id"]))
+    classes = stage(_classes(docs, width, similar, of), "classes")
+    solid = F.col("n_shingles") > 0
+    stays = F.coalesce(~solid | ((F.col("node") == F.col("keep_node")) & F.col("doc_id").eqNullSafe(F.col("component_id"))), F.lit(False))
+    drop = stage(classes.where(~stays).select("doc_id", "node").distinct(), "drop")
+    twice = stage(classes.where(stays & (solid | F.col("doc_id").isNotNull())).groupBy("doc_id", "node").count().where("count > 1").select("doc_id", "node"), "again")
+    # where an id names one text alone, and every row to be dropped has one, ids decide; else the sets do
+    shared = classes.where("doc_id is not null").groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
+    by_id = shared.isEmpty() and drop.where("doc_id is null").isEmpty() and twice.where("doc_id is null").isEmpty()
+    node = free_name(docs.columns, "_node")
+    rows = docs if by_id else with_node(docs, node, width)
+    keys = ["doc_id"] if by_id else ["doc_id", node]
+    n_twice = twice.count()
+
+    def beside(side: DataFrame, how: str, left: DataFrame) -> DataFrame:
+        names = {"doc_id": free_name(left.columns, "_id_"), **({} if by_id else {"node": free_name(left.columns, "_set_")})}
+        side = side.select(*[F.col(c).alias(n) for c, n in names.items()]).distinct()
+        side = F.broadcast(side) if side.count() <= BROADCAST_IDS else side
+        test = F.col("doc_id").eqNullSafe(F.col(names["doc_id"])) if not by_id else F.col("doc_id") == F.col(names["doc_id"])
+        if not by_id:
+            test = test & F.col(node).eqNullSafe(F.col(names["node"]))
+        return left.join(side, test, how)
+
+    kept = beside(drop, "left_anti", rows)
+    if n_twice:
+        kept = beside(twice, "left_anti", kept).unionAll(beside(twice, "left_semi", kept).dropDuplicates(keys))
+    return kept.select([F.col(f"`{c}`") for c in docs.columns])

@@ -21,7 +21,8 @@ DOCS = T.StructType([
     T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()),
 ])
 #: Names that operators use for results or inside, as extra input columns.
-CLASHES = ["mix_size", "mix_taken", "score", "predicted", "n_tokens", "held_out", "key", "node", "y", "count", "pad_to"]
+CLASHES = ["mix_size", "mix_taken", "score", "predicted", "n_tokens", "held_out", "key", "node", "y", "count", "pad_to",
+           "_drop", "_again", "_id", "_id_", "_set_", "_node", "_t", "_f", "_digest", "_s", "root", "n", "sketch", "first_id", "x"]
 
 
 def words(text):

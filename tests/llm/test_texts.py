@@ -196,6 +196,100 @@ def test_keep_one_per_class(spark):
     assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted({c for _, _, c in classes})
 
 
+def test_one_row_per_class_whatever_the_ids(spark):
+    """Different texts under one id, copies without an id, repeated rows."""
+    a, b, c = ("one two three four five six seven eight nine ten", "red green blue white black brown pink grey gold teal", "north south east west up down left right in out")
+    rows = [(1, a, "s"), (1, b, "s"), (2, a, "s"), (2, b, "s"), (None, b, "s"), (None, c, "s"), (None, c, "t"), (5, "", "s"), (5, "", "s"), (None, None, "s"), (None, "", "s"),
+            (7, a + " eleven", "s"), (8, c + " again", "s"), (8, c + " again", "s")]
+    kept = partenum.keep_one_per_class(H.frame(spark, rows, extra=True))
+    got = sorted(((r.doc_id is None, r.doc_id or 0, r.text or "") for r in kept.collect()))
+    assert got == sorted([(False, 1, a), (False, 1, b), (False, 8, c + " again"), (False, 5, ""), (True, 0, ""), (True, 0, "")])
+    lone = partenum.keep_one_per_class(H.frame(spark, [(None, c, "s")] * 3))
+    assert [(r.doc_id, r.text) for r in lone.collect()] == [(None, c)]
+
+
+@pytest.mark.parametrize("fit, score, keep", [
+    (pairwise_quality.fit_quality, pairwise_quality.quality_scores, pairwise_quality.keep_good),
+    (nb_toxicity.fit_toxicity, nb_toxicity.toxicity_scores, nb_toxicity.drop_toxic),
+])
+def test_ids_of_any_type(spark, fit, score, keep):
+    """Text ids in documents or labels alone or in both give what numbers give; long words and texts pass."""
+    rows, labels = labelled(160)
+    rows = rows + [(700, "w" * 100_000, "s"), H.awkward()[63]]
+    docs, lab = H.frame(spark, rows), spark.createDataFrame(labels, LABELS)
+    named = docs.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))
+    named_lab = lab.withColumn("doc_id", F.concat(F.lit("d"), F.col("doc_id")))
+    for d, l in ((named, named_lab), (docs.withColumn("doc_id", F.col("doc_id").cast("string")), lab)):
+        got = score(d, fit(d, l))
+        assert got.count() == len(rows) and got.where("score between 0 and 1").count() == len(rows)
+        assert keep(d, l).columns == docs.columns
+
+
+def plain_grams(text):
+    t = " " + "".join(" " if 9 <= ord(ch) <= 13 else ch for ch in text.lower()) + " "
+    return {t[i : i + n] for n in nb_toxicity.GRAMS for i in range(len(t) - n + 1)}
+
+
+def plain_hash(gram):
+    h, power, wide = 0, 1, (1 << 64) - 1
+    for ch in gram:
+        h = (h + (ord(ch) + 1) * power) & wide
+        power = power * nb_toxicity.STEP & wide
+    return ((h ^ (h >> 29)) * nb_toxicity.MIX & wide) >> (64 - nb_toxicity.BITS)
+
+
+def test_toxicity_equals_a_plain_version(spark):
+    """Ratios by counting sets of n-grams, and scores by adding up their weights."""
+    rows, labels = labelled(200)
+    docs, lab = H.frame(spark, rows), spark.createDataFrame(labels, LABELS)
+    for selected, least in ((None, 1), (50, 2)):
+        model = nb_toxicity.fit_toxicity(docs, lab, selected=selected, least_docs=least)
+        toxic = {i: t for i, _, t in labels if not held(i)}
+        sets = {i: {plain_hash(g) for g in plain_grams(t)} for i, t, _ in rows}
+        count = [Counter(f for i, t in toxic.items() if t == c for f in sets[i]) for c in (0, 1)]
+        size = [sum(t == c for t in toxic.values()) for c in (0, 1)]
+        ratio = {f: math.log((count[1][f] + 1) / (size[1] + 2)) - math.log((count[0][f] + 1) / (size[0] + 2)) for f in {*count[0], *count[1]} if count[0][f] + count[1][f] >= least}
+        telling = sorted(ratio, key=lambda f: (-abs(ratio[f]) * math.sqrt(count[1][f] / size[1] + count[0][f] / size[0]), f))
+        chosen = {int(f) for f in np.flatnonzero(model["select"] >= 0)}
+        if selected is None:
+            assert chosen == set(ratio)
+        else:
+            least_telling = abs(ratio[telling[selected - 1]]) * math.sqrt(count[1][telling[selected - 1]] / size[1] + count[0][telling[selected - 1]] / size[0])
+            assert len(chosen) == selected and all(abs(ratio[f]) * math.sqrt(count[1][f] / size[1] + count[0][f] / size[0]) >= least_telling - 1e-9 for f in chosen)
+        weight = {f: model["weight"][model["select"][f]] for f in chosen}
+        for i, text, _ in rows[:60]:
+            z = sum(weight[f] for f in sets[i] if f in weight) + model["bias"]
+            assert nb_toxicity.score_texts([text], model)[0] == pytest.approx(1 / (1 + math.exp(-z)), rel=1e-9, abs=1e-12)
+
+
+def test_preference_pairs_equal_a_plain_version():
+    """Weights by plain gradient descent on the same pairs, and the cut by sorting."""
+    rng = np.random.default_rng(2)
+    y = (rng.random(60) < 0.6).astype(int)
+    x = rng.normal(size=(60, 3)) + y[:, None] * np.array([0.8, -0.4, 0.0])
+    w = pairwise_quality.fit_pairs(x, y, rivals=3, decay=0.05)
+    good, bad = [i for i in range(60) if y[i]], [i for i in range(60) if not y[i]]
+    draw = np.random.default_rng(17)
+    one = [(g, bad[k]) for g, k in zip(np.repeat(good, 3), draw.integers(0, len(bad), len(good) * 3))]
+    two = [(good[k], b) for b, k in zip(np.repeat(bad, 3), draw.integers(0, len(good), len(bad) * 3))]
+    plain = [0.0] * 3
+    for _ in range(4000):
+        grad = [0.05 * v for v in plain]
+        for i, j in one + two:
+            d = [float(a - b) for a, b in zip(x[i], x[j])]
+            p = 1 / (1 + math.exp(sum(a * b for a, b in zip(d, plain))))
+            grad = [g - p * v / len(one + two) for g, v in zip(grad, d)]
+        if max(map(abs, grad)) < 1e-7:
+            break
+        plain = [v - 0.5 * g for v, g in zip(plain, grad)]
+    assert np.allclose(w, plain, atol=1e-4)
+    s, weight = rng.normal(size=30), rng.uniform(0.5, 2, 30)
+    for share in (0.1, 0.37, 0.9):
+        cut = pairwise_quality.quantile_cut(s, weight, share)
+        below = weight[s < cut].sum() / weight.sum()
+        assert below >= share - 1e-9 and weight[s < cut][:].sum() - weight[np.argmax(np.where(s < cut, s, -9))] <= share * weight.sum() + 1e-9
+
+
 def test_components_of_long_paths(spark):
     rng = random.Random(5)
     links = [(i, i + 1) for i in range(60)] + [(100 + i, 100) for i in range(30)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(40)]
