@@ -8,7 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from heatloom import constants as C
-from heatloom.functions.basic import correlation, rescale
+from heatloom.functions.basic import clamp, correlation, rescale
 from heatloom.functions.random import normal
 from heatloom.operators.groups import DEFAULT_BY, GroupProfile, ensure_profile
 from heatloom.operators.index import hvi, hvi_formula, subindex, with_subindices
@@ -166,7 +166,7 @@ def weight_sensitivity(
     out = ranks.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"), *agree.values())
     rows = F.array(*[
         F.struct(F.lit(s).alias("sub_index"), F.lit(name).alias("indicator"), F.lit(direction).alias("direction"),
-                 F.when(F.col("_n") > min_cells, F.col(f"_r{i}")).alias("spearman_r")) for i, (s, name, direction, _) in enumerate(variants)])
+                 F.when(F.col("_n") > min_cells, clamp(F.col(f"_r{i}"), -1.0, 1.0)).alias("spearman_r")) for i, (s, name, direction, _) in enumerate(variants)])
     return out.select(*by, F.inline(rows))
 
 
