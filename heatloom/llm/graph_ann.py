@@ -1,7 +1,9 @@
 """Approximate nearest neighbours on robust-pruned directed graphs, one graph per shard.
 
-The distinct vectors are dealt into shards of bounded size.  In every shard a
-directed graph is grown: a greedy search from the entry point proposes neighbours
+The distinct vectors of a dimension are dealt into a few shards, which grow with the
+table up to what a task may hold; only beyond that are there more of them.  A walk
+costs about the logarithm of a shard, so that is what a query costs more on a larger
+table.  In every shard a directed graph is grown: a greedy search from the entry point proposes neighbours
 of a new vector, relaxed distance pruning keeps diverse ones, and the edges are made
 mutual and pruned again.  Queries are searched in every shard with a beam; the best
 of all shards are merged.  The graphs are written to the shared folder, so a lost
@@ -23,12 +25,14 @@ from heatloom.llm.itq_dedup import runs_of
 from heatloom.llm.vectors import matrix, usable
 from heatloom.operators.rundir import n_tasks, stage
 
-#: Vectors of a shard, on average; edges of a vector; beam of the build and of the search; relaxation of the pruning.
-SHARD, DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX = 4096, 40, 96, 192, 1.2
+#: Shards of a dimension, components (vectors x dimension) of a shard at most, on average, and vectors that are worth a shard.
+SHARDS, SHARD_CELLS, LEAST_SHARD = 6, 1 << 22, 256
+#: Edges of a vector; beam of the build and of the search; relaxation of the pruning.
+DEGREE, BUILD_BEAM, SEARCH_BEAM, RELAX = 40, 96, 192, 1.2
 #: Vectors put into the graph, or searched, at a time.
 STEP = 256
-#: Queries that search one copy of a shard; more get further copies.
-QUERY_GROUP = 20_000
+#: Queries that search one copy of a shard; more get further copies. Where shards do not fill the tasks, fewer, but this many at least.
+QUERY_GROUP, LEAST_GROUP = 20_000, 256
 
 
 def lifted(x: np.ndarray, length: float | None = None) -> np.ndarray:
@@ -182,6 +186,23 @@ def connected(x: np.ndarray, edges: np.ndarray, entry: int, beam: int) -> np.nda
         edges = np.concatenate([edges, more], axis=1)
 
 
+def dealt(unique: DataFrame, shards: int = SHARDS, cells: int = SHARD_CELLS) -> DataFrame:
+    """Vectors (embedding, ids) with their dimension and shard."""
+    count = F.count(F.lit(1))
+    least = F.least(F.lit(shards), F.ceil(count / F.lit(float(LEAST_SHARD))))
+    sizes = unique.groupBy(F.size("embedding").alias("_dim")).agg(count.alias("_n"), least.alias("_least")).withColumn(
+        "shards", F.greatest("_least", F.ceil(F.col("_n") * F.col("_dim") / F.lit(float(cells)))))
+    return unique.withColumn("dim", F.size("embedding")).join(F.broadcast(sizes), F.col("dim") == F.col("_dim")).withColumn(
+        "first", F.col("ids")[0]).withColumn("shard", F.pmod(F.xxhash64("first"), F.col("shards")).cast("int"))
+
+
+def dealt_to_tasks(rows: DataFrame, groups: int = 1) -> DataFrame:
+    """Shards (and their query groups) to tasks by number, so that no task gets two while another has none."""
+    n = n_tasks(rows)
+    number = F.col("shard") * F.lit(groups) + (F.col("grp") if groups > 1 else F.lit(0))
+    return rows.repartitionById(n, F.pmod(F.hash("dim").cast("long") + number, F.lit(n)).cast("int"))
+
+
 def build_shards(vectors: DataFrame) -> DataFrame:
     """(dim, shard, embedding, ids) -> one row per vector with its place, out-edges and whether it is the entry point."""
     kind = vectors.schema["embedding"].dataType.simpleString()
@@ -195,7 +216,7 @@ def build_shards(vectors: DataFrame) -> DataFrame:
                  b.column("embedding"), b.column("ids"), pa.array(list(edges), pa.list_(pa.int64()))],
                 names=["dim", "shard", "place", "entry", "embedding", "ids", "edges"])
 
-    return vectors.repartition(n_tasks(vectors), "dim", "shard").sortWithinPartitions("dim", "shard", "first").select(
+    return dealt_to_tasks(vectors).sortWithinPartitions("dim", "shard", "first").select(
         "dim", "shard", "embedding", "ids").mapInArrow(
         run, f"dim int, shard int, place long, entry boolean, embedding {kind}, ids array<long>, edges array<long>")
 
@@ -206,11 +227,12 @@ def search_shards(graphs: DataFrame, queries: DataFrame, k: int, beam: int, grou
     A shard and the queries of its dimension meet in one task per group of queries,
     as two kinds of rows of one sorted stream: first the graph, then query after query.
     """
-    n_groups = -(-max(queries.count(), 1) // group)
+    shards = graphs.select(F.col("dim").alias("_dim"), F.col("shard")).distinct()
+    n_asked, n_shards = max(queries.count(), 1), max(shards.count(), 1)
+    n_groups = max(-(-n_asked // group), min(n_tasks(graphs) // n_shards, n_asked // LEAST_GROUP), 1)
     kind = graphs.schema["embedding"].dataType.simpleString()
     nothing = F.lit(None)
     q = queries.select(F.size("embedding").alias("dim"), "embedding", "query_id", F.pmod(F.xxhash64("query_id"), F.lit(n_groups)).cast("int").alias("grp"))
-    shards = graphs.select(F.col("dim").alias("_dim"), F.col("shard")).distinct()
     asked = q.join(shards, F.col("dim") == F.col("_dim")).select(
         "dim", "shard", "grp", F.lit(1).alias("kind"), F.col("query_id").cast("long").alias("place"), F.lit(False).alias("entry"), "embedding",
         nothing.cast("array<long>").alias("ids"), nothing.cast("array<long>").alias("edges"))
@@ -252,15 +274,17 @@ def search_shards(graphs: DataFrame, queries: DataFrame, k: int, beam: int, grou
             yield b.append_column("piece", pa.array(np.where(kind_ == 0, 0, i).astype(np.int64)))
 
     keys = ["dim", "shard", "grp"]
-    return rows.repartition(n_tasks(rows), *keys).sortWithinPartitions(*keys, "kind", "place").mapInArrow(
+    return dealt_to_tasks(rows, n_groups).sortWithinPartitions(*keys, "kind", "place").mapInArrow(
         run, "query_id long, score double, ids array<long>")
 
 
 def nearest_neighbours(
-    embeddings: DataFrame, queries: DataFrame, k: int = 20, shard: int = SHARD, beam: int = SEARCH_BEAM,
+    embeddings: DataFrame, queries: DataFrame, k: int = 20, shards: int = SHARDS, cells: int = SHARD_CELLS, beam: int = SEARCH_BEAM,
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of (vec_id, embedding) with the largest inner product for each query row.
 
+    The vectors of a dimension are dealt into ``shards`` graphs; more where one would
+    hold over ``cells`` components, fewer where they would hold under LEAST_SHARD vectors.
     ``queries`` are rows of the same form.  A row with the query's own vec_id is no
     candidate.  Scores are exact inner products in double precision; ties go to the
     smaller vec_id.  Vectors that are NULL, empty, zero or hold NULL or non-finite
@@ -274,10 +298,7 @@ def nearest_neighbours(
     unique = stage(
         rows.withColumn("n", F.row_number().over(few)).where(F.col("n") <= k + 1)
         .groupBy("embedding").agg(F.sort_array(F.collect_list("vec_id")).alias("ids")), "vectors")
-    sizes = unique.groupBy(F.size("embedding").alias("_dim")).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(shard))).alias("shards"))
-    dealt = unique.withColumn("dim", F.size("embedding")).join(F.broadcast(sizes), F.col("dim") == F.col("_dim")).withColumn(
-        "first", F.col("ids")[0]).withColumn("shard", F.pmod(F.xxhash64("first"), F.col("shards")).cast("int"))
-    graphs = stage(build_shards(dealt), "graphs")
+    graphs = stage(build_shards(dealt(unique, shards, cells)), "graphs")
     asked = queries.where(fine).select(F.col("vec_id").cast("long").alias("query_id"), "embedding")
     found = search_shards(graphs, asked, k, beam)
     each = found.select("query_id", "score", F.explode("ids").alias("vec_id")).where("vec_id <> query_id").distinct()

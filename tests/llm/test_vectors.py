@@ -3,6 +3,7 @@
 import helpers as H
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from heatloom.llm import graph_ann, itq_dedup
 
@@ -107,7 +108,7 @@ def test_nearest_neighbours(spark):
     data = rows(5, 600)
     df = spark.createDataFrame(data, SCHEMA).selectExpr("*", "1 as score", "2 as shard", "3 as ids")
     got = {}
-    for r in graph_ann.nearest_neighbours(df, df.where("vec_id % 20 = 0"), shard=200).orderBy("query_id", "rank").collect():
+    for r in graph_ann.nearest_neighbours(df, df.where("vec_id % 20 = 0"), shards=3).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
         assert len(got[r.query_id]) == r["rank"]
     want = brute_nearest(data, 20)
@@ -120,6 +121,22 @@ def test_nearest_neighbours(spark):
         assert all(i != q and abs(s - score.get(i, s)) < 1e-9 for i, s in found)
 
 
+def test_shards_grow_with_the_table(spark):
+    """As many shards for any size, until one would be too large; every shard has a task of its own."""
+    def shards(n, **how):
+        rng = np.random.default_rng(n)
+        df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(rng.normal(size=(n, 4)))], SCHEMA)
+        unique = df.groupBy("embedding").agg(F.collect_list("vec_id").alias("ids"))
+        dealt = graph_ann.dealt(unique, **how).withColumn("task", F.spark_partition_id())
+        placed = graph_ann.dealt_to_tasks(dealt.drop("task")).withColumn("task", F.spark_partition_id())
+        got = placed.groupBy("shard").agg(F.countDistinct("task").alias("tasks"), F.min("task").alias("task")).collect()
+        assert all(r.tasks == 1 for r in got) and len({r.task for r in got}) == len(got)
+        return len(got)
+
+    assert [shards(n, shards=3) for n in (200, 600, 1000, 3000)] == [1, 3, 3, 3]
+    assert shards(3000, shards=3, cells=2400) == 5
+
+
 def test_search_of_nothing(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert graph_ann.nearest_neighbours(empty, empty).count() == 0
