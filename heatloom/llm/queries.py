@@ -62,17 +62,18 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ROTATE_SQL = f"""
 WITH said AS (
-  SELECT conv_id, coalesce(turn, 0) AS turn, role, coalesce(text, '') AS content,
-         CAST(floor(coalesce(turn, 0) / {chat_rotation.PART_TURNS}.0) AS BIGINT) AS part FROM conversations),
+  SELECT conv_id, coalesce(turn, 0) AS turn, role, coalesce(text, '') AS content FROM conversations),
+numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, md5(coalesce(length(role) || ':' || role, '-:') || content)) - 1 AS pos FROM said),
 speakers AS (SELECT DISTINCT conv_id AS c, role AS speaker FROM said WHERE role IS NOT NULL AND role <> 'system'),
 views AS (
-  SELECT conv_id, speaker, part, turn, coalesce(role, '') AS role, content, coalesce(role = speaker, false) AS own,
+  SELECT conv_id, speaker, pos // {chat_rotation.PART_TURNS} AS part, pos, content, coalesce(role = speaker, false) AS own,
          CASE WHEN coalesce(role = speaker, false) THEN '<|assistant|>' WHEN role = 'system' THEN '<|system|>'
               ELSE '<|user name=' || coalesce(role, '{chat_rotation.NOBODY}') || '|>' END || chr(10) AS head
-  FROM said JOIN speakers ON conv_id IS NOT DISTINCT FROM c),
+  FROM numbered JOIN speakers ON conv_id IS NOT DISTINCT FROM c),
 placed AS (
   SELECT *, sum(length(head) + length(content) + 1) OVER (
-      PARTITION BY conv_id, speaker, part ORDER BY turn, role, content ROWS UNBOUNDED PRECEDING) AS stop FROM views)
+      PARTITION BY conv_id, speaker, part ORDER BY pos ROWS UNBOUNDED PRECEDING) AS stop FROM views)
 SELECT conv_id, speaker, part, count(*) AS n_messages, count(*) FILTER (own) AS n_own,
        string_agg(head || content || chr(10), '' ORDER BY stop) AS text,
        coalesce(string_agg(CAST(stop - length(content) - 1 AS BIGINT) || '-' || CAST(stop AS BIGINT), ',' ORDER BY stop) FILTER (own), '') AS spans

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from heatloom.llm import budget_mix, chat_rotation, length_buckets, queries
 from heatloom.llm.common import word_count
+from heatloom.operators.groups import GroupProfile
 
 
 def compare(got, want):
@@ -105,23 +106,46 @@ TURNS = [(1, 0, "system", "Be kind."), (1, 1, "ann", "Hi\nall"), (1, 2, "bob", "
          (4, 1, "ann", "x"), (4, 1, "ann", "x")]
 
 
-def rotated(spark, turns):
+def rotated(spark, turns, **how):
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").withColumn("speaker", F.lit("z"))
-    return chat_rotation.rotate_perspectives(df)
+    return chat_rotation.rotate_perspectives(df, **how)
 
 
-def test_rotation_awkward_turns(spark):
-    views = rotated(spark, TURNS)
+def comparable(views):
     spans = F.zip_with("mask_starts", "mask_ends", lambda a, b: F.concat_ws("-", a.cast("string"), b.cast("string")))
-    got = views.select("conv_id", "speaker", "part", "n_messages", "n_own", "text", F.array_join(spans, ",").alias("spans")).toPandas()
-    t = pd.DataFrame(TURNS, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
-    compare(got, H.duck(queries.ROTATE_SQL, conversations=t))
+    return views.select("conv_id", "speaker", "part", "n_messages", "n_own", "text", F.array_join(spans, ",").alias("spans")).toPandas()
+
+
+def turns_frame(turns):
+    return pd.DataFrame(turns, columns=["conv_id", "turn", "role", "text"]).astype({"conv_id": "Int64", "turn": "Int64"})
+
+
+def hot_turns():
+    """A conversation without turn numbers, a message repeated 1,100 times, one long dialogue, rows without conversation."""
+    return (
+        TURNS + [(5, None, ("ann", "bob", None)[i % 3], f"line {i}") for i in range(1300)] + [(6, 7, "ann", "again")] * 1100
+        + [(6, 9, "bob", "end")] + [(7, 3 * i, ("ann", "bob")[i % 2], f"turn {i}") for i in range(1200)] + [(None, 2, "bob", "found")])
+
+
+@pytest.mark.parametrize("limits", [{}, {"direct_rows": 300}, {"direct_rows": 300, "broadcast_groups": 1}])
+def test_rotation_of_hot_conversations(spark, limits):
+    """No part grows with turns that are missing or repeated, and long conversations ordered in ranges come out alike."""
+    turns = hot_turns()
+    got = comparable(rotated(spark, turns, profile=GroupProfile(8, 1300, **limits)))
+    assert got.n_messages.max() == chat_rotation.PART_TURNS
+    assert got[(got.conv_id == 6) & (got.speaker == "bob")].sort_values("part").n_messages.tolist() == [512, 512, 77]
+    compare(got, H.duck(queries.ROTATE_SQL, conversations=turns_frame(turns)))
+
+
+def test_rotation_awkward_turns(spark):
+    got = comparable(rotated(spark, TURNS))
+    compare(got, H.duck(queries.ROTATE_SQL, conversations=turns_frame(TURNS)))
 
 
 def test_rotation_masks_cover_own_words(spark):
     for r in rotated(spark, TURNS).collect():
         own = [r.text[a:b] for a, b in zip(r.mask_starts, r.mask_ends)]
-        said = sorted((x[3] or "") + "\n" for x in TURNS if x[0] == r.conv_id and x[2] == r.speaker and (x[1] or 0) // 512 == r.part)
+        said = sorted((x[3] or "") + "\n" for x in TURNS if x[0] == r.conv_id and x[2] == r.speaker)
         assert sorted(own) == said and len(own) == r.n_own
         assert r.text.count("<|assistant|>") == r.n_own
     assert rotated(spark, []).count() == 0
