@@ -25,19 +25,28 @@ def uniform(seed: int, *keys: Column | str, method: str = "xxhash64") -> Column:
     return (bits + 0.5) / F.lit(TWO_32)
 
 
-def normal(seed: int, *keys: Column | str, method: str = "xxhash64") -> Column:
-    """Standard normal draw (Box-Muller); both uniform numbers come from one hash."""
+def normals(n: int, seed: int, *keys: Column | str, method: str = "xxhash64") -> list[Column]:
+    """``n`` independent standard normal draws (Box-Muller); the first of them do not depend on ``n``.
+
+    Two uniform numbers give two draws, by cosine and sine; one ``xxhash64`` gives two
+    numbers, one ``md5`` gives four.  The number of the hash is its last key.
+    """
     cols = [F.col(k) if isinstance(k, str) else k for k in keys]
-    if method == "xxhash64":
-        bits = F.xxhash64(F.lit(seed), *cols)
-        parts = [F.shiftrightunsigned(bits, 32), bits.bitwiseAND(F.lit(0xFFFFFFFF))]
-    elif method == "md5":
-        text = F.md5(F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in cols]).cast("binary"))
-        parts = [F.conv(F.substring(text, i, 8), 16, 10) for i in (1, 9)]
-    else:
-        raise ValueError(f"unknown method {method!r}")
-    u1, u2 = ((x.cast("double") + 0.5) / F.lit(TWO_32) for x in parts)
-    return F.sqrt(-2.0 * F.log(u1)) * F.cos(u2 * F.lit(2.0 * math.pi))
+    out: list[Column] = []
+    while len(out) < n:
+        if method == "xxhash64":
+            bits = F.xxhash64(F.lit(seed), *cols, F.lit(len(out) // 2))
+            parts = [F.shiftrightunsigned(bits, 32), bits.bitwiseAND(F.lit(0xFFFFFFFF))]
+        elif method == "md5":
+            text = F.concat_ws("|", F.lit(str(seed)), *[c.cast("string") for c in cols], F.lit(str(len(out) // 4)))
+            parts = [F.conv(F.substring(F.md5(text.cast("binary")), i, 8), 16, 10) for i in (1, 9, 17, 25)]
+        else:
+            raise ValueError(f"unknown method {method!r}")
+        u = [(x.cast("double") + 0.5) / F.lit(TWO_32) for x in parts]
+        for u1, u2 in zip(u[::2], u[1::2]):
+            radius, angle = F.sqrt(-2.0 * F.log(u1)), u2 * F.lit(2.0 * math.pi)
+            out += [radius * F.cos(angle), radius * F.sin(angle)]
+    return out[:n]
 
 
 def triangular(u: Column, lo: Column, mode: Column, hi: Column) -> Column:

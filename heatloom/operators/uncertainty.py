@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from heatloom import constants as C
 from heatloom.functions.basic import clamp, correlation, rescale
-from heatloom.functions.random import normal
+from heatloom.functions.random import normals
 from heatloom.operators.groups import DEFAULT_BY, GroupProfile, ensure_profile
 from heatloom.operators.index import hvi, hvi_formula, subindex, with_subindices
 from heatloom.operators.normalize import robust_normalize, scaled_columns
@@ -25,15 +25,17 @@ def perturb_indicators(
     """Every cell once per sample, with noise on each indicator.
 
     A draw depends on seed, sample, cell and indicator only, so results do not
-    change with the partitioning or after a lost executor.
+    change with the partitioning, the columns or after a lost executor.
     """
     rows = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("sample_id"))
 
+    draws = dict(zip(C.BAND_NOISE, normals(len(C.BAND_NOISE), seed, "sample_id", *key, method=method)))
+
     def noisy(c: str) -> Column:
         if c not in C.BAND_NOISE:
             return F.col(c)
         kind, size = C.BAND_NOISE[c]
-        z = normal(seed, "sample_id", *key, F.lit(c), method=method)
+        z = draws[c]
         if kind == "gaussian":
             return F.col(c) + size * z
         return F.col(c) * F.exp(math.sqrt(math.log(1.0 + size * size)) * z)

@@ -336,9 +336,8 @@ def _(spark, sf):
 # --- uncertainty -----------------------------------------------------------------------
 SAMPLES = 500
 NOISE = ", ".join(
-    (f"{c} + {size}::double * {S.normal(SEED, 'sample_id', 'aoi_id', 'cell_id', repr(c))} as {c}" if kind == "gaussian" else
-     f"{c} * exp(sqrt(ln(1 + {size}::double * {size}::double)) * {S.normal(SEED, 'sample_id', 'aoi_id', 'cell_id', repr(c))}) as {c}")
-    for c, (kind, size) in C.BAND_NOISE.items())
+    f"{c} + {size}::double * {z} as {c}" if kind == "gaussian" else f"{c} * exp(sqrt(ln(1 + {size}::double * {size}::double)) * {z}) as {c}"
+    for (c, (kind, size)), z in zip(C.BAND_NOISE.items(), S.normals(len(C.BAND_NOISE), SEED, "sample_id", "aoi_id", "cell_id")))
 SAMPLED = f", smp as (select aoi_id, cell_id, sample_id, {NOISE} from cells, (select unnest(range({SAMPLES}))::int as sample_id))"
 
 

@@ -90,10 +90,15 @@ def uniform(seed: int, *keys: str) -> str:
     return f"((('0x' || substr(md5({text}), 1, 8))::bigint + 0.5::double) / 4294967296::double)"
 
 
-def normal(seed: int, *keys: str) -> str:
-    text = " || '|' || ".join([f"'{seed}'", *[f"{k}::varchar" for k in keys]])
-    a, b = (f"((('0x' || substr(md5({text}), {i}, 8))::bigint + 0.5::double) / 4294967296::double)" for i in (1, 9))
-    return f"(sqrt(-2::double * ln({a})) * cos({b} * 6.283185307179586::double))"
+def normals(n: int, seed: int, *keys: str) -> list[str]:
+    """``n`` normal draws, four from each md5."""
+    out: list[str] = []
+    while len(out) < n:
+        text = " || '|' || ".join([f"'{seed}'", *[f"{k}::varchar" for k in keys], f"'{len(out) // 4}'"])
+        u = [f"((('0x' || substr(md5({text}), {i}, 8))::bigint + 0.5::double) / 4294967296::double)" for i in (1, 9, 17, 25)]
+        for a, b in zip(u[::2], u[1::2]):
+            out += [f"(sqrt(-2::double * ln({a})) * {f}({b} * 6.283185307179586::double))" for f in ("cos", "sin")]
+    return out[:n]
 
 
 def avg_rank(c: str, over: str) -> str:

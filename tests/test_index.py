@@ -188,3 +188,19 @@ def test_weighting_comparison_equals_single_runs(cells):
         one = index.hvi(cells, m).toPandas().sort_values("cell_id")["hvi"].to_numpy()
         got = both[both.method == m].sort_values("cell_id")["hvi"].to_numpy()
         np.testing.assert_allclose(got, one, rtol=1e-9, atol=1e-12)
+
+
+@pytest.mark.parametrize("method", ["xxhash64", "md5"])
+def test_normals_are_independent_and_standard(spark, method):
+    """Draws of one hash share no mean, spread or correlation, and the first ones do not depend on how many are made."""
+    from heatloom.functions.random import normals
+
+    ids = spark.range(20_000)
+    x = ids.select(*[z.alias(f"z{i}") for i, z in enumerate(normals(6, 3, "id", method=method))]).toPandas().to_numpy()
+    assert np.isfinite(x).all()
+    assert np.abs(x.mean(axis=0)).max() < 0.03 and np.abs(x.std(axis=0) - 1).max() < 0.03
+    assert np.abs(np.corrcoef(x.T) - np.eye(6)).max() < 0.03
+    assert np.abs(np.corrcoef((x * x).T) - np.eye(6)).max() < 0.04
+    assert np.abs(np.sort(x, axis=0)[[500, 10_000, 19_500]] - np.array([[-1.96], [0.0], [1.96]])).max() < 0.1
+    few = ids.select(*[z.alias(f"z{i}") for i, z in enumerate(normals(3, 3, "id", method=method))]).toPandas().to_numpy()
+    assert (few == x[:, :3]).all()
