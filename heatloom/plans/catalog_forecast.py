@@ -157,11 +157,11 @@ def _(spark, sf):
 @query("stream_heat_episodes", oracle("forecast", FC + """, hot as (select aoi_id, valid_time, hi, case when valid_time - lag(valid_time) over w < interval 1 day then 0 else 1 end as fresh
     from fc where hi > 40 window w as (partition by aoi_id order by valid_time)),
     ses as (select *, sum(fresh) over (partition by aoi_id order by valid_time rows unbounded preceding) as sid from hot)
-    select aoi_id, min(valid_time) as start, max(valid_time) + interval 1 day as end, count(*) as n, round(max(hi), 6) as max_hi from ses group by aoi_id, sid
-    having max(valid_time) + interval 1 day <= (select max(valid_time) - interval 2 day from forecast)"""))
+    select aoi_id, min(valid_time) as start, max(valid_time) + interval 1 day as end, count(*) as n, round(max(hi), 6) as max_hi from ses group by aoi_id, sid"""))
 def _(spark, sf):
     s = streams.stream_heat_episodes(readings(spark, sf), 40.0)
-    out = streams.run_available(s, "episodes", ["aoi_id", "start"], mode="append")
+    # all sessions, those that are still open too; append mode would leave these out
+    out = streams.run_available(s, "episodes", ["aoi_id", "start"], mode="complete")
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
