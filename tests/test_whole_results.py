@@ -1,9 +1,11 @@
 """Registered queries return the whole result, not the part that is cheap."""
 
-import pytest
+import re
+
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from heatloom import constants as C
 from test_queries import SF, compare, con  # noqa: F401
 
 
@@ -14,3 +16,12 @@ def test_open_episodes_are_returned(spark, con):  # noqa: F811
     last = spark.read.parquet(f"{sf}/events.parquet").agg(F.max("ts")).first()[0]
     late = entry.queries()["stream_heat_episodes"](spark, sf).where(F.col("end") > F.lit(last) - F.expr("interval 2 days"))
     assert late.count() > 0  # the watermark has not closed these yet
+
+
+def test_every_draw_has_a_hash_of_its_own(spark, con):  # noqa: F811
+    sql = entry.oracle_sql()["perturb_indicators"]
+    assert len(set(re.findall(r"md5\(([^)]*)\)", sql))) == len(C.BAND_NOISE)
+    got = entry.queries()["perturb_indicators"](spark, SF)
+    some = "cell_id % 40 = 0"
+    assert compare(got.where(some).select("aoi_id", "cell_id", "sample_id", *[F.round(c, 6).alias(c) for c in C.INDICATORS]).toPandas(),
+                   con.execute(f"select * from ({sql}) where {some}").df()) == ""
