@@ -2,10 +2,12 @@
 
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from heatloom import constants as C
+from heatloom.operators import index, uncertainty
 from test_queries import SF, compare, con  # noqa: F401
 
 
@@ -25,3 +27,23 @@ def test_every_draw_has_a_hash_of_its_own(spark, con):  # noqa: F811
     some = "cell_id % 40 = 0"
     assert compare(got.where(some).select("aoi_id", "cell_id", "sample_id", *[F.round(c, 6).alias(c) for c in C.INDICATORS]).toPandas(),
                    con.execute(f"select * from ({sql}) where {some}").df()) == ""
+
+
+def test_samples_are_not_shuffled(spark):
+    """Areas as many as tasks: rows move before they are copied; fewer areas: the copies still do not move."""
+    rng = np.random.default_rng(1)
+    few, many = ([(a, i, *rng.random(len(C.INDICATORS)).tolist()) for a in range(areas) for i in range(6)] for areas in (2, 40))
+    schema = "aoi_id int, cell_id long, " + ", ".join(f"{c} double" for c in C.INDICATORS)
+    for rows in (few, many):
+        cells = spark.createDataFrame(rows, schema)
+        out = uncertainty.mc_distribution(cells, 9)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        lines = [x.strip(" :+-") for x in plan.splitlines()]
+        made = max(i for i, x in enumerate(lines) if "sample_id" in x and "Generate explode" in x)
+        moved = [x for x in lines[:made] if x.startswith("Exchange")]
+        assert len(moved) == (rows is few) and not any("lst" in x for x in moved)
+        slow = index.hvi(uncertainty.perturb_indicators(cells, 9, key=("aoi_id", "cell_id")), by=["aoi_id", "sample_id"])
+        want = slow.groupBy("aoi_id", "cell_id").agg(F.avg("hvi").alias("mean"), F.count("hvi").alias("n")).orderBy("aoi_id", "cell_id").collect()
+        got = out.orderBy("aoi_id", "cell_id").collect()
+        assert [(r.aoi_id, r.cell_id, r.n_valid) for r in got] == [(r.aoi_id, r.cell_id, r.n) for r in want]
+        np.testing.assert_allclose([r["mean"] for r in got], [r["mean"] for r in want], atol=1e-9)
