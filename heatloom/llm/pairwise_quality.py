@@ -15,11 +15,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from heatloom.llm.common import filter_texts, id_text, labelled_sample, logit, sigmoid, slices
+from heatloom.llm.common import filter_texts, fold, id_text, logit, sigmoid, slices, training_labels
+from heatloom.operators.rundir import cut_lineage, n_tasks, stage
 
-#: Bound of the sample that the weights are fitted on: rows of each class.
-SAMPLE_PER_CLASS = 4000
-#: Rejected documents that each preferred one of the sample meets.
+#: Rows of the rarer class in a group in which pairs are drawn, and of the other class, about.
+GROUP_RARE, GROUP_ROWS = 500, 4000
+#: Documents of the other class that each document meets.
 RIVALS = 8
 #: Score at which a document is accepted.
 THRESHOLD = 0.3
@@ -59,12 +60,21 @@ def fit_pairs(x: np.ndarray, y: np.ndarray, rivals: int = RIVALS, decay: float =
     j = bad[rng.integers(0, len(bad), len(i))]
     i, j = np.concatenate([i, good[rng.integers(0, len(good), len(bad) * rivals)]]), np.concatenate([j, np.repeat(bad, rivals)])
     d = x[i] - x[j]
-    w = np.zeros(x.shape[1])
+    return newton(lambda w: pair_sums(d, w), x.shape[1], decay, steps)
+
+
+def pair_sums(d: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Sums over preference pairs: their number, the gradient and the second derivatives, end to end."""
+    p = sigmoid(-(d @ w))
+    return np.concatenate([[len(d)], -(d.T @ p), ((d * (p * (1 - p))[:, None]).T @ d).ravel()])
+
+
+def newton(sums, k: int, decay: float = 1e-3, steps: int = 30) -> np.ndarray:
+    w = np.zeros(k)
     for _ in range(steps):
-        p = sigmoid(-(d @ w))
-        grad = -(d.T @ p) / len(d) + decay * w
-        hess = (d * (p * (1 - p))[:, None]).T @ d / len(d) + decay * np.eye(len(w))
-        step = np.linalg.solve(hess, grad)
+        found = sums(w)
+        n, grad, hess = found[0], found[1 : k + 1], found[k + 1 :].reshape(k, k)
+        step = np.linalg.solve(hess / n + decay * np.eye(k), grad / n + decay * w)
         w -= step
         if np.abs(step).max() < 1e-8:
             break
@@ -80,38 +90,131 @@ def quantile_cut(score: np.ndarray, weight: np.ndarray, share: float) -> float:
     return float((s[k] + s[min(k + 1, len(s) - 1)]) / 2)
 
 
-def fit_quality(
-    docs: DataFrame, labels: DataFrame, label: str = "quality", per_class: int = SAMPLE_PER_CLASS, threshold: float = THRESHOLD,
-) -> dict | None:
-    """Fit on a bounded sample of training labels; None where one class has no labelled document.
+def summed(rows: DataFrame, sums) -> np.ndarray:
+    """The sum of the vectors that ``sums`` yields for the batches of a task; the driver gets one vector a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for v in sums(batches):
+            total = v if total is None else total + v
+        yield pa.RecordBatch.from_arrays([pa.array([] if total is None else [total.tobytes()], pa.binary())], names=["v"])
+
+    return sum(np.frombuffer(r["v"]) for r in rows.mapInArrow(run, "v binary").collect())
+
+
+def matrix(col: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(col.to_pylist()), np.float64).reshape(-1, N_FEATURES)
 
-    Ids may have any type that casts to a string; NULL ids and NULL or contradicting
-    labels never train, a NULL text counts as empty, and of repeated ids one text trains.
+
+def dealt_pairs(rows: DataFrame, n: dict[int, int]) -> DataFrame:
+    """Rows (grp, own, y, x) in order of their group, in which pairs are drawn.
+
+    Both classes are dealt to buckets by hash.  Where the frequent class fills a bucket it
+    is cut into parts, and the rare rows of the bucket stand in each of them, ``own`` in one.
+    """
+    rare = int(n[1] < n[0])
+    buckets = max(1, n[rare] // GROUP_RARE)
+    parts = max(1, -(-n[1 - rare] // (buckets * GROUP_ROWS)))
+    home = F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(parts))
+    at = F.explode(F.when(F.col("y") == rare, F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")).otherwise(F.array(home)))
+    dealt = rows.select("_id", "y", "x", F.pmod(F.xxhash64("_id"), F.lit(buckets)).alias("_b"), home.alias("_h"), at.alias("_p"))
+    dealt = dealt.select("_id", (F.col("_b") * parts + F.col("_p")).alias("grp"), (F.col("_h") == F.col("_p")).alias("own"), "y", "x")
+    dealt = dealt.repartition(n_tasks(rows), "grp").sortWithinPartitions("grp", "_id").drop("_id")
+    return cut_lineage(dealt)  # every step reads it in this order
+
+
+def group_pairs(grp: int, own: np.ndarray, y: np.ndarray, z: np.ndarray, rare: int, rivals: int) -> np.ndarray:
+    """Differences x_i - x_j of preferred and rejected rows: every row meets ``rivals`` rows of the other class."""
+    rng = np.random.default_rng([17, grp])
+    few, many = np.flatnonzero(y == rare), np.flatnonzero(y != rare)
+    if not len(few) or not len(many):
+        return np.zeros((0, z.shape[1]))
+    mine = few[own[few]]
+    a = np.concatenate([few[rng.integers(0, len(few), len(many) * rivals)], np.repeat(mine, rivals)])
+    b = np.concatenate([np.repeat(many, rivals), many[rng.integers(0, len(many), len(mine) * rivals)]])
+    return (z[a] - z[b]) * (1 if rare == 1 else -1)
+
+
+def weighted_cut(scored: DataFrame, share: float, most: int = 5000) -> float:
+    """``quantile_cut`` of (s, w), by histograms that narrow until few rows are left to be sorted."""
+    lo, hi, whole = scored.agg(F.min("s"), F.max("s"), F.sum("w")).first()
+    target, below = share * whole * (1 - 1e-12), 0.0
+    while lo < hi:
+        inside = scored.where(F.col("s").between(lo, hi))
+        bins = inside.groupBy(F.least(F.floor((F.col("s") - lo) / (hi - lo) * 1000), F.lit(999)).alias("b")).agg(
+            F.sum("w").alias("w"), F.count(F.lit(1)).alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi")).orderBy("b").collect()
+        mass = below + np.cumsum([r["w"] for r in bins])
+        k = min(int(np.searchsorted(mass, target)), len(bins) - 1)
+        below, lo, hi = float(mass[k] - bins[k]["w"]), bins[k]["lo"], bins[k]["hi"]
+        if bins[k]["n"] <= most:
+            break
+    found = scored.where(F.col("s").between(lo, hi))
+    found = found.groupBy("s").agg(F.sum("w").alias("w"), F.count(F.lit(1)).alias("n")).orderBy("s").collect()
+    k = min(int(np.searchsorted(below + np.cumsum([r["w"] for r in found]), target)), len(found) - 1)
+    at = found[k]["s"]
+    if found[k]["n"] > 1 and below + sum(r["w"] for r in found[:k]) + found[k]["w"] * (1 - 1 / found[k]["n"]) >= target:
+        return float(at)  # the next row in order has the same score
+    after = found[k + 1]["s"] if k + 1 < len(found) else scored.where(F.col("s") > hi).agg(F.min("s")).first()[0]
+    return float(at if after is None else (at + after) / 2)
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = THRESHOLD, rivals: int = RIVALS) -> dict | None:
+    """Fit on all training labels; None where one class has no labelled document.
+
+    Features of the documents meet the labels; mean, spread, Newton steps and the cut are
+    sums over all of these rows.  Ids may have any type that casts to a string; NULL ids
+    and NULL or contradicting labels never train, a NULL text counts as empty, and of
+    repeated ids one text trains.
     """
-    sample, counts = labelled_sample(labels, label, per_class)
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    known = training_labels(labels, label).select(id_text("doc_id").alias("_id"), "y")
+    per_class = lambda rows: {int(r["y"]): int(r["count"]) for r in rows.groupBy("y").count().collect()}
+    counts = per_class(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            x = [features(t.as_py() or "") for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(x, pa.list_(pa.float64()))], names=["doc_id", "y", "x"])
-
-    rows = (
-        docs.select("doc_id", "text").join(F.broadcast(sample.select(id_text("doc_id").alias("_id"), "y")), id_text("doc_id") == F.col("_id"))
-        .select("doc_id", "y", "text").mapInArrow(run, f"doc_id {kind}, y int, x array<double>")
-        .groupBy("doc_id").agg(F.min("y").alias("y"), F.min("x").alias("x")).orderBy("doc_id").collect()
-    )
-    y = np.array([r["y"] for r in rows], np.int64)
-    if len(set(y.tolist())) < 2:
+        for b in slices(batches):
+            x = [features(t.as_py() or "").tobytes() for t in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(x, pa.binary())], names=["_id", "x"])
+
+    texts = docs.where(F.col("doc_id").isNotNull() & (fold("doc_id", 5) != 0)).select(id_text("doc_id").alias("_id"), "text")
+    rows = stage(texts.mapInArrow(run, "_id string, x binary").join(known, "_id").groupBy("_id").agg(
+        F.min("y").alias("y"), F.min("x").alias("x")), "quality-features")
+    n = per_class(rows)
+    if len(n) < 2:
         return None
-    x = np.array([r["x"] for r in rows])
-    mean, std = x.mean(0), x.std(0)
+    mean = summed(rows.select("x"), lambda bs: (matrix(b.column(0)).sum(0) for b in bs)) / sum(n.values())
+    std = np.sqrt(summed(rows.select("x"), lambda bs: (((matrix(b.column(0)) - mean) ** 2).sum(0) for b in bs)) / sum(n.values()))
     std[std < 1e-9] = np.inf
-    z = np.clip((x - mean) / std, -8, 8)
-    w = fit_pairs(z, y)
-    share = counts[0] / (counts[0] + counts[1])
-    weight = np.where(y == 0, counts[0] / (y == 0).sum(), counts[1] / (y == 1).sum())
-    return {"w": w, "mean": mean, "std": std, "cut": quantile_cut(z @ w, weight, share), "at": logit(threshold)}
+    scaled = lambda col: np.clip((matrix(col) - mean) / std, -8, 8)
+    pairs, rare = dealt_pairs(rows, n), int(n[1] < n[0])
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        def of(batches):
+            held = None
+            for b in batches:
+                held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+                grp = held.column("grp").to_numpy()
+                cuts = [0, *(np.flatnonzero(grp[1:] != grp[:-1]) + 1).tolist()]
+                for lo, hi in zip(cuts, cuts[1:]):
+                    yield one(held.slice(lo, hi - lo))
+                held = held.slice(cuts[-1])
+            if held is not None and held.num_rows:
+                yield one(held)
+
+        def one(t: pa.Table) -> np.ndarray:
+            own, y = (t.column(c).to_numpy() for c in ("own", "y"))
+            return pair_sums(group_pairs(int(t.column("grp")[0].as_py()), own, y, scaled(t.column("x")), rare, rivals), w)
+
+        return summed(pairs, of)
+
+    w = newton(sums, N_FEATURES)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            y = b.column(0).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(scaled(b.column(1)) @ w), pa.array(np.where(y == 0, counts[0] / n[0], counts[1] / n[1]))], names=["s", "w"])
+
+    cut = weighted_cut(stage(rows.select("y", "x").mapInArrow(score, "s double, w double"), "quality-training"), counts[0] / (counts[0] + counts[1]))
+    return {"w": w, "mean": mean, "std": std, "cut": cut, "at": logit(threshold)}
 
 
 def quality_scores(docs: DataFrame, model: dict | None, threshold: float = THRESHOLD, folds: int = 5) -> DataFrame:
