@@ -70,8 +70,9 @@ def cell_count_estimate(aois: DataFrame, key: str = "aoi_id") -> DataFrame:
         plane = geometry_measures(aois, key, C.WEB_MERCATOR_RADIUS_M)
         out = aois.join(plane.select(key, (F.col("area") / 1e6).alias("area_km2")), key, "left")
     else:
-        area = F.abs(ring_area(mercator_ring(F.col("ring"))))
-        out = aois.withColumn("area_km2", area / 1e6)
+        # The plane ring is a column of its own: as an expression it would be worked out again at every vertex.
+        out = aois.withColumn("_plane", mercator_ring(F.col("ring")))
+        out = out.withColumn("area_km2", F.abs(ring_area(F.col("_plane"))) / 1e6).drop("_plane")
     n = F.greatest(F.lit(1), F.ceil(F.col("area_km2") * 1e6 / (C.CELL_SIZE_M**2)))
     out = out.withColumn("n_cells", n.cast("long"))
     return out.withColumn("mode", size_mode(F.col("n_cells")))

@@ -1,9 +1,19 @@
-"""Work per row does not depend on how many files hold it."""
+"""Work per row does not depend on how many files or vertices hold it."""
+
+import io
+from contextlib import redirect_stdout
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from heatloom.operators import lookups
+from heatloom.operators import grid, lookups
+
+
+def plan(df) -> str:
+    out = io.StringIO()
+    with redirect_stdout(out):
+        df.explain("extended")
+    return out.getvalue().split("== Optimized Logical Plan ==")[1].split("== Physical Plan ==")[0]
 
 
 def test_nearest_centres_of_one_partition_are_searched_by_all_tasks(spark):
@@ -22,3 +32,13 @@ def test_nearest_centres_of_one_partition_are_searched_by_all_tasks(spark):
             continue
         best = min((float(np.sqrt((c[1] - r["lat"]) ** 2 + (c[2] - r["lon"]) ** 2)), *c[:1], *c[3:]) for c in centres)
         assert (r["distance"], r["grid_id"], r["d245"], r["d585"]) == best
+
+
+def test_ring_is_projected_once(spark):
+    ring = [(72.0, 23.0), (72.1, 23.0), (72.2, 23.1), (72.0, 23.1), (72.0, 23.0)]
+    aois = spark.createDataFrame([(1, ring)], f"aoi_id int, ring {grid.RING_TYPE}")
+    out = grid.cell_count_estimate(aois)
+    assert plan(out).lower().count("tan(") == 1 and out.columns == ["aoi_id", "ring", "area_km2", "n_cells", "mode"]
+    r = 6378.137
+    m = lambda y: np.log(np.tan(np.pi / 4 + np.radians(y) / 2)) * r
+    assert np.isclose(out.first()["area_km2"], np.radians(0.15) * r * (m(23.1) - m(23.0)))
