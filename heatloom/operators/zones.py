@@ -13,7 +13,7 @@ from heatloom.functions.labels import size_mode
 from heatloom.functions.random import uniform
 from heatloom.operators.groups import DEFAULT_BY, GroupProfile, ensure_profile, join_stats
 from heatloom.operators.grid import moore_cells
-from heatloom.operators.rundir import cut_lineage, stage
+from heatloom.operators.rundir import n_tasks, stage
 
 CENTROIDS = "array<struct<k:int,x:double,y:double>>"
 #: Starts of a group, points of a group that one task takes, and places that starts are drawn from in larger groups.
@@ -100,7 +100,8 @@ def keyed_kmeans(
             best = min((lloyd(xy, seeded(places, k, seed, s), iterations)[1:] + (s,) for s in range(starts)), key=lambda r: (r[1], r[2]))
             return pdf.assign(cluster=best[0].astype(np.int32))
 
-        return points.groupBy(*by).applyInPandas(run, schema)
+        # Few bytes but much work: as many tasks as the session has, not as few as the bytes would fill.
+        return points.repartition(n_tasks(points), *by).groupBy(*by).applyInPandas(run, schema)
     cents = _distributed_centroids(points, k, by, iterations, seed, profile, starts)
     return join_stats(points, cents, by, profile, "inner").withColumn(
         "cluster", _nearest("cents", F.col("x"), F.col("y"))["k"]).drop("cents")
@@ -151,7 +152,7 @@ def _distributed_centroids(points, k: int, by: list[str], iterations: int, seed:
 
 def _points(cells: DataFrame, by: Sequence[str], profile: GroupProfile) -> DataFrame:
     base = cells.select(*by, "cell_id", F.col("lon").alias("x"), F.col("lat").alias("y"))
-    return cut_lineage(standardize(base, ["x", "y"], by, profile))
+    return stage(standardize(base, ["x", "y"], by, profile), "zone-points")
 
 
 def zones_kmeans(
@@ -173,9 +174,10 @@ def zones_hierarchical(
     profile = ensure_profile(cells, by, profile)
     points = _points(cells, by, profile)
     macro = keyed_kmeans(points, n_macro, by, iterations, seed, profile, starts, task_points)
-    macro = cut_lineage(macro.withColumnRenamed("cluster", "macro_zone_id"))
+    macro = stage(macro.withColumnRenamed("cluster", "macro_zone_id"), "macro-zones")
     inner = [*by, "macro_zone_id"]
-    meso = keyed_kmeans(macro, n_meso, inner, iterations, seed, profile.scaled(groups=n_macro), starts, task_points)
+    # Written, as the zones are numbered from them and then joined to them.
+    meso = stage(keyed_kmeans(macro, n_meso, inner, iterations, seed, profile.scaled(groups=n_macro), starts, task_points), "meso-zones")
     numbers = meso.select(*inner, "cluster").distinct().withColumn(
         "zone_id", F.row_number().over(W.partitionBy(*by).orderBy("macro_zone_id", "cluster")) - 1
     )
