@@ -47,3 +47,10 @@ def test_samples_are_not_shuffled(spark):
         got = out.orderBy("aoi_id", "cell_id").collect()
         assert [(r.aoi_id, r.cell_id, r.n_valid) for r in got] == [(r.aoi_id, r.cell_id, r.n) for r in want]
         np.testing.assert_allclose([r["mean"] for r in got], [r["mean"] for r in want], atol=1e-9)
+
+
+def test_samples_are_made_in_many_tasks(spark):
+    """Few cells are few bytes, yet 500 times as many rows: not all of them in the one task that holds the cells."""
+    got = entry.queries()["perturb_indicators"](spark, SF).groupBy(F.spark_partition_id().alias("task")).count().collect()
+    cells = sum(r["count"] for r in got)
+    assert len(got) > 1 and max(r["count"] for r in got) < cells / 2
