@@ -29,6 +29,18 @@ def test_every_draw_has_a_hash_of_its_own(spark, con):  # noqa: F811
                    con.execute(f"select * from ({sql}) where {some}").df()) == ""
 
 
+def test_both_numbers_of_a_draw_have_a_hash_of_their_own(spark, con):  # noqa: F811
+    sql = entry.oracle_sql()["perturb_indicators"]
+    md5 = lambda end: "md5(('42' || '|' || sample_id::varchar || '|' || aoi_id::varchar || '|' || cell_id::varchar || '|' || '%s'::varchar) || '|' || '%s')" % end
+    assert sql.count("md5(") == 2 * len(C.BAND_NOISE) and all(md5((c, x)) in sql for c in C.BAND_NOISE for x in "ab")
+    u = [f"(('0x' || substr(md5('42|' || sample_id || '|' || aoi_id || '|' || cell_id || '|lst|{x}'), 1, 8))::bigint + 0.5) / 4294967296" for x in "ab"]
+    entry.queries()["perturb_indicators"](spark, SF).where("cell_id % 50 = 0 and sample_id % 100 = 99").select("aoi_id", "cell_id", "sample_id", "lst").createOrReplaceTempView("drawn")
+    got = spark.table("drawn").toPandas()  # noqa: F841
+    off = con.execute(f"select max(abs(lst - c.mean_lst - 0.4 * sqrt(-2 * ln({u[0]})) * cos({u[1]} * 2 * pi()))), count(*) from got join "
+                      "(select l_partkey as cell_id, round(25 + avg(l_quantity) / 2, 10) as mean_lst from lineitem group by 1) c using (cell_id)").fetchone()
+    assert off[1] > 0 and off[0] < 1e-6  # queries round to six digits
+
+
 def test_samples_are_not_shuffled(spark):
     """Areas as many as tasks: rows move before they are copied; fewer areas: the copies still do not move."""
     rng = np.random.default_rng(1)
